@@ -198,3 +198,18 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
                 out.append(column.alias(sep.join(here)))
         return out
     return df.select(*leaves(df.schema, ()))
+
+
+def content_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per text column: mean length and words, shares of factual, creative, neutral, question,
+    instruction and triplet-friendly texts, mean number of named entities. Whole table, one pass."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns]))).where("text is not null")
+    share = lambda flag: F.avg(F.when(flag, 1.0).otherwise(0.0))
+    factual, creative = tx.is_factual("text"), tx.is_creative("text")
+    return cells.groupBy("column").agg(
+        F.count("*").alias("n"), F.avg(F.length("text")).alias("avg_length"), F.avg(tx.n_words("text")).alias("avg_words"),
+        share(factual).alias("factual_ratio"), share(creative).alias("creative_ratio"),
+        share(~factual & ~creative).alias("neutral_ratio"), share(tx.is_question("text")).alias("question_ratio"),
+        share(tx.is_instruction("text")).alias("instruction_ratio"), share(tx.is_triplet_friendly("text")).alias("triplet_ratio"),
+        F.avg(tx.n_entities("text")).alias("avg_entities"))

@@ -37,11 +37,11 @@ WITH {PROMPTS}, t AS (SELECT row_id, {tokens('lower(prompt)')} AS t FROM prompts
 g AS (SELECT row_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE {windows('t', 3)} END AS g FROM t)
 SELECT row_id, CAST(len(g) AS INTEGER) AS n, md5(coalesce(array_to_string(g, '|'), '')) AS joined FROM g""")
 
-register("char_shingles", lambda s, d: views.prompts(s, d).withColumn("g", F.array_sort(tx.char_shingles(tx.norm_simple("prompt"), 5))).select(
-    "row_id", F.size("g").alias("n")), rf"""
-WITH {PROMPTS}, s AS (SELECT row_id, regexp_extract_all(regexp_replace(translate(lower(prompt), '{fv.PUNCTUATION.replace("'", "''")}', ''), '^\s+|\s+$', '', 'g'), '(?s).') AS c FROM prompts),
-g AS (SELECT row_id, CASE WHEN len(c) < 5 THEN [array_to_string(c, '')] ELSE {windows('c', 5, '')} END AS g FROM s)
-SELECT row_id, CAST(len(list_distinct(g)) AS INTEGER) AS n FROM g""")
+register("char_shingles", lambda s, d: views.prompts(s, d).select(
+    "row_id", F.size(tx.char_shingles(tx.norm_simple("prompt"), 5)).alias("n")), rf"""
+WITH {PROMPTS}, s AS (SELECT row_id, regexp_replace(translate(lower(prompt), '{fv.PUNCTUATION.replace("'", "''")}', ''), '^\s+|\s+$', '', 'g') AS t FROM prompts),
+g AS (SELECT row_id, substr(t, unnest(range(1, greatest(length(t) - 4, 1) + 1)), 5) AS g FROM s)
+SELECT row_id, CAST(count(DISTINCT g) AS INTEGER) AS n FROM g GROUP BY row_id""")
 
 register("ngram_lists", lambda s, d: views.prompts(s, d).withColumn("g", tx.ngrams("prompt", 2)).select(
     "row_id", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("joined")), rf"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -55,7 +56,12 @@ def check(spark, folder: str, name: str, con) -> tuple[str | None, float, int]:
     seconds = time.time() - start
     if name not in ORACLES:
         return None, seconds, result.num_rows
-    expected = con.execute(ORACLES[name]).to_arrow_table()
+    stop = threading.Timer(60, con.interrupt)
+    stop.start()
+    try:
+        expected = con.execute(ORACLES[name]).to_arrow_table()
+    finally:
+        stop.cancel()
     return difference(result, expected), seconds, result.num_rows
 
 
