@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import tables, texts  # noqa: F401
+from . import answers, flows, tables, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

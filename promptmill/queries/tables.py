@@ -240,11 +240,10 @@ def sides(spark, folder):
     return both.where(F.col("source") == L), both.where(F.col("source") == R)
 
 
-register("class_frequency_side_by_side", lambda s, d: compare.outer_frequencies(
-    sides(s, d)[0].where("intent_disc <> 3"), sides(s, d)[1].where("intent_disc <> 2")), f"""
-WITH {FREQ} SELECT intent_disc, CASE WHEN intent_disc = 3 THEN 0 ELSE freq_left END AS freq_left, CASE WHEN intent_disc = 2 THEN 0 ELSE freq_right END AS freq_right FROM f""")
-register("class_coverage", lambda s, d: compare.class_coverage(views.corpus(s, d).withColumn("cls", F.col("row_id") % 4), L, R, "cls"), f"""
-WITH {CORPUS}, f AS (SELECT row_id % 4 AS c, bool_or(source = 'mapped') AS l, bool_or(source = 'augmented') AS r FROM corpus GROUP BY 1)
+register("class_frequency_side_by_side", lambda s, d: compare.outer_frequencies(*sides(s, d)),
+         f"WITH {FREQ} SELECT intent_disc, freq_left, freq_right FROM f")
+register("class_coverage", lambda s, d: compare.class_coverage(views.corpus(s, d), L, R, "dataset"), f"""
+WITH {CORPUS}, f AS (SELECT dataset, bool_or(source = 'mapped') AS l, bool_or(source = 'augmented') AS r FROM corpus GROUP BY 1)
 SELECT count(*) FILTER (l AND NOT r) AS only_left, count(*) FILTER (r AND NOT l) AS only_right, count(*) FILTER (l AND r) AS common,
  round(100.0::DOUBLE * count(*) FILTER (l AND r) / count(*) FILTER (l), 6) AS coverage_pct FROM f""")
 register("distinct_values", lambda s, d: compare.distinct_values(views.prompts(s, d), "dataset"), f"WITH {PROMPTS} SELECT DISTINCT dataset FROM prompts")
