@@ -46,7 +46,7 @@ def token_set_ratio(a: set[str], b: set[str]) -> float:
     return best
 
 
-PIECE = 4
+PIECE = 5
 
 
 def _piece_codes(text: str) -> np.ndarray:
@@ -75,7 +75,7 @@ class SearchText:
 
 def _starts(short: SearchText, long: SearchText, cutoff: float) -> np.ndarray:
     """Window starts that can reach the cutoff. A window that does differs from the short text by at most
-    ``slack`` insertions and deletions; cut into pieces of four characters, all but ``slack`` pieces of the
+    ``slack`` insertions and deletions; cut into pieces of five characters, all but ``slack`` pieces of the
     short text are found in the window unharmed and shifted by no more than ``slack``."""
     n, m = len(short.text), len(long.text)
     every = np.arange(-n + 1, m)
@@ -88,15 +88,19 @@ def _starts(short: SearchText, long: SearchText, cutoff: float) -> np.ndarray:
     found = np.searchsorted(long.sorted, pieces, "right") - left
     if np.count_nonzero(found) < needed:
         return every[:0]
-    total = int(found.sum())
+    owner = np.repeat(np.arange(len(pieces)), found)
     first = np.repeat(left - np.concatenate(([0], np.cumsum(found)[:-1])), found)
-    places = long.order[np.arange(total) + first]
-    shift = places - np.repeat(np.arange(len(pieces)) * PIECE, found)
-    per_start = np.bincount(shift + n, minlength=n + m + 1)
-    upto = np.concatenate(([0], np.cumsum(per_start)))
-    low = np.clip(every + n - slack, 0, len(per_start))
-    high = np.clip(every + n + slack + 1, 0, len(per_start))
-    return every[upto[high] - upto[low] >= needed]
+    shift = long.order[np.arange(len(owner)) + first] - owner * PIECE + n
+    # Every find allows the starts within `slack` of its shift. The finds of a piece come in rising order,
+    # so where two of them overlap the later one begins after the earlier: a piece counts once per start.
+    begin = shift - slack
+    same = owner[1:] == owner[:-1]
+    begin[1:][same] = np.maximum(begin[1:][same], shift[:-1][same] + slack + 1)
+    size = n + m + 1
+    opened = np.bincount(np.clip(begin, 0, size), minlength=size + 1)
+    closed = np.bincount(np.clip(shift + slack + 1, 0, size), minlength=size + 1)
+    per_start = np.cumsum(opened - closed)
+    return every[per_start[every + n] >= needed]
 
 
 def _best_window(short: SearchText, long: SearchText, cutoff: float) -> float:

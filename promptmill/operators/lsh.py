@@ -39,8 +39,8 @@ def banded(df: DataFrame, key: str, text: str, kind: str, threshold: float, num_
     """``id, copy, keys``: row id, digest of the normalised text, band keys. Everything after this works
     on these narrow rows; the texts stay where they are."""
     bands, rows = mh.band_plan(threshold, num_perm)
-    signed = df.select(F.col(key).alias("id"), _copy_key(text, kind).alias("copy"),
-                       signature_column(text, kind, num_perm).alias("sig"))
+    signed = df.select(
+        F.col(key).alias("id"), _copy_key(text, kind).alias("copy"), signature_column(text, kind, num_perm).alias("sig"))
     return signed.select("id", "copy", mh.band_keys("sig", bands, rows).alias("keys"))
 
 

@@ -122,7 +122,9 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 def generate_from_seeds(stage: str, seeds: DataFrame, generator: Generator, seed_scores: DataFrame | None = None,
                         min_similarity: float = 0.82, run: int = 1) -> DataFrame:
     """One new row per seed (``seed_id, prompt, intent_disc``); it takes over the seed's score."""
-    if seed_scores is not None:
+    if seed_scores is None:
+        seeds = seeds.withColumn("intent_cont", F.lit(None).cast("double"))
+    else:
         seeds = seeds.join(seed_scores.select("prompt", F.col("seed_score").alias("intent_cont")), "prompt", "left")
     requests = seeds.select(
         F.col("seed_id").alias("seq"), F.col("prompt").alias("seed_prompt"), "intent_disc", "intent_cont",

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import dedup, fuzzy, language, lsh, scoring, semantic, stats, topics
 from ..plans import balance
 from ..plans import generate as gen
-from ..session import scratch_root
+from ..session import scratch_root, spread
 from ..sources import readers, views, writers
 from .registry import CORPUS, PROMPTS, norm, register, words
 from .tables import L, R, sides
@@ -131,11 +131,11 @@ register("topic_labels", lambda s, d: topics.label_topics(topics.topic_keywords(
 
 
 def profiles(spark, folder):
-    return language.language_profiles(views.table(spark, folder, "documents"), "text", "lang")
+    return language.language_profiles(spread(views.table(spark, folder, "documents"), "doc_id"), "text", "lang")
 
 
 register("language_detection", lambda s, d: language.detect_language(
-    views.table(s, d, "documents").select("doc_id", "text", "lang"), "text", ["doc_id"], profiles(s, d)).groupBy(
+    spread(views.table(s, d, "documents"), "doc_id").select("doc_id", "text", "lang"), "text", ["doc_id"], profiles(s, d)).groupBy(
     "lang", "detected").agg(F.count("*").alias("n")))
 register("language_distribution", lambda s, d: language.language_distribution(
     views.qa_text(s, d), ["questions", "answer"], "qa_id", profiles(s, d)))
@@ -172,9 +172,9 @@ register("seed_scores", lambda s, d: _seeds(s, d).join(stats.prompt_score_lookup
 WITH {SEEDS}, l AS (SELECT prompt, max_by(intent_cont, row_id) AS x FROM prompts GROUP BY 1)
 SELECT seed_id, intent_disc, round(x, 6) AS seed_score FROM seeds LEFT JOIN l USING (prompt)""")
 register("pair_with_seed", lambda s, d: gen.pair_with_seed(
-    _seeds(s, d).select("seed_id", F.upper("prompt").alias("generated")), _seeds(s, d)).select(
+    _seeds(s, d).select("seed_id", F.concat(F.lit("  "), "prompt").alias("generated")), _seeds(s, d)).select(
     "seed_id", "intent_disc", (tx.norm_text("generated") == tx.norm_text("prompt")).alias("same")), f"""
-WITH {SEEDS} SELECT seed_id, intent_disc, {norm('upper(prompt)')} = {norm('prompt')} AS same FROM seeds""")
+WITH {SEEDS} SELECT seed_id, intent_disc, true AS same FROM seeds""")
 register("generated_paraphrases", lambda s, d: gen.generate_from_seeds("paraphrase", _seeds(s, d), gen.rule_based,
                                                                        stats.prompt_score_lookup(views.prompts(s, d))))
 register("generated_syntax", lambda s, d: gen.generate_from_seeds("syntax", _seeds(s, d), gen.rule_based))

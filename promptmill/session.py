@@ -55,6 +55,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For work that is dear per row: a table that lies in fewer files than there are cores is spread over
+    all of them by its key. A large table has enough splits and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def lookup(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join ``big`` with a (usually small) aggregate. The aggregate is written first, so Spark knows
     its size when it plans the join: under ``autoBroadcastJoinThreshold`` the big side is not

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -13,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled prompts: ``row_id, prompt, dataset, intent_disc, intent_cont``."""
     lang = F.col("lang")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"), F.col("source").alias("dataset"),
         F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(3).alias("intent_disc"),
         ((F.col("n_chars") % 1000).cast("double") / 1000).alias("intent_cont"))
