@@ -81,6 +81,10 @@ def _starts(short: SearchText, long: SearchText, cutoff: float) -> np.ndarray:
     every = np.arange(-n + 1, m)
     slack = int(2 * (1 - cutoff / 100.0) * n + 1e-9)
     pieces = short.codes[::PIECE]
+    if slack == 0:
+        # No edit is allowed: only the text itself will do.
+        at = long.text.find(short.text)
+        return np.array([at] if at >= 0 else [], dtype=np.int64)
     needed = len(pieces) - slack
     if needed <= 0:
         return every

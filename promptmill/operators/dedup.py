@@ -24,8 +24,8 @@ def dedup_exact_normalised(df: DataFrame, text: str, order: str) -> DataFrame:
 def duplicate_ratio(rows: DataFrame, kept: DataFrame, out: str = "duplicate_ratio") -> DataFrame:
     """1 - kept / rows, 0 for an empty table."""
     total = rows.agg(F.count("*").alias("n")).scalar()
-    return kept.agg((F.when(F.first(total) == 0, 0.0).otherwise(
-        1 - F.count("*") / F.greatest(F.first(total), F.lit(1)))).alias(out))
+    return kept.agg(F.count("*").alias("n")).select(
+        F.when(total == 0, 0.0).otherwise(1 - F.col("n") / F.greatest(total, F.lit(1))).alias(out))
 
 
 def anti_join_source(df: DataFrame, source: DataFrame, text: str, source_text: str | None = None) -> DataFrame:

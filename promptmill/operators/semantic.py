@@ -56,7 +56,7 @@ def similarity_band(pairs: DataFrame, low: float, high: float) -> DataFrame:
 def mean_pair_similarity(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mean cosine of the kept pairs, else of all pairs, else 1."""
     of_all = pairs.agg(F.avg("cosine").alias("m")).scalar()
-    return kept.agg(F.coalesce(F.avg("cosine"), F.first(of_all), F.lit(1.0)).alias("mean_similarity"))
+    return kept.agg(F.avg("cosine").alias("m")).select(F.coalesce("m", of_all, F.lit(1.0)).alias("mean_similarity"))
 
 
 def mean_pairwise(df: DataFrame, vector: str, dim: int, by: list[str] = ()) -> DataFrame:

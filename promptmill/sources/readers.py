@@ -55,16 +55,17 @@ def read_prompts_tolerant(spark: SparkSession, path: str, source: str, schema: s
     return good, bad
 
 
-def discover(spark: SparkSession, folder: str) -> str:
-    """The dataset file of a folder: the first extension that occurs at any depth, names with
-    ``combined`` first, then by path."""
+def discover(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Path and extension of the dataset in a folder: the first extension that occurs at any depth, names
+    with ``combined`` first, then by path. Of a table written in parts the whole folder is taken."""
     for ext in EXTENSIONS:
         found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", f"*{ext}").load(folder).select("path"))
         name = F.lower(F.element_at(F.split("path", "/"), -1))
         best = found.orderBy(F.desc(name.contains("combined")), "path").limit(1).collect()
         if best:
-            return best[0]["path"]
+            parent, _, file = best[0]["path"].rpartition("/")
+            return (parent if file.startswith("part-") else best[0]["path"]), ext
     raise ValueError(f"no dataset file under {folder}")
 
 
@@ -73,10 +74,11 @@ def read_any(spark: SparkSession, path: str, schema: str | T.StructType | None =
     as a folder."""
     ext = PurePosixPath(path).suffix.lower()
     if ext not in EXTENSIONS:
-        return read_any(spark, discover(spark, path), schema)
+        path, ext = discover(spark, path)
     reader = spark.read.schema(schema) if schema else spark.read
     if ext == ".csv":
-        return reader.option("header", "true").option("inferSchema", str(schema is None).lower()).option("multiLine", "true").csv(path)
+        return (reader.option("header", "true").option("inferSchema", str(schema is None).lower())
+                .option("multiLine", "true").option("escape", '"').csv(path))
     if ext == ".json":
         return flatten(reader.option("multiLine", "true").json(path))
     if ext == ".jsonl":
