@@ -74,13 +74,17 @@ def word_tokens(c) -> Column:
 
 
 def windows_of(tokens: Column, n: int, sep: str = " ") -> Column:
-    """All runs of ``n`` neighbouring tokens, joined; empty when there are fewer than ``n``."""
+    """All runs of ``n`` neighbouring tokens, joined; empty when there are fewer than ``n``. The list is
+    zipped with itself moved by one, two, ... places: linear, while a slice per run copies the list."""
     if n == 1:
         return tokens
+
     def runs(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
-        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), sep))).otherwise(
-            F.array().cast("array<string>"))
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        out = F.slice(t, 1, count)
+        for shift in range(1, n):
+            out = F.zip_with(out, F.slice(t, shift + 1, count), lambda a, b: F.concat(a, F.lit(sep), b))
+        return out
     return let(tokens, runs)
 
 
