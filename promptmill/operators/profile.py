@@ -121,9 +121,9 @@ def normalise(df: DataFrame, order: str = "row_id") -> DataFrame:
         return F.col(name).try_cast(kind) if name in have else F.lit(None).cast(kind)
 
     if "id" not in have:
-        # Without ids each row is numbered by its place in the table.
-        df = dense_index(df, [order], out="_place").withColumn(
-            "id", F.concat(F.lit("gen_"), F.col("_place").cast("string"))).drop("_place")
+        # Without ids each row is numbered by its place in the table; only the keys are put in order.
+        places = dense_index(df.select(order), [order], out="_place")
+        df = df.join(places.select(order, F.concat(F.lit("gen_"), F.col("_place").cast("string")).alias("id")), order)
     prompt = tx.strip(optional("prompt", "string"))
     guessed = tx.script_language(prompt)
     language = F.coalesce(F.col("language"), guessed) if "language" in have else guessed

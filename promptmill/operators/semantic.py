@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
@@ -79,29 +79,34 @@ def mean_cross(df: DataFrame, vector: str, dim: int, by: str, left: str, right:
 
 
 def random_pairs(df: DataFrame, vector: str, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """``min(n, rows)`` pairs drawn with replacement, pairs of a row with itself left out, with cosine."""
-    indexed = materialize(dense_index(df.select(key, vector), [key]))
-    rows = indexed.count()
-    if rows < 2:
-        return indexed.select(F.lit(0).cast("bigint").alias("draw"), F.lit(0.0).alias("cosine")).limit(0)
-    draws = df.sparkSession.range(min(n, rows)).select(F.col("id").alias("draw"), *[
-        F.floor(uniform([F.lit("pair"), F.lit(seed), F.lit(side), F.col("id")]) * rows).alias(side)
-        for side in ("i", "j")]).where("i <> j")
-    # At most n draws: a look-up of the drawn rows, whatever the size of the table.
-    a = indexed.select(F.col("pos").alias("i"), F.col(vector).alias("va"))
-    b = indexed.select(F.col("pos").alias("j"), F.col(vector).alias("vb"))
-    drawn = a.join(F.broadcast(draws), "i").select("draw", "j", "va")
-    return b.join(F.broadcast(drawn), "j").select("draw", vec.dot("va", "vb").alias("cosine"))
+    """``min(n, rows)`` pairs drawn with replacement, pairs of a row with itself left out, with cosine.
+    Only keys are numbered; the vectors of the drawn rows, at most 2n, are looked up afterwards."""
+    places = materialize(dense_index(df.select(key), [key]))
+    rows = places.count()
+    draws = df.sparkSession.range(min(n, rows) if rows > 1 else 0).select(F.col("id").alias("draw"), F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.floor(uniform([F.lit("pair"), F.lit(seed), F.lit(side), F.col("id")]) * rows).alias("pos"))
+        for side in ("i", "j")])).alias("p")).select("draw", "p.side", "p.pos")
+    drawn = materialize(places.join(F.broadcast(draws), "pos"))
+    ends = df.select(key, vector).join(F.broadcast(drawn), key)
+    both = ends.groupBy("draw").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(out))).alias(f"{name}_{side}")
+        for side in ("i", "j") for name, out in (("pos", "pos"), ("v", vector))])
+    return both.where("pos_i <> pos_j").select("draw", vec.dot("v_i", "v_j").alias("cosine"))
+
+
+def _first_rows(df: DataFrame, vector: str, key: str, n: int, pos: str, out: str) -> DataFrame:
+    """The first n rows in key order, numbered (a window over n rows)."""
+    head = df.select(key, vector).orderBy(key).limit(n)
+    return head.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).alias(pos), F.col(vector).alias(out))
 
 
 def modulo_pairs(left: DataFrame, right: DataFrame, vector: str, key: str, n: int = 1000) -> DataFrame:
-    """The first ``min(n, rows)`` left rows, the i-th with right row ``i mod m``."""
-    a = dense_index(left.select(key, vector), [key]).where(F.col("pos") < n).select("pos", F.col(vector).alias("va"))
-    indexed = materialize(dense_index(right.select(key, vector), [key]))
-    m = indexed.count()
-    b = indexed.select(F.col("pos").alias("j"), F.col(vector).alias("vb"))
-    return (a.withColumn("j", F.col("pos") % max(m, 1)).join(b, "j")
-            .select("pos", vec.dot("va", "vb").alias("cosine")))
+    """The first ``min(n, rows)`` left rows, the i-th with right row ``i mod m``. With m of at least n
+    that is row i, so neither side needs more than its first n rows."""
+    a = _first_rows(left, vector, key, n, "pos", "va")
+    b = materialize(_first_rows(right, vector, key, n, "j", "vb"))
+    return (a.withColumn("j", F.col("pos") % max(b.count(), 1)).join(b, "j")
+            .select(F.col("pos").cast("bigint").alias("pos"), vec.dot("va", "vb").alias("cosine")))
 
 
 def semantic_summary(df: DataFrame, vector: str, key: str, by: str, left: str, right: str,

@@ -352,3 +352,13 @@ def test_cached_embeddings_embed_new_texts_only(spark):
     _, cache = semantic.embed_with_cache(first, "prompt", None)
     rows, grown = semantic.embed_with_cache(more, "prompt", cache)
     assert grown.count() == 3 and all(len(r["embedding"]) == 384 for r in rows.collect())
+
+
+def test_random_pairs(spark):
+    vectors = views.vectors(spark, "/root/testdata/sf0.001")
+    pairs = semantic.random_pairs(vectors, "embedding", "vec_id", 50)
+    first = {r["draw"]: r["cosine"] for r in pairs.collect()}
+    again = {r["draw"]: r["cosine"] for r in semantic.random_pairs(vectors.repartition(5), "embedding", "vec_id", 50).collect()}
+    assert 40 <= len(first) <= 50 and set(first) == set(again)
+    assert all(first[d] == pytest.approx(again[d]) and -1.001 <= first[d] <= 1.001 for d in first)
+    assert semantic.random_pairs(vectors.limit(1), "embedding", "vec_id").count() == 0
