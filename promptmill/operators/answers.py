@@ -176,7 +176,7 @@ def rows_of_top_answers(df: DataFrame, k: int) -> DataFrame:
     return keyed.join(F.broadcast(_top(df, k)), "answer_key")
 
 
-def _display(rows: DataFrame) -> Column:
+def _display() -> Column:
     """The answer in the casing of its first row."""
     return F.min_by("answer", "qa_id")
 
@@ -207,7 +207,7 @@ def group_profile(df: DataFrame, k: int = 6) -> DataFrame:
     of more than three characters."""
     rows = rows_of_top_answers(df, k)
     base = rows.groupBy("answer_key").agg(
-        _display(rows).alias("answer"), F.count("*").alias("n"),
+        _display().alias("answer"), F.count("*").alias("n"),
         F.avg(F.length("questions")).alias("mean_question_length"))
     words = _group_words(rows, min_chars=1)
     vocabulary = words.groupBy("answer_key").agg(F.count("*").alias("vocabulary"))
@@ -238,7 +238,7 @@ def key_words(df: DataFrame, k: int = 4) -> DataFrame:
 
 def _shown_top(df: DataFrame, k: int) -> DataFrame:
     rows = rows_of_top_answers(df, k)
-    return rows.groupBy("answer_key").agg(_display(rows).alias("answer"))
+    return rows.groupBy("answer_key").agg(_display().alias("answer"))
 
 
 def theme_flags(df: DataFrame, k: int = 10, at_least: int = 3) -> DataFrame:
@@ -284,7 +284,7 @@ def group_length_table(df: DataFrame, k: int = 4) -> DataFrame:
     """Question lengths and vocabulary of the most frequent answers."""
     rows = rows_of_top_answers(df, k)
     base = rows.groupBy("answer_key").agg(
-        tx.ellipsize(_display(rows), 30).alias("answer"), F.count("*").alias("n"),
+        tx.ellipsize(_display(), 30).alias("answer"), F.count("*").alias("n"),
         F.avg(F.length("questions")).alias("mean_length"), F.min(F.length("questions")).alias("min_length"),
         F.max(F.length("questions")).alias("max_length"))
     vocabulary = _group_words(rows, 1).groupBy("answer_key").agg(F.count("*").alias("unique_words"))

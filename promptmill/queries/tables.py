@@ -33,12 +33,12 @@ register("missing_summary", lambda s, d: profile.missing_summary(annotated(s, d)
 WITH {ANNOTATED}, m AS (SELECT count(*) AS n_rows, count(*) * 7 AS cells, {' + '.join(f'(count(*) - count({c}))' for c, _ in COLUMNS)} AS missing FROM annotated)
 SELECT n_rows, CAST(7 AS INTEGER) AS n_cols, cells, missing, round(100.0::DOUBLE * missing / cells, 6) AS missing_pct FROM m""")
 
+DESCRIBED = """cols AS (SELECT column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' END AS t
+  FROM (DESCRIBE SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id))"""
 register("dtype_histogram", lambda s, d: profile.dtype_histogram(annotated(s, d)),
-         "SELECT * FROM (VALUES ('bigint', 2::BIGINT), ('string', 3::BIGINT), ('int', 2::BIGINT)) t(dtype, n_columns)")
-
-register("column_roles", lambda s, d: profile.column_roles(annotated(s, d)), """
-SELECT c AS "column", CASE WHEN c IN ('text') THEN 'prompt' WHEN c = 'source' THEN 'source' END AS role
-FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS c)""")
+         f"WITH {DESCRIBED} SELECT t AS dtype, count(*) AS n_columns FROM cols GROUP BY 1")
+register("column_roles", lambda s, d: profile.column_roles(annotated(s, d)), f"""
+WITH {DESCRIBED} SELECT c AS "column", CASE {' '.join(f"WHEN {any_of('c', w)} THEN '{role}'" for role, w in fv.ROLE_WORDS.items())} END AS role FROM cols""")
 
 register("text_column_stats", lambda s, d: profile.text_column_stats(views.table(s, d, "documents")), " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(min(length({c})) AS INTEGER) AS min_length, CAST(max(length({c})) AS INTEGER) AS max_length, "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptmill.functions import fuzzy as fz
 from promptmill.functions import minhash as mh
-from promptmill.operators import answers, dedup, fuzzy, language, lexical, lsh, profile, running, sampling, semantic, stats, topics
+from promptmill.operators import answers, dedup, fuzzy, language, lexical, lsh, profile, running, sampling, scoring, semantic, stats, topics
 from promptmill.plans import balance
 from promptmill.plans import generate as gen
 from promptmill.sources import readers, views, writers
@@ -362,3 +362,44 @@ def test_random_pairs(spark):
     assert 40 <= len(first) <= 50 and set(first) == set(again)
     assert all(first[d] == pytest.approx(again[d]) and -1.001 <= first[d] <= 1.001 for d in first)
     assert semantic.random_pairs(vectors.limit(1), "embedding", "vec_id").count() == 0
+
+
+def test_pluggable_models(spark):
+    df = spark.createDataFrame([(1, "aa"), (2, "b")], "row_id bigint, prompt string")
+    rows = semantic.embed(df, "prompt", model=lambda: lambda texts: [[float(len(t)), 0.0] for t in texts]).collect()
+    assert {r["row_id"]: list(r["embedding"]) for r in rows} == {1: [2.0, 0.0], 2: [1.0, 0.0]}
+    params = stats.label_params(None)
+    scored = scoring.score_rows(df, "prompt", params, predictor=lambda: lambda texts: [len(t) - 1 for t in texts]).collect()
+    assert {r["row_id"]: r["intent_predicted_denormalized"] for r in scored} == {1: 1700.0, 2: 1500.0}
+
+
+def test_score_columns(spark):
+    df = spark.createDataFrame([("helloworld", "helloworlds"), ("a b", "b a c"), ("", "x")], "a string, b string")
+    rows = df.select(fuzzy.token_set_score(F.col("a"), F.col("b")).alias("t"), fuzzy.partial_score(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [round(r["t"], 3) for r in rows] == [round(100 * 20 / 21, 3), 100.0, 0.0]
+    assert [r["p"] for r in rows][0] == 100.0 and rows[2]["p"] == 0.0
+
+
+def test_seed_policies(spark):
+    rows = [(i, f"p{i}", i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id bigint, prompt string, intent_disc int")
+    per = lambda policy: {r["intent_disc"]: r["count"] for r in sampling.stratified_seeds(df, 50, 200, policy=policy).groupBy("intent_disc").count().collect()}
+    assert per("prefix") == {0: 50, 1: 50, 2: 50, 3: 50}
+    assert per("per_class") == {c: 40 for c in range(5)}
+
+
+def test_hot_answer_keeps_every_row(spark):
+    rows = [(i, f"q{i}", "hot" if i % 3 == 0 else f"a{i}", "name") for i in range(900)]
+    df = spark.createDataFrame(rows, "qa_id bigint, questions string, answer string, type string")
+    got = answers.with_answer_frequency(df).collect()
+    assert len(got) == 900 and {r["frequency"] for r in got if r["answer"] == "hot"} == {300}
+
+
+def test_hot_copies_form_one_cluster(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, long if i % 3 == 0 else f"entry {i} about {i * 7919 % 104729} and {i * 31 % 997}") for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id bigint, prompt string")
+    clusters = lsh.near_duplicate_clusters(df, "row_id", "prompt").where("cluster = 0")
+    assert sorted(r["member"] for r in clusters.collect()) == list(range(0, 150, 3))
+    kept = {r["row_id"] for r in lsh.dedup_near(df, "row_id", "prompt").collect()}
+    assert 0 in kept and not any(i in kept for i in range(3, 150, 3))
