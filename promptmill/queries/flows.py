@@ -14,8 +14,9 @@ from ..plans import balance
 from ..plans import generate as gen
 from ..session import scratch_root, spread
 from ..sources import readers, views, writers
-from .registry import CORPUS, PROMPTS, norm, register, words
+from .registry import CORPUS, PROMPTS, QA_TEXT, norm, register, words
 from .tables import L, R, sides
+from .texts import digest_bytes
 
 # --- exact de-duplication ---------------------------------------------------------------------------
 
@@ -134,15 +135,24 @@ def profiles(spark, folder):
     return language.language_profiles(spread(views.table(spark, folder, "documents"), "doc_id"), "text", "lang")
 
 
+PROFILES = f"""s AS (SELECT lang, ' ' || {norm('text')} || ' ' AS t FROM documents), g AS (SELECT lang, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM s),
+c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM c),
+profiles AS (SELECT lang, gram, CAST(round(ln(n / total) * 1000000) AS BIGINT) AS weight FROM k WHERE r <= {language.PROFILE_SIZE})"""
+DETECTED = f"""tg AS (SELECT id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM (SELECT id, ' ' || {norm('text')} || ' ' AS t FROM texts)),
+sc AS (SELECT id, lang AS detected, sum(weight - ({language.UNSEEN})) AS score FROM tg JOIN profiles USING (gram) GROUP BY 1, 2),
+best AS (SELECT id, detected FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, detected) = 1)"""
 register("language_detection", lambda s, d: language.detect_language(
     spread(views.table(s, d, "documents"), "doc_id").select("doc_id", "text", "lang"), "text", ["doc_id"], profiles(s, d)).groupBy(
-    "lang", "detected").agg(F.count("*").alias("n")))
+    "lang", "detected").agg(F.count("*").alias("n")), f"""
+WITH {PROFILES}, texts AS (SELECT doc_id AS id, text FROM documents), {DETECTED}
+SELECT lang, coalesce(detected, 'unknown') AS detected, count(*) AS n FROM documents LEFT JOIN best ON id = doc_id GROUP BY 1, 2""")
 register("language_distribution", lambda s, d: language.language_distribution(
-    views.qa_text(s, d), ["questions", "answer"], "qa_id", profiles(s, d)))
-register("language_profiles", profiles, f"""
-WITH s AS (SELECT lang, ' ' || {norm('text')} || ' ' AS t FROM documents), g AS (SELECT lang, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM s),
-c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM c)
-SELECT lang, gram, CAST(round(ln(n / total) * 1000000) AS BIGINT) AS weight FROM k WHERE r <= {language.PROFILE_SIZE}""")
+    views.qa_text(s, d), ["questions", "answer"], "qa_id", profiles(s, d)), f"""
+WITH {PROFILES}, {QA_TEXT}, texts AS (SELECT 'questions/' || qa_id AS id, questions AS text FROM qa_text UNION ALL SELECT 'answer/' || qa_id, answer FROM qa_text), {DETECTED},
+n AS (SELECT split_part(texts.id, '/', 1) AS field, coalesce(detected, 'unknown') AS detected, count(*) AS n FROM texts LEFT JOIN best ON best.id = texts.id GROUP BY 1, 2)
+SELECT field, detected, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY field), 6) AS share_pct, row_number() OVER (PARTITION BY field ORDER BY n DESC, detected) = 1 AS is_main,
+ (SELECT max(c) > 1 FROM (SELECT count(*) AS c FROM n GROUP BY field)) AS multilingual FROM n""")
+register("language_profiles", profiles, f"WITH {PROFILES} SELECT * FROM profiles")
 register("score_inference", lambda s, d: scoring.score_rows(
     views.prompts(s, d), "prompt", stats.label_params(views.prompts(s, d)), scoring.fit_regressor(views.prompts(s, d), "prompt")).select(
     "row_id", "intent_predicted_normalized", "intent_predicted_denormalized"))
@@ -206,7 +216,12 @@ def _candidates(spark, folder):
     return pairs.select(F.col("qa_id").alias("seed_id"), F.col("questions").alias("seed_prompt"), F.posexplode(made).alias("candidate", "prompt"))
 
 
-register("best_of_k", lambda s, d: gen.best_of_k(_candidates(s, d), 0.72, 0.95).select("seed_id", "candidate", "rank"))
+register("best_of_k", lambda s, d: gen.best_of_k(_candidates(s, d), 0.72, 0.95).select("seed_id", "candidate", "rank"), f"""
+WITH {QA_TEXT}, c AS (SELECT qa_id, questions, unnest([0, 1, 2]) AS candidate, unnest([answer, reverse(answer), reverse(questions)]) AS p FROM qa_text),
+v AS (SELECT qa_id, candidate, {digest_bytes('questions')} AS a, {digest_bytes('p')} AS b FROM c),
+x AS (SELECT qa_id, candidate, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS cosine FROM v)
+SELECT qa_id AS seed_id, CAST(candidate AS INTEGER) AS candidate, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY cosine, candidate) AS r FROM x
+ WHERE cosine BETWEEN 0.72 AND 0.95) WHERE r <= 2""")
 register("attach_first_attributes", lambda s, d: balance.attach_first_attributes(
     views.prompts(s, d).select("prompt").distinct(), views.prompts(s, d).withColumn("item", F.col("row_id"))).withColumn("prompt", F.md5("prompt")), f"""
 WITH {PROMPTS} SELECT md5(prompt) AS prompt, min_by(intent_disc, row_id) AS intent_disc, round(min_by(intent_cont, row_id), 6) AS intent_cont FROM prompts GROUP BY prompt""")
