@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +27,11 @@ def rounded(df: DataFrame) -> DataFrame:
 def register(name: str, run: Query, sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = lambda spark, folder: rounded(run(spark, folder))
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return rounded(run(spark, folder))
+    QUERIES[name] = query
     if sql:
         ORACLES[name] = sql
 

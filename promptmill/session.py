@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that functions sent to them can be read there
+    without an installation. The archive is made in the driver's own temporary folder, from where Spark serves it."""
+    context = spark.sparkContext
+    if getattr(context, "_promptmill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="promptmill-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "promptmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    z.write(full, os.path.join("promptmill", os.path.relpath(full, package)))
+    context.addPyFile(archive)
+    context._promptmill_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it. Only a local
     master without that setting gets a folder of its own, removed when the process ends."""
