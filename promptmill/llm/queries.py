@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .bpe_codec import BytePairCoder, digests
+from .decontaminate import contaminated, find_overlaps
+from .minhash_bbit import near_duplicates
 from .token_counts import TokenCounter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coder = BytePairCoder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
