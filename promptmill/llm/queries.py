@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import suffix_dedup
 from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
 from .minhash_bbit import near_duplicates
@@ -30,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_earlier_strings(table(spark, folder, "documents")))
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
