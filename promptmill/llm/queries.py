@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import suffix_dedup
+from . import path_dedup, suffix_dedup
 from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
 from .minhash_bbit import near_duplicates
@@ -46,6 +46,11 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return path_dedup.digests(path_dedup.remove_repeated_spans(table(spark, folder, "documents")))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coder = BytePairCoder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
