@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .sequences import first_of_groups
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: One row of packed keys or answers: where it comes from or goes to, what it says, and up to four arrays.
 ROW = "block int, bucket int, kind int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()),

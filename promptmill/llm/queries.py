@@ -12,6 +12,7 @@ from ..session import ship_package
 from . import path_dedup, suffix_dedup
 from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
+from .kd_topk import top_k
 from .minhash_bbit import near_duplicates
 from .token_counts import TokenCounter
 
@@ -36,6 +37,21 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_earlier_strings(table(spark, folder, "documents")))
 
 
+@query
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLES["op2_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
