@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import path_dedup, suffix_dedup
+from . import lattice_lm, path_dedup, suffix_dedup
 from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
 from .kd_topk import top_k
@@ -62,6 +62,14 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+@query
+def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    model = lattice_lm.learn(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"), classes="lang")
+    return lattice_lm.with_base(lattice_lm.score(docs, held_out, model), model)
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return path_dedup.digests(path_dedup.remove_repeated_spans(table(spark, folder, "documents")))
