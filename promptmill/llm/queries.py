@@ -14,6 +14,7 @@ from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
 from .kd_topk import top_k
 from .minhash_bbit import near_duplicates
+from .quality import fit_quality, score_quality
 from .token_counts import TokenCounter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +63,12 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_quality(docs.select("doc_id", "text"), fit_quality(docs)).select("doc_id", "quality_score", "keep")
+
+
 @query
 def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

@@ -90,12 +90,12 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the offset of each document's first word. A word is a run of bytes other than
-    blank and the controls 9 to 13; it never crosses documents."""
+    blank and the controls 9 to 13 (or of those that the table ``inside`` names); it never crosses documents."""
     if len(data) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = _IS_WORD[data]
+    word = inside[data]
     start = word.copy()
     start[1:] &= ~word[:-1]
     end = word.copy()
