@@ -16,6 +16,7 @@ from .kd_topk import top_k
 from .minhash_bbit import near_duplicates
 from .quality import fit_quality, score_quality
 from .token_counts import TokenCounter
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +70,16 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), fit_quality(docs)).select("doc_id", "quality_score", "keep")
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    network = fit_toxicity(docs, table(spark, folder, "labels"), held_out)
+    return score_toxicity(docs, network).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
