@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import _IS_WORD, buffer_of, lower_ascii, mix, prefix_hashes, byte_values, run_hashes, slices, words_of
+from .sequences import _IS_WORD, buffer_of, byte_values, lower_ascii, mix, prefix_hashes, ragged, run_hashes, slices, words_of
 
 #: Masks over 11 words with 7 ones each. Any 11 words hold a hit if they agree; each single replaced word, and most pairs of
 #: replaced words, are ignored by at least one mask at one of a few neighbouring shifts.
@@ -86,7 +86,6 @@ class Items:
             at = np.flatnonzero(seen[(hashes >> np.uint64(46)).astype(np.int64)])
             low = np.searchsorted(known, hashes[at], side="left")
             count = np.searchsorted(known, hashes[at], side="right") - low
-            from .sequences import ragged
             left.append(np.repeat(at, count))
             right.append(places[ragged(low, count)])
         return np.concatenate(left), np.concatenate(right)
@@ -129,29 +128,33 @@ def overlaps(words: np.ndarray, first: np.ndarray, items: Items, min_words: int,
     return sorted(found.values())
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
-                  similarity: float = SIMILARITY, pass_words: int = PASS_WORDS) -> DataFrame:
-    """One row for each overlap: doc_id, item_id, first_word, last_word (of the document, from 0), n_words, n_agree, and the
-    bytes of the text that it covers (begin_byte, end_byte).
-
-    The benchmark is read in parts of at most ``pass_words`` words and each part is sent to all tasks, so what is sent is
-    bounded whatever the benchmark's size; the documents are not shuffled."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def benchmark_parts(benchmark: DataFrame, masks: tuple[str, ...], pass_words: int) -> Iterator[tuple[Items, list]]:
+    """The benchmark in parts of at most about ``pass_words`` words, each with the ids of its items. Only one part is on the
+    driver at a time, and each is sent to all tasks, so what is sent is bounded whatever the benchmark's size."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.col("text").isNotNull())
     # a word takes a byte at least and a blank, so half the bytes bound the number of words
     total = items.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(total // (2 * pass_words)) + 1
-    schema = ("doc_id bigint, item_id bigint, first_word int, last_word int, n_words int, n_agree int, begin_byte int, "
-              "end_byte int")
-    out = None
     for part in range(parts):
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
         table = chosen.toArrow()
         data, offsets = buffer_of(table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string()))
         words, _, _, first = plain_words(data, offsets)
         ids = table["item_id"].to_pylist()
-        sent = spark.sparkContext.broadcast(Items(np.arange(len(ids)), words, first, masks))
+        yield Items(np.arange(len(ids)), words, first, masks), ids
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
+                  similarity: float = SIMILARITY, pass_words: int = PASS_WORDS) -> DataFrame:
+    """One row for each overlap: doc_id, item_id, first_word, last_word (of the document, from 0), n_words, n_agree, and the
+    bytes of the text that it covers (begin_byte, end_byte). The documents are not shuffled."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    schema = ("doc_id bigint, item_id bigint, first_word int, last_word int, n_words int, n_agree int, begin_byte int, "
+              "end_byte int")
+    out = None
+    for items, ids in benchmark_parts(benchmark, masks, pass_words):
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -174,6 +177,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     return out
 
 
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
+                     similarity: float = SIMILARITY, pass_words: int = PASS_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no overlap with any item."""
+    for items, _ in benchmark_parts(benchmark, masks, pass_words):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in slices(batch):
+                    words, _, _, first = plain_words(*buffer_of(piece.column("text")))
+                    clean = np.ones(piece.num_rows, dtype=bool)
+                    clean[[r[0] for r in overlaps(words, first, sent.value, min_words, similarity)]] = False
+                    yield piece.filter(pa.array(clean))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(overlapping: DataFrame) -> DataFrame:
     """One row per document that holds an overlap: doc_id, item_ids (in order) and its longest overlap in words."""
     return overlapping.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"),

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import materialize
 from . import blocks as bl
@@ -183,7 +185,7 @@ def _paths(length: int, gram: int, buckets: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, carry: tuple[str, ...], schema: StructType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = bl.in_order(left)
         w = Windows(table, length, min(GRAM, length))
@@ -204,11 +206,11 @@ def _cut(length: int):
         kept, kept_offsets, _ = w.joined(~gone)
         gone_before = np.concatenate(([0], np.cumsum(gone)))[w.first]
         return pa.table([table["doc_id"].combine_chunks(), pa.array(np.diff(w.first), pa.int64()),
-                         pa.array(np.diff(gone_before), pa.int64()), _texts(kept, kept_offsets), _texts(w.data[stay], rest)],
-                        names=["doc_id", "n_words", "n_removed", "kept", "rest"])
+                         pa.array(np.diff(gone_before), pa.int64()), _texts(kept, kept_offsets), _texts(w.data[stay], rest),
+                         *[table[c] for c in carry]], names=["doc_id", "n_words", "n_removed", "kept", "rest", *carry])
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right) if left.num_rows else bl.empty_like(CUT)
+        return run(left, right) if left.num_rows else to_arrow_schema(schema).empty_table()
     return work
 
 
@@ -220,10 +222,13 @@ def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return array.cast(pa.string())
 
 
-def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, one blank between) and rest (the text left, with its white space)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocked, count = bl.blocked(rows, block_bytes)
+def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = bl.BLOCK_BYTES,
+                          carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, one blank between), rest (the text left, with its white space), and the
+    columns named by ``carry`` as they are."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    blocked, count = bl.blocked(rows, block_bytes, carry)
+    schema = StructType([*StructType.fromDDL(CUT).fields, *[rows.schema[c] for c in carry]])
     buckets = bl.buckets_for(count)
     shared = bl.per_bucket(bl.per_block(blocked, _anchors(length, gram, buckets)), _shared)
     edges = bl.back_to_blocks(blocked, shared, _edges(length, gram, buckets))
@@ -234,7 +239,7 @@ def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     same = ["edge", "windows", "digest"]
     agreed = paths.groupBy(*same).agg(F.count("*").alias("times")).filter("times > 1").select(*same)
     confirmed = paths.join(agreed, same, "left_semi").select("block", "row", "start", "windows")
-    return blocked.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_cut(length), CUT)
+    return blocked.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_cut(length, carry, schema), schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

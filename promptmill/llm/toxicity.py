@@ -81,7 +81,7 @@ class Network:
     """Parameters with forward and backward passes."""
 
     def __init__(self, seed: int = 6):
-        rng = np.random.default_rng(seed)
+        self.rng = rng = np.random.default_rng(seed)
 
         def normal(*shape):
             return (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -155,6 +155,10 @@ class Network:
         words, index = np.unique(index, return_inverse=True)
         index = index.reshape(filled.shape)
         inputs = self.inputs(texts, words)
+        # half of the words are seen through their characters alone, so that these learn too
+        shown = np.ones_like(inputs)
+        shown[:, :2 * WORD_WIDTH] = 2 * (self.rng.random(len(words)) < 0.5)[:, None]
+        inputs *= shown
         chance, (states, hidden, weight, pooled, caches) = self.forward(inputs, index, filled, keep=True)
         n = len(which)
         gap = ((chance - target) / n).astype(np.float32)
@@ -174,6 +178,7 @@ class Network:
             per_word = np.stack([np.bincount(at, flat[:, j], minlength=len(words)) for j in range(3 * HIDDEN)], axis=1).astype(np.float32)
             grad[f"w{way}"], grad[f"c{way}"] = inputs.T @ per_word, per_word.sum(axis=0)
             d_inputs += per_word @ self.dense[f"w{way}"].T
+        d_inputs *= shown
         self._step(grad, rate)
         self._move("one", texts.one[words], d_inputs[:, :WORD_WIDTH])
         self._move("two", texts.two[words], d_inputs[:, WORD_WIDTH:2 * WORD_WIDTH])
@@ -231,7 +236,7 @@ class Network:
 
     def shipped(self) -> Network:
         """Without what only training needs."""
-        self.seen = self.moments = None
+        self.seen = self.moments = self.rng = None
         return self
 
 
