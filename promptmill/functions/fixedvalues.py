@@ -50,12 +50,10 @@ WORD_PATTERN = r"(?U)\b\w\w+\b"
 
 # Defaults of the balancing run and its gates.
 TARGET_COVERAGE = 100
-MAX_NEW_PER_CLASS = 2000
 MIN_SIMILARITY = 0.82
 MAX_SIMILARITY = 0.95
 NOVEL_RATIO = 0.1
 SEEDS_PER_CLASS = 50
-MAX_SEEDS = 200
 MIN_COVERAGE_PERCENT = 90.0
 MAX_CLASS_CV_PERCENT = 5.0
 MAX_DUPLICATE_RATIO = 0.01

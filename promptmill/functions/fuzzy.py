@@ -6,17 +6,21 @@ from __future__ import annotations
 import numpy as np
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit per character of ``a``."""
+def lcs_length(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, one bit per character of ``a``. As soon as the rest of ``b`` cannot bring it to
+    ``least`` any more, what there is is returned."""
     where: dict[str, int] = {}
     codes = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
     for ch in set(a):
         where[ch] = int.from_bytes(np.packbits(codes == ord(ch), bitorder="little").tobytes(), "little")
     full = (1 << len(a)) - 1
     free = full
-    for ch in b:
-        hit = free & where.get(ch, 0)
-        free = ((free + hit) | (free - hit)) & full
+    for at in range(0, len(b), 128):
+        for ch in b[at:at + 128]:
+            hit = free & where.get(ch, 0)
+            free = ((free + hit) | (free - hit)) & full
+        if len(a) - free.bit_count() + len(b) - at - 128 < least:
+            break
     return len(a) - free.bit_count()
 
 
@@ -25,9 +29,10 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if size == 0 else 200.0 * lcs_length(a, b) / size
 
 
-def token_set_ratio(a: set[str], b: set[str]) -> float:
+def token_set_ratio(a: set[str], b: set[str], cutoff: float = 0.0) -> float:
     """Compare token sets: 100 when one contains the other, else the best of three ratios between the
-    common tokens, the common tokens with the rest of a, and the common tokens with the rest of b."""
+    common tokens, the common tokens with the rest of a, and the common tokens with the rest of b. Below the cutoff the
+    value may be too low (the common subsequence of the rests is given up as soon as it cannot matter)."""
     if not a or not b:
         return 0.0
     common, only_a, only_b = a & b, a - b, b - a
@@ -37,12 +42,16 @@ def token_set_ratio(a: set[str], b: set[str]) -> float:
     gap = 1 if common else 0
     rest_a, rest_b = " ".join(sorted(only_a)), " ".join(sorted(only_b))
     side_a, side_b = shared + gap + len(rest_a), shared + gap + len(rest_b)
-    # Both strings start with the common part, so only the rests can differ.
-    apart = len(rest_a) + len(rest_b) - 2 * lcs_length(rest_a, rest_b)
-    best = 100.0 * (1 - apart / (side_a + side_b))
+    best = 0.0
     if common:
         for side in (side_a, side_b):
             best = max(best, 100.0 * (1 - (side - shared) / (side + shared)))
+    # Both strings start with the common part, so only the rests can differ.
+    allowed = (1 - max(best, cutoff) / 100.0) * (side_a + side_b)
+    least = int((len(rest_a) + len(rest_b) - allowed) / 2)
+    if min(len(rest_a), len(rest_b)) >= least:
+        apart = len(rest_a) + len(rest_b) - 2 * lcs_length(rest_a, rest_b, least)
+        best = max(best, 100.0 * (1 - apart / (side_a + side_b)))
     return best
 
 

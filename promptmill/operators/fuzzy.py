@@ -1,25 +1,31 @@
-"""Fuzzy matches. A fixed number of sampled probe rows travels to every task, which compares them with
-its part of the whole table: one map-only pass, linear in the table, and complete for the probes."""
+"""Fuzzy matches, complete: every pair that reaches the cutoff is found.
+
+Texts that are equal are one text with several rows. Different texts meet in blocks: the rows of a length class (fuzzy pairs) or of a
+side (matches across sources) are dealt into blocks of bounded size, and a task holds two blocks. What it compares is cut down
+by bounds that cannot lose a pair: the length band, the weight of common tokens, the number of five-character pieces that must
+survive the edits a cutoff allows; scores are computed for the rest, on whole texts. The number of block pairs grows with the
+square of a length class, as it must for a complete comparison at such cutoffs; ``sample_max`` compares a fixed number of
+drawn rows with all others instead, which is linear."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fuzzy as fz
+from ..session import materialize
 from . import lsh
 from .sampling import sample_n
 
-
-def _probes(df: DataFrame, key: str, text: str, n: int, seed: int) -> list[tuple[int, str]]:
-    """The sampled rows (at most ``n``) as a list."""
-    rows = df.select(key, text).where(F.length(text) > 0)
-    return [(r[0], r[1]) for r in sample_n(rows, key, n, seed).collect()]
+#: Bytes of text in a block, and the ratio of neighbouring length classes (over 1 / 0.9, so a band touches two of them).
+BLOCK_BYTES = 512 << 10
+LENGTH_STEP = 1.12
 
 
 def length_band(a: int, b: int) -> bool:
@@ -27,37 +33,100 @@ def length_band(a: int, b: int) -> bool:
     return a > 0 and b > 0 and abs(a - b) / max(a, 1) <= 0.1
 
 
-def fuzzy_pairs(df: DataFrame, key: str = "row_id", text: str = "prompt", sample_max: int = 200,
-                cutoff: float = 90.0, seed: int = 42) -> DataFrame:
-    """``id_a, id_b, score``: pairs of a sampled row and any other row of the table whose lengths are
-    close and whose token-set ratio reaches the cutoff. ``id_a < id_b``; each pair once."""
-    probes = sorted(_probes(df, key, text, sample_max, seed), key=lambda p: len(p[1]))
-    shared = df.sparkSession.sparkContext.broadcast(probes)
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(i, len(t), set(t.split())) for i, t in shared.value]
-        sizes, ids = [p[1] for p in ready], {p[0] for p in ready}
-        for batch in batches:
-            out = []
-            for row_id, row_text in zip(batch["id"], batch["text"]):
-                size = len(row_text)
-                tokens = None
-                for probe_id, probe_size, probe_tokens in ready[bisect_left(sizes, int(size * 0.9) - 1):
-                                                                bisect_right(sizes, int(size / 0.9) + 1)]:
-                    # Two probes meet twice; the row with the larger id reports the pair.
-                    if probe_id == row_id or (row_id in ids and probe_id > row_id):
-                        continue
-                    first, second = (probe_size, size) if probe_id < row_id else (size, probe_size)
-                    if not length_band(first, second):
-                        continue
-                    tokens = set(row_text.split()) if tokens is None else tokens
-                    score = fz.token_set_ratio(probe_tokens, tokens)
-                    if score >= cutoff:
-                        out.append((min(probe_id, row_id), max(probe_id, row_id), score))
-            yield pd.DataFrame(out, columns=["id_a", "id_b", "score"])
-
-    rows = df.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(match, "id_a bigint, id_b bigint, score double")
+def _texts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Different texts (``id`` of their first row, text) and the rows that hold them (``id``, ``member``)."""
+    rows = df.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("member"), F.col(text).alias("text"))
+    keyed = rows.select("member", "text", F.sha2("text", 256).alias("digest"))
+    first = materialize(keyed.groupBy("digest").agg(F.min("member").alias("id"), F.any_value("text").alias("text")))
+    members = materialize(keyed.select("member", "digest").join(first.select("digest", "id"), "digest").select("id", "member"))
+    return first.select("id", "text"), members
+
+
+def _blocks(rows: DataFrame, count: str, by: list[str]) -> DataFrame:
+    """How many blocks the texts of each class make."""
+    return rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias(count))
+
+
+def _home(count: Column | str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(count) if isinstance(count, str) else count).cast("int")
+
+
+def _score_sets(cutoff: float):
+    """Pairs of a left and a right text, or of two texts of one block, whose lengths are close and whose token sets agree."""
+    def run(table: pa.Table) -> pa.Table:
+        sides = [[], []]
+        for side, i, t in zip(*[table[c].to_pylist() for c in ("side", "id", "text")]):
+            sides[side].append((i, len(t), set(t.split())))
+        one = table["same"][0].as_py()
+        left, right = sorted(sides[0], key=lambda x: x[1]), sorted(sides[1], key=lambda x: x[1])
+        found, low = [], 0
+        for i, n, tokens in left:
+            while low < len(right) and right[low][1] < 0.9 * n - 1:
+                low += 1
+            for j, m, others in right[low:]:
+                if m > n / 0.9 + 1:
+                    break
+                if i == j or (one and i > j) or not (length_band(n, m) if i < j else length_band(m, n)):
+                    continue
+                score = fz.token_set_ratio(tokens, others, cutoff)
+                if score >= cutoff:
+                    found.append((min(i, j), max(i, j), score))
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                         pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "score"])
+    return run
+
+
+def _with_copies(pairs: DataFrame, members: DataFrame, cutoff: float) -> DataFrame:
+    """From pairs of texts to pairs of rows; rows with one text pair with a score of 100."""
+    left, right = members.toDF("a", "id_1"), members.toDF("b", "id_2")
+    between = pairs.join(left, "a").join(right, "b").select("id_1", "id_2", "score")
+    inside = left.join(right.withColumnRenamed("b", "a"), "a").where("id_1 < id_2").select("id_1", "id_2", F.lit(100.0).alias("score"))
+    return between.unionByName(inside).select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), "score")
+
+
+def fuzzy_pairs(df: DataFrame, key: str = "row_id", text: str = "prompt", sample_max: int | None = None,
+                cutoff: float = 90.0, seed: int = 42, copies: bool = True) -> DataFrame:
+    """``id_a, id_b, score``: all pairs of rows whose lengths are close and whose token-set ratio reaches the cutoff, ``id_a``
+    < ``id_b``, each pair once. ``sample_max`` keeps the pairs with at least one of that many drawn rows. ``copies=False`` gives
+    pairs of different texts, each named by its first row."""
+    texts, members = _texts(df.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != ""), key, text)
+    step = F.floor(F.ln(F.length("text")) / math.log(LENGTH_STEP)).cast("int")
+    rows = texts.withColumn("step", step)
+    counts = materialize(_blocks(rows, "n", ["step"]))
+    probes = None
+    if sample_max is not None:
+        drawn = sample_n(df.where(F.length(text) > 0).select(key), key, sample_max, seed).select(F.col(key).cast("bigint").alias("member"))
+        probes = materialize(drawn)
+    placed = rows.join(counts, "step").withColumn("block", _home("n"))
+    columns = ["side", "same", "step", "i", "j", "id", "text"]
+    every = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
+    zero = F.lit(0)
+
+    def part(frame: DataFrame, side: int, same: bool, step: Column, i: Column, j: Column) -> DataFrame:
+        return frame.select(F.lit(side).alias("side"), F.lit(same).alias("same"), step.alias("step"), i.alias("i"), "id", "text", j.alias("j")).select(*columns)
+    block, n = F.col("block"), F.col("n")
+    inner_left = placed.withColumn("o", every(block, n - 1))
+    inner_right = placed.withColumn("o", every(zero, block))
+    # left blocks of a class against right blocks of the class above
+    above = counts.select((F.col("step") - 1).alias("step"), F.col("n").alias("m"))
+    below = counts.select((F.col("step") + 1).alias("step"), F.col("n").alias("m"))
+    outer_left = placed.join(above, "step").withColumn("o", every(zero, F.col("m") - 1))
+    outer_right = placed.join(below, "step").withColumn("o", every(zero, F.col("m") - 1))
+    o, at = F.col("o"), F.col("step")
+    inner = part(inner_left, 0, True, at, block, o).unionByName(part(inner_right, 1, True, at, o, block))
+    outer = part(outer_left, 0, False, at, block, o).unionByName(part(outer_right, 1, False, at - 1, o, block))
+    # pairs of two blocks of one class are met once; inside a block the smaller id is on the left
+    same_block = F.col("same") & (F.col("i") == F.col("j"))
+    work = inner.unionByName(outer).withColumn("same", same_block)
+    pairs = work.groupBy("step", F.col("i"), F.col("j"), "same").applyInArrow(_score_sets(cutoff), "a bigint, b bigint, score double").distinct()
+    if not copies:
+        return pairs.toDF("id_a", "id_b", "score")
+    found = _with_copies(pairs, members, cutoff)
+    if probes is None:
+        return found
+    drawn_a = found.join(probes.withColumnRenamed("member", "id_a"), "id_a", "left_semi")
+    drawn_b = found.join(probes.withColumnRenamed("member", "id_b"), "id_b", "left_semi")
+    return drawn_a.unionByName(drawn_b).distinct()
 
 
 def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
@@ -65,27 +134,68 @@ def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc("score"), *keys).limit(n)
 
 
+def _survivors(short: list, long: list, cutoff: float) -> list[tuple[int, int]]:
+    """Pairs (short, long) of which so many five-character pieces of the shorter text stand in the longer one as the edits that
+    the cutoff allows must leave."""
+    sizes = np.array([len(t.text) for t in long])
+    own = [np.unique(t.codes) for t in long]
+    codes = np.concatenate(own) if own else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(long)), [len(o) for o in own])
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    out = []
+    for k, t in enumerate(short):
+        n = len(t.text)
+        slack = int(2 * (1 - cutoff / 100.0) * n + 1e-9)
+        pieces = t.codes[::fz.PIECE]
+        needed = len(pieces) - slack
+        fits = sizes >= n
+        if needed > 0:
+            value, times = np.unique(pieces, return_counts=True)
+            low, high = np.searchsorted(codes, value, "left"), np.searchsorted(codes, value, "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            fits &= np.bincount(owner[at], np.repeat(times, count), minlength=len(long)) >= needed
+        out += [(k, int(j)) for j in np.flatnonzero(fits)]
+    return out
+
+
+def _score_parts(cutoff: float):
+    def run(table: pa.Table) -> pa.Table:
+        sides = [[], []]
+        for side, i, t in zip(*[table[c].to_pylist() for c in ("side", "id", "text")]):
+            sides[side].append((i, fz.SearchText(t)))
+        left, right = sides
+        l_texts, r_texts = [t for _, t in left], [t for _, t in right]
+        pairs = set(_survivors(l_texts, r_texts, cutoff)) | {(a, b) for b, a in _survivors(r_texts, l_texts, cutoff)}
+        found = []
+        for a, b in sorted(pairs):
+            score = fz.partial_ratio(l_texts[a], r_texts[b], cutoff)
+            if score >= cutoff:
+                found.append((left[a][0], right[b][0], score))
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                         pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "score"])
+    return run
+
+
 def cross_source_matches(left: DataFrame, right: DataFrame, key: str = "row_id", text: str = "prompt",
-                         sample_max: int = 150, cutoff: float = 92.0, shown: int = 120, seed: int = 42) -> DataFrame:
-    """Matches of sampled left rows in the whole right table by best-substring ratio. Whole texts are
-    compared; only the copies in the result are cut for display."""
-    shared = left.sparkSession.sparkContext.broadcast(_probes(left, key, text, sample_max, seed))
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(i, fz.SearchText(t)) for i, t in shared.value]
-        for batch in batches:
-            out = []
-            for row_id, row_text in zip(batch["id"], batch["text"]):
-                row = fz.SearchText(row_text)
-                for probe_id, probe in ready:
-                    score = fz.partial_ratio(probe, row, cutoff)
-                    if score >= cutoff:
-                        out.append((probe_id, row_id, score, probe.text[:shown], row_text[:shown]))
-            yield pd.DataFrame(out, columns=["id_left", "id_right", "score", "left_text", "right_text"])
-
-    rows = right.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(
-        match, "id_left bigint, id_right bigint, score double, left_text string, right_text string")
+                         sample_max: int | None = None, cutoff: float = 92.0, shown: int = 120, seed: int = 42) -> DataFrame:
+    """All matches between two tables by best-substring ratio. Whole texts are compared; only the copies in the result are cut
+    for display. ``sample_max`` draws that many rows of the left table."""
+    if sample_max is not None:
+        left = sample_n(left.where(F.length(text) > 0), key, sample_max, seed)
+    (l_texts, l_members), (r_texts, r_members) = _texts(left, key, text), _texts(right, key, text)
+    n_left, n_right = (_blocks(t, "n", []).first()["n"] or 1 for t in (l_texts, r_texts))
+
+    def part(texts: DataFrame, side: int, own: int, other: int, i: str, j: str) -> DataFrame:
+        return texts.select(F.lit(side).alias("side"), "id", "text", _home(F.lit(own)).alias(i),
+                            F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(j))
+    work = part(l_texts, 0, n_left, n_right, "i", "j").unionByName(part(r_texts, 1, n_right, n_left, "j", "i"))
+    pairs = materialize(work.groupBy("i", "j").applyInArrow(_score_parts(cutoff), "a bigint, b bigint, score double"))
+    shown_left = l_texts.select(F.col("id").alias("a"), F.substring("text", 1, shown).alias("left_text"))
+    shown_right = r_texts.select(F.col("id").alias("b"), F.substring("text", 1, shown).alias("right_text"))
+    return (pairs.join(shown_left, "a").join(shown_right, "b").join(l_members.toDF("a", "id_left"), "a")
+            .join(r_members.toDF("b", "id_right"), "b").select("id_left", "id_right", "score", "left_text", "right_text"))
 
 
 def token_set_score(a, b):
@@ -106,8 +216,8 @@ def partial_score(a, b, cutoff: float = 0.0):
 
 
 def fuzzy_star_pairs(df: DataFrame, key: str = "row_id", text: str = "prompt", cutoff: float = 90.0) -> DataFrame:
-    """Fuzzy matches over the whole table without sampling: every row against the centres of its
-    near-duplicate clusters (a row is compared with a handful of centres, not with all others)."""
+    """A cheap look at a large table: every row against the centres of its near-duplicate clusters only. Linear, but not complete:
+    two members of a cluster are not compared, nor rows that share no band (``fuzzy_pairs`` finds those too)."""
     stars = lsh.near_duplicate_clusters(df, key, text).where("cluster <> member")
     texts = df.select(F.col(key).alias("member"), F.col(text).alias("text"))
     # Cluster centres are few per member, and a member's text is joined once per cluster it is in.

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import materialize
 
-PROFILE_SIZE = 300
-UNSEEN = -12_000_000
+#: Entries of the profiles that one pass sends to the tasks; larger profiles take several passes.
+PASS_ENTRIES = 4_000_000
 
 
 def _trigrams(c) -> Column:
@@ -18,35 +22,84 @@ def _trigrams(c) -> Column:
     return tx.windows_of(tx.characters(t), 3, "")
 
 
-def language_profiles(df: DataFrame, text: str, lang: str, size: int = PROFILE_SIZE) -> DataFrame:
-    """``lang, gram, weight``: the ``size`` most frequent 3-grams of every language with their
-    log-frequency in millionths. The model has a fixed number of entries per language, whatever the
-    size of the training table."""
+def language_profiles(df: DataFrame, text: str, lang: str, size: int | None = None) -> DataFrame:
+    """``lang, gram, weight``: the log-probability in millionths of every 3-gram of every language, and under the empty gram that
+    of a 3-gram the language does not have. Add-one smoothing: (n + 1) / (N + V), with N the 3-grams of the language and V
+    the different ones of all languages. ``size`` keeps only that many of the most frequent per language."""
     counts = (df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_trigrams(text)).alias("gram"))
               .groupBy("lang", "gram").agg(F.count("*").alias("n")))
     counts = materialize(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size)
-    weight = F.round(F.ln(F.col("n") / F.col("total")) * 1_000_000).cast("bigint")
-    return materialize(best.join(totals, "lang").select("lang", "gram", weight.alias("weight")))
-
-
-def detect_language(df: DataFrame, text: str, key: list[str], profiles: DataFrame) -> DataFrame:
-    """Add ``detected``: the language whose profile fits the text best (a 3-gram outside a profile costs
-    a fixed amount), ``unknown`` for blank texts and texts without any known 3-gram.
-
-    3-grams are counted per row inside the map task, so hot 3-grams are never a shuffle key; the profile
-    table is joined by its known size. What is shuffled is one partial score per row and language."""
-    grams = (df.select(*key, F.explode(_trigrams(text)).alias("gram")))
-    gain = (F.col("weight") - F.lit(UNSEEN)).cast("bigint")
-    scores = grams.join(profiles, "gram").groupBy(*key, "lang").agg(F.sum(gain).alias("score"))
-    # max_by with the score and then the smallest name; the negated code keeps ties in name order.
-    best = scores.groupBy(*key).agg(F.max(F.col("score")).alias("best"), F.collect_list(F.struct("score", "lang")).alias("all"))
-    winner = F.array_min(F.transform(F.filter("all", lambda s: s.getField("score") == F.col("best")),
-                                     lambda s: s.getField("lang")))
-    found = best.select(*key, winner.alias("detected"))
-    return df.join(found, key, "left").withColumn("detected", F.coalesce("detected", F.lit("unknown")))
+    different = counts.agg(F.countDistinct("gram").alias("v")).scalar()
+    totals = materialize(counts.groupBy("lang").agg((F.sum("n") + different).alias("total")))
+
+    def weight(n) -> Column:
+        return F.round(F.ln(n / F.col("total")) * 1_000_000).cast("bigint").alias("weight")
+    if size is not None:
+        w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+        counts = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size)
+    seen = counts.join(totals, "lang").select("lang", "gram", weight(F.col("n") + 1))
+    return materialize(seen.unionByName(totals.select("lang", F.lit("").alias("gram"), weight(F.lit(1.0)))))
+
+
+def _codes(text: str) -> np.ndarray:
+    """One number per 3-character run."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def _gains(profile: pd.DataFrame, languages: list[str], unseen: np.ndarray):
+    """A function from texts to [gain over unseen of each language ..., 3-grams that any language has]."""
+    code = np.array([_codes(g)[0] for g in profile["gram"]], dtype=np.int64)
+    known, place = np.unique(code, return_inverse=True)
+    gain = np.zeros((len(known) + 1, len(languages) + 1), dtype=np.int64)
+    row = profile["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()
+    gain[place, row] = profile["weight"].to_numpy() - unseen[row]
+    gain[:-1, -1] = 1
+
+    def score(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            codes = _codes(t or "")
+            at = np.searchsorted(known, codes)
+            at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != codes)] = len(known)
+            out.append(gain[at].sum(axis=0))
+        return pd.Series(out)
+    return score
+
+
+def _gain_column(sent, languages: list[str], unseen: np.ndarray):
+    @F.pandas_udf("array<bigint>")
+    def gain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = _gains(sent.value, languages, unseen)
+        for batch in batches:
+            yield score(batch)
+    return gain
+
+
+def detect_language(df: DataFrame, text: str, profiles: DataFrame, out: str = "detected", pass_entries: int = PASS_ENTRIES) -> DataFrame:
+    """Add ``detected``: the language under which the text's 3-grams are likeliest (ties by name), ``unknown`` for blank texts and
+    texts without any known 3-gram.
+
+    One expression per row: its 3-grams are looked up in the sorted profile inside the task, in batches; nothing is exploded,
+    shuffled or joined back. Profiles are sent in parts of at most ``pass_entries``, whose gains add up."""
+    unseen_rows = sorted((r["lang"], r["weight"]) for r in profiles.where("gram = ''").collect())
+    if not unseen_rows:
+        return df.withColumn(out, F.lit("unknown"))
+    languages, unseen = [r[0] for r in unseen_rows], np.array([r[1] for r in unseen_rows])
+    entries = profiles.where("gram <> ''")
+    parts = max(1, -(-entries.count() // pass_entries))
+    padded = F.concat(F.lit(" "), tx.norm_text(text), F.lit(" "))
+    gains = None
+    for part in range(parts):
+        own = entries.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part) if parts > 1 else entries
+        found = _gain_column(df.sparkSession.sparkContext.broadcast(own.toPandas()), languages, unseen)(padded)
+        gains = found if gains is None else F.zip_with(gains, found, lambda a, b: a + b)
+    runs = F.greatest(F.length(padded) - 2, F.lit(0)).cast("bigint")
+    scores = F.array(*[F.struct((-(F.col("_gains")[k] + F.col("_runs") * F.lit(int(u)).cast("bigint"))).alias("cost"), F.lit(name).alias("lang"))
+                       for k, (name, u) in enumerate(zip(languages, unseen))])
+    return (df.withColumn("_gains", gains).withColumn("_runs", runs)
+            .withColumn(out, F.when(F.coalesce(F.col("_gains")[len(languages)], F.lit(0)) == 0, F.lit("unknown"))
+                        .otherwise(F.array_min(scores).getField("lang"))).drop("_gains", "_runs"))
 
 
 def language_distribution(df: DataFrame, fields: list[str], key: str, profiles: DataFrame) -> DataFrame:
@@ -54,7 +107,7 @@ def language_distribution(df: DataFrame, fields: list[str], key: str, profiles:
     any field has more than one language."""
     cells = df.select(key, F.inline(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])))
-    counts = (detect_language(cells, "text", [key, "field"], profiles)
+    counts = (detect_language(cells, "text", profiles)
               .groupBy("field", "detected").agg(F.count("*").alias("n")))
     # A handful of languages per field from here on.
     per_field = Window.partitionBy("field")

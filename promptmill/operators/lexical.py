@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import lookup, materialize
 from .running import running_total
 from .stats import entropy_bits
 
@@ -93,13 +94,20 @@ def top_ngrams(df: DataFrame, column: str = "prompt", sizes: list[int] = (1, 2,
                by: str = "source") -> DataFrame:
     """Most frequent n-grams per dataset and n, with their share of all n-grams. Ties by n-gram."""
     sizes = list(sizes)
-    counts = _grams(df, column, sizes, [by]).groupBy(by, "n", "ngram").agg(F.count("*").alias("freq"))
+    # Counted under two hashes (96 bits) beside the first letters that ties are broken by; the text of a gram is not shuffled.
+    grams = _grams(df, column, sizes, [by])
+    counts = grams.groupBy(by, "n", F.xxhash64("ngram").alias("h1"), F.hash("ngram").alias("h2")).agg(F.count("*").alias("freq"))
+    # Everything as frequent as the last of the top is looked up, so that ties can be broken by the whole text.
+    w = Window.partitionBy(by, "n").orderBy(F.desc("freq"))
+    frequent = materialize(counts.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= top).drop("_r"))
+    named = (lookup(grams.withColumn("h1", F.xxhash64("ngram")).withColumn("h2", F.hash("ngram")), frequent, [by, "n", "h1", "h2"], "inner")
+             .groupBy(by, "n", "ngram", "freq").agg(F.lit(1)).select(by, "n", "ngram", "freq"))
     # All n-grams of a text are counted from its token count, without exploding it again.
     totals = (df.select(by, tx.n_words(column).alias("w"))
               .groupBy(by).agg(*[F.sum(F.greatest(F.col("w") - (n - 1), F.lit(0))).alias(f"_{n}") for n in sizes])
               .select(by, F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("total")) for n in sizes]))))
     w = Window.partitionBy(by, "n").orderBy(F.desc("freq"), "ngram")
-    best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return best.join(totals, [by, "n"]).select(
         by, "n", "rank", "ngram", "freq", (F.col("freq") / F.col("total")).alias("rel_freq"))
 

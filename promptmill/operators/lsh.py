@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import minhash as mh
 from ..functions import text as tx
-from ..session import lookup, materialize
+from ..session import discard, lookup, materialize
 
 WORDS, CHARS = "words", "chars"
 
@@ -56,8 +57,43 @@ def _memberships(rows: DataFrame) -> DataFrame:
     return materialize(spread.join(shared, "key", "left_semi"))
 
 
+#: Memberships of a component that one task walks through.
+WALK_ROWS = 100_000
+
+
+def _components(members: DataFrame) -> DataFrame:
+    """``id, label``: the least id that a row reaches over shared keys. Labels travel over a key and then along their own labels,
+    so the number of rounds grows with the logarithm of the longest chain."""
+    labels = materialize(members.select("id").distinct().withColumn("label", F.col("id")))
+    while True:
+        near = members.join(labels, "id").groupBy("key").agg(F.min("label").alias("label"))
+        reached = members.join(near, "key").groupBy("id").agg(F.min("label").alias("m"))
+        step = materialize(labels.join(reached, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old")))
+        above = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        jumped = materialize(step.join(above, "label").select("id", F.col("up").alias("label"), "old"))
+        done = jumped.where("label <> old").isEmpty()
+        discard(step)
+        discard(labels)
+        labels = jumped.select("id", "label")
+        if done:
+            return labels
+
+
+def _walk(table: pd.DataFrame) -> pd.DataFrame:
+    """The ordered walk through one component."""
+    taken, accepted = set(), []
+    for i, keys in table.sort_values("id").groupby("id", sort=True)["key"]:
+        if taken.isdisjoint(keys):
+            taken.update(keys)
+            accepted.append(i)
+    return pd.DataFrame({"id": pd.Series(accepted, dtype="int64")})
+
+
 def first_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Walk the rows in id order and accept each one that collides with no accepted row, as a fixed point:
+    """Walk the rows in id order and accept each one that collides with no accepted row.
+
+    Rows that share no key with each other, directly or through others, do not matter to one another: each component of at most
+    ``WALK_ROWS`` memberships is walked through by one task. The few larger ones are decided as a fixed point, by rounds:
 
     - an undecided row that is the earliest undecided one under all of its keys is accepted;
     - every other row under a key of an accepted row is rejected.
@@ -65,7 +101,11 @@ def first_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns the accepted ids among the rows that share a key, and all memberships of shared keys. Rows
     that share no key are accepted and appear in neither."""
     members = _memberships(rows)
-    undecided, accepted = members, []
+    labelled = materialize(members.join(_components(members), "id"))
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    small = labelled.join(sizes.where(F.col("n") <= WALK_ROWS).select("label"), "label", "left_semi")
+    accepted = [materialize(small.groupBy("label").applyInPandas(_walk, "id bigint"))]
+    undecided = materialize(labelled.join(sizes.where(F.col("n") > WALK_ROWS).select("label"), "label", "left_semi").select("id", "key"))
     while not undecided.isEmpty():
         earliest = materialize(undecided.groupBy("key").agg(F.min("id").alias("first_id")))
         winners = materialize(
@@ -74,7 +114,10 @@ def first_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         accepted.append(winners)
         closed = earliest.join(winners.withColumnRenamed("id", "first_id"), "first_id", "left_semi").select("key")
         decided = undecided.join(closed, "key", "left_semi").select("id").distinct()
-        undecided = materialize(lookup(undecided, decided, "id", "left_anti"))
+        left = materialize(lookup(undecided, decided, "id", "left_anti"))
+        discard(undecided)
+        discard(earliest)
+        undecided = left
     empty = members.select("id").limit(0)
     return reduce(DataFrame.unionByName, accepted, empty), members
 

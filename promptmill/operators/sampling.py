@@ -13,9 +13,10 @@ def draw(key, seed: int) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def uniform(parts: list, buckets: int = 1 << 30) -> Column:
-    """Number in [0, 1) from hashed parts."""
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)) / F.lit(float(buckets))
+def uniform(parts: list) -> Column:
+    """Number in [0, 1) from hashed parts: the first 32 bits of an md5, so that any engine can compute it."""
+    text = F.concat_ws("-", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
 def keep_first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
@@ -29,16 +30,17 @@ def stratified_sample(df: DataFrame, label: str, key: str, per_class: int = 50,
     return keep_first_n(df.where(F.col(label).isNotNull()), [label], [draw(key, seed), F.col(key)], per_class)
 
 
-def stratified_seeds(df: DataFrame, per_class: int = 50, max_seeds: int = 200, seed: int = 42,
-                     policy: str = "prefix", label: str = "intent_disc", key: str = "row_id") -> DataFrame:
-    """Seeds for generation: all rows of a small class, hashed draws of a large one, at most
-    ``max_seeds`` in all.
+def stratified_seeds(df: DataFrame, per_class: int = 50, max_seeds: int | None = None, seed: int = 42,
+                     policy: str = "per_class", label: str = "intent_disc", key: str = "row_id") -> DataFrame:
+    """Seeds for generation: all rows of a small class, ``per_class`` hashed draws of a large one.
 
-    ``prefix`` lists the classes in ascending order and cuts the list, so late classes may get no seeds;
-    ``per_class`` takes the same number of every class before the cut."""
+    With ``max_seeds`` the list is cut to that many in all: ``per_class`` takes the same number of every class before the cut;
+    ``prefix`` lists the classes in ascending order and cuts the list, so late classes may get no seeds."""
     w = Window.partitionBy(label).orderBy(draw(key, seed), F.col(key))
     ranked = (df.where(F.col(label).isNotNull()).withColumn("seed_rank", F.row_number().over(w))
               .where(F.col("seed_rank") <= per_class))
+    if max_seeds is None:
+        return ranked
     order = [label, "seed_rank"] if policy == "prefix" else ["seed_rank", label]
     return ranked.orderBy(*order).limit(max_seeds)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..session import lookup, materialize
-from .running import dense_index, exact_percentiles
+from .running import dense_index
 from .sampling import uniform
 
 
@@ -109,17 +109,15 @@ def modulo_pairs(left: DataFrame, right: DataFrame, vector: str, key: str, n: in
             .select(F.col("pos").cast("bigint").alias("pos"), vec.dot("va", "vb").alias("cosine")))
 
 
-def semantic_summary(df: DataFrame, vector: str, key: str, by: str, left: str, right: str,
-                     n: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean cosine inside each dataset over random pairs, and between the two over paired rows."""
-    l, r = (df.where(F.col(by) == side).select(key, vector) for side in (left, right))
-    means = {"mean_intra_left": random_pairs(l, vector, key, n, seed), "mean_intra_right": random_pairs(r, vector, key, n, seed),
-             "mean_inter": modulo_pairs(l, r, vector, key, n)}
-    rows = None
-    for name, pairs in means.items():
-        part = pairs.agg(F.lit(name).alias("metric"), F.avg("cosine").alias("mean_cosine"), F.count("*").alias("n_pairs"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+def semantic_summary(df: DataFrame, vector: str, dim: int, by: str, left: str, right: str) -> DataFrame:
+    """Exact mean cosine over all pairs inside each dataset and over all pairs between the two (unit vectors), with the number
+    of pairs: everything follows from the sums of the vectors, so nothing is sampled and no pair is formed."""
+    inside = mean_pairwise(df.where(F.col(by).isin(left, right)), vector, dim, [by]).select(
+        F.when(F.col(by) == left, "mean_intra_left").otherwise("mean_intra_right").alias("metric"), "mean_cosine",
+        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n_pairs"))
+    pairs = df.agg((F.count_if(F.col(by) == left) * F.count_if(F.col(by) == right)).alias("n")).scalar()
+    across = mean_cross(df, vector, dim, by, left, right).select(F.lit("mean_inter").alias("metric"), "mean_cosine", pairs.alias("n_pairs"))
+    return inside.unionByName(across)
 
 
 def project(df: DataFrame, vector: str, dims: int = 2, out: str = "projection") -> DataFrame:
@@ -146,21 +144,22 @@ def squared_distance(a, b) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cluster_embeddings(df: DataFrame, vector: str, k: int, min_size: int = 10, far: float = 0.95,
+def cluster_embeddings(df: DataFrame, vector: str, k: int, min_size: int = 10, far: float = 2.0,
                        seed: int = 42, out: str = "cluster", model=None) -> DataFrame:
-    """k-means labels; -1 for rows farther from their centre than the ``far`` fraction of all rows and
-    for clusters with fewer than ``min_size`` rows."""
+    """k-means labels; -1 for rows that lie farther from their centre than the mean distance of their cluster plus ``far``
+    standard deviations, and for clusters with fewer than ``min_size`` rows. How many rows that are depends on the data."""
     model = model or fit_clusters(df, vector, k, seed)
     labelled = (model.transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))).drop("_v"))
     # The centres are k rows that the driver already holds.
     placed = (labelled.join(F.broadcast(centres_table(df, model)), "cluster")
               .withColumn("_d", F.sqrt(squared_distance(F.col(vector), F.col("centre")))).drop("centre"))
-    limit = exact_percentiles(placed, "_d", {"cut": far}).select("cut").scalar()
-    near = placed.withColumn("cluster", F.when(F.col("_d") > limit, F.lit(-1)).otherwise(F.col("cluster")))
+    limits = placed.groupBy("cluster").agg((F.avg("_d") + F.lit(far) * F.coalesce(F.stddev_pop("_d"), F.lit(0.0))).alias("_limit"))
+    near = lookup(placed, limits, "cluster", "inner").withColumn(
+        "cluster", F.when(F.col("_d") > F.col("_limit"), F.lit(-1)).otherwise(F.col("cluster")))
     sizes = near.groupBy("cluster").agg(F.count("*").alias("_n"))
     return (lookup(near, sizes, "cluster", "inner")
             .withColumn("cluster", F.when(F.col("_n") < min_size, F.lit(-1)).otherwise(F.col("cluster")))
-            .drop("_d", "_n").withColumnRenamed("cluster", out))
+            .drop("_d", "_limit", "_n").withColumnRenamed("cluster", out))
 
 
 def novelty_score(df: DataFrame, vector: str, key: str, model) -> DataFrame:

@@ -98,8 +98,8 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] = (), weight:
 
 def kde(df: DataFrame, value: str, points: int = 50, by: list[str] = (), margin: float = 0.5) -> DataFrame:
     """Gaussian density per group on a common grid, with Scott's bandwidth. The grid covers the range of
-    the data and ``margin`` of it on both sides. Each grid point is one sum of a single pass over the
-    rows: nothing is multiplied out and only ``points`` numbers per group are shuffled."""
+    the data and ``margin`` of it on both sides. The work follows the distinct values: equal ones are counted
+    first, and only ``points`` numbers per group and task are shuffled after that."""
     if not by:
         return kde(df.withColumn("_all", F.lit(0)), value, points, ["_all"], margin).drop("_all")
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
@@ -112,12 +112,12 @@ def kde(df: DataFrame, value: str, points: int = 50, by: list[str] = (), margin:
     def grid(i) -> Column:
         return lo - (hi - lo) * margin + (hi - lo) * (1 + 2 * margin) * i / (points - 1)
 
-    sums = lookup(data, spread, by, "inner").groupBy(*by, "_n", "_h").agg(*[
-        F.sum(F.exp(-0.5 * F.pow((grid(i) - F.col("_x")) / F.col("_h"), F.lit(2)))).alias(f"_g{i}")
-        for i in range(points)])
-    cells = F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"_g{i}").alias("_s")) for i in range(points)])
+    # Equal values are one row with a weight; a row meets the grid points one by one and is summed up before the shuffle.
+    weighted = lookup(value_counts(df, value, by), spread, by, "inner")
+    terms = weighted.select(*by, "_n", "_h", "_count", "_value", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    near = F.exp(-0.5 * F.pow((grid(F.col("point")) - F.col("_value")) / F.col("_h"), F.lit(2)))
     scale = F.col("_n") * F.col("_h") * F.sqrt(2 * F.pi())
-    return (sums.select(*by, "_n", "_h", F.inline(cells))
+    return (terms.groupBy(*by, "_n", "_h", "point").agg(F.sum(near * F.col("_count")).alias("_s"))
             .select(*by, "point", grid(F.col("point")).alias("x"), (F.col("_s") / scale).alias("density")))
 
 

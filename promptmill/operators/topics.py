@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..session import lookup, materialize
 from .sampling import examples_per_group
-from .semantic import centres_table, cluster_embeddings, embed, fit_clusters, project, squared_distance
+from .semantic import cluster_embeddings, embed, project, squared_distance
 
 
 def topic_model(df: DataFrame, text: str, n_topics: int = 16, min_topic_size: int = 15, vector: str | None = None,
@@ -31,17 +31,22 @@ def _terms(df: DataFrame, groups: list[str], text: str, stopwords: list[str], si
 
 
 def topic_keywords(df: DataFrame, groups: list[str], text: str, stopwords: list[str] = (), top: int = 10,
-                   sizes: tuple[int, ...] = (1, 2), min_df: int = 2, max_features: int = 1000) -> DataFrame:
+                   sizes: tuple[int, ...] = (1, 2), min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """Top terms of every topic by class-based TF-IDF: the share of the term in the topic times
     ln(1 + A / f), with A the mean number of terms per topic (whole part) and f the frequency of the term
-    in all topics. Terms of fewer than ``min_df`` topics are left out, then the ``max_features`` most
-    frequent are kept."""
-    counts = materialize(_terms(df, groups, text, list(stopwords), tuple(sizes))
-                         .groupBy(*groups, "term").agg(F.count("*").alias("n")))
-    vocabulary = (counts.groupBy("term").agg(F.sum("n").alias("f"), F.count("*").alias("df"))
-                  .where(F.col("df") >= min_df).orderBy(F.desc("f"), "term").limit(max_features))
-    # The vocabulary has a fixed number of entries.
-    kept = counts.join(F.broadcast(vocabulary.select("term", "f")), "term")
+    in all topics. Terms of fewer than ``min_df`` topics are left out; with ``max_features`` only that many
+    of the most frequent are kept.
+
+    A term's counts in all topics are one row, so its total and number of topics need no second shuffle, and only the terms
+    that are kept are written."""
+    per_topic = (_terms(df, groups, text, list(stopwords), tuple(sizes)).groupBy(*groups, "term").agg(F.count("*").alias("n")))
+    # One entry per topic: as long as the list of topics.
+    together = per_topic.groupBy("term").agg(F.sum("n").alias("f"), F.count("*").alias("df"),
+                                             F.collect_list(F.struct(*groups, "n")).alias("_in"))
+    kept = together.where(F.col("df") >= min_df)
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("f"), "term").limit(max_features)
+    kept = materialize(kept.select("term", "f", F.inline("_in")))
     totals = kept.groupBy(*groups).agg(F.sum("n").alias("size"))
     mean_size = totals.agg(F.floor(F.avg("size")).alias("a")).scalar()
     scored = lookup(kept, totals, groups, "inner").select(
@@ -161,12 +166,6 @@ def document_map(df: DataFrame, key: str, vector: str) -> DataFrame:
     return project(df, vector, 2).select(key, F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
 
 
-def embedding_topics(df: DataFrame, vector: str, k: int, seed: int = 42):
-    """Fitted model and its centres, for vectors that exist already."""
-    model = fit_clusters(df, vector, k, seed)
-    return model, centres_table(df, model, "topic")
-
-
 def gini_of_sizes(sizes: Column) -> Column:
     """Gini index of topic sizes given as a sorted array."""
     n = F.size(sizes)

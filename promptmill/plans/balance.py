@@ -16,19 +16,23 @@ from . import generate as gen
 
 
 class BalanceResult(NamedTuple):
+    """``failures`` has a row for each request that gave no text: stage, seq, intent_disc, error."""
     augmented: DataFrame
     metrics: DataFrame
     report: DataFrame
+    failures: DataFrame | None = None
 
 
 def plan_quotas(counts: DataFrame, target_coverage: float = fv.TARGET_COVERAGE,
-                max_new_per_class: int = fv.MAX_NEW_PER_CLASS) -> DataFrame:
-    """New rows per class from ``intent_disc, n``: the gap to the largest class times the target, rounded
-    half to even and capped. The largest class is found by a window over the class counts."""
-    factor = max(0.0, min(1.0, float(target_coverage) / 100.0))
+                max_new_per_class: int | None = None) -> DataFrame:
+    """New rows per class from ``intent_disc, n``: ``n_wanted``, the gap to the largest class times the target share, rounded
+    half to even, and ``n_new``, the same unless the caller sets a most per class. The largest class is found by a window
+    over the class counts."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(float(target_coverage)) / 100.0))
     largest = F.max("n").over(Window.partitionBy(F.lit(0)))
-    wanted = F.bround((largest - F.col("n")) * F.lit(factor)).cast("bigint")
-    return counts.select("intent_disc", "n", F.least(wanted, F.lit(max_new_per_class)).cast("bigint").alias("n_new"))
+    wanted = F.bround((largest - F.col("n")) * share).cast("bigint")
+    most = wanted if max_new_per_class is None else F.least(wanted, F.lit(max_new_per_class).cast("bigint"))
+    return counts.select("intent_disc", "n", wanted.alias("n_wanted"), most.alias("n_new"))
 
 
 def plan_total(quotas: DataFrame) -> DataFrame:
@@ -118,15 +122,15 @@ def report_text(reports: list[DataFrame]) -> DataFrame:
 METRICS = ["coverage_percent", "paraphrase_mean_similarity", "duplicate_ratio", "class_histogram_cv_percent"]
 
 
-def seed_table(source: DataFrame, per_class: int, max_seeds: int, policy: str, seed: int) -> DataFrame:
-    """Seeds numbered in class order: ``seed_id, prompt, intent_disc``. At most ``max_seeds`` rows."""
+def seed_table(source: DataFrame, per_class: int, max_seeds: int | None, policy: str, seed: int) -> DataFrame:
+    """Seeds numbered in class order: ``seed_id, prompt, intent_disc``; at most ``per_class`` rows of each class."""
     rows = stratified_seeds(source.select("row_id", "prompt", "intent_disc"), per_class, max_seeds, seed, policy)
     w = Window.partitionBy(F.lit(0)).orderBy("intent_disc", "seed_rank")
     return rows.select((F.row_number().over(w) - 1).cast("bigint").alias("seed_id"), "prompt", "intent_disc")
 
 
 def finish(items: DataFrame, kept_pairs: DataFrame, source: DataFrame, counts: DataFrame, class_means: DataFrame,
-           planned: int, target_coverage: float, near_threshold: float = 0.9) -> BalanceResult:
+           planned: int, target_coverage: float, near_threshold: float = 0.9, failures: DataFrame | None = None) -> BalanceResult:
     """Remove repeats inside and against the source, fill in scores, measure. ``items`` are the generated
     rows of all stages, ``kept_pairs`` the paraphrases with their cosine."""
     unique = materialize(lsh.dedup_near(items, "item", "prompt", near_threshold))
@@ -146,13 +150,13 @@ def finish(items: DataFrame, kept_pairs: DataFrame, source: DataFrame, counts: D
         ratio(n_unique, total).alias("duplicate_ratio"), ratio(n_final, n_unique).alias("duplicate_ratio_vs_source"),
         stats.class_cv_percent(augmented).scalar().alias("class_histogram_cv_percent"),
         format_counts(counts).scalar().alias("class_counts")))
-    return BalanceResult(augmented, facts.select(*METRICS), report_lines(facts))
+    return BalanceResult(augmented, facts.select(*METRICS), report_lines(facts), failures)
 
 
 def balance_dataset(source: DataFrame, generator: gen.Generator = gen.rule_based, target_coverage: float = fv.TARGET_COVERAGE,
-                    max_new_per_class: int = fv.MAX_NEW_PER_CLASS, min_similarity: float = fv.MIN_SIMILARITY,
+                    max_new_per_class: int | None = None, min_similarity: float = fv.MIN_SIMILARITY,
                     max_similarity: float = fv.MAX_SIMILARITY, novel_ratio: float = fv.NOVEL_RATIO,
-                    per_class: int = fv.SEEDS_PER_CLASS, max_seeds: int = fv.MAX_SEEDS, policy: str = "prefix",
+                    per_class: int = fv.SEEDS_PER_CLASS, max_seeds: int | None = None, policy: str = "per_class",
                     seed: int = 42, run: int = 1) -> BalanceResult:
     """The whole flow over ``row_id, prompt, intent_disc, intent_cont``. Generated rows are written once,
     before anything reads them, so a generator that is not repeatable is still called once per request."""
@@ -160,26 +164,30 @@ def balance_dataset(source: DataFrame, generator: gen.Generator = gen.rule_based
     class_means = materialize(stats.class_mean_score(source))
     quotas = materialize(plan_quotas(counts, target_coverage, max_new_per_class))
     seeds = materialize(seed_table(source, per_class, max_seeds, policy, seed))
-    # The scores of the seeds only; at most max_seeds prompts are broadcast.
-    seed_rows = source.join(F.broadcast(seeds.select("prompt").distinct()), "prompt", "left_semi")
+    # The scores of the seeds only. The seeds are a written table, so Spark knows whether they are small enough to broadcast.
+    seed_rows = source.join(seeds.select("prompt").distinct(), "prompt", "left_semi")
     seed_scores = materialize(stats.prompt_score_lookup(seed_rows))
     size = quotas.agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("t")).select(
         "t", novel_budget(F.lit(seeds.count()), F.col("t"), novel_ratio).alias("k")).first()
 
-    paraphrased = materialize(semantic.pair_similarity(
-        gen.generate_from_seeds("paraphrase", seeds, generator, seed_scores, min_similarity, run), "seed_prompt", "prompt"))
-    kept_pairs = semantic.similarity_band(paraphrased, min_similarity, max_similarity)
-    stages = [kept_pairs.drop("cosine", "seed_prompt"),
-              gen.generate_from_seeds("syntax", seeds, generator, seed_scores, run=run).drop("seed_prompt")]
+    made = [gen.made_from_seeds("paraphrase", seeds, generator, seed_scores, min_similarity, run),
+            gen.made_from_seeds("syntax", seeds, generator, seed_scores, run=run)]
     if size["t"] > 0:
-        stages.append(gen.generate_conditional(quotas, class_means, generator, run))
+        made.append(gen.made_conditional(quotas, class_means, generator, run))
     if size["k"] > 0:
-        draws = weighted_class_draw(quotas, size["k"], seed, [run])
-        stages.append(gen.generate_novel(draws, class_means, generator, run))
-    items = stages[0]
-    for part in stages[1:]:
-        items = items.unionByName(part)
-    return finish(materialize(items), kept_pairs, source, counts, class_means, int(size["t"]), target_coverage)
+        made.append(gen.made_novel(weighted_class_draw(quotas, size["k"], seed, [run]), class_means, generator, run))
+    # Every request is called once; what failed stays beside what came back.
+    everything = made[0]
+    for part in made[1:]:
+        everything = everything.unionByName(part, allowMissingColumns=True)
+    good, failed = gen.drop_failed(materialize(everything))
+    failures = failed.select("stage", "seq", "intent_disc", "error")
+    items = gen.items(good, "seed_prompt")
+    is_pair = F.col("stage") == "paraphrase"
+    paraphrased = materialize(semantic.pair_similarity(items.where(is_pair), "seed_prompt", "prompt"))
+    kept_pairs = semantic.similarity_band(paraphrased, min_similarity, max_similarity)
+    rows = items.where(~is_pair).drop("seed_prompt").unionByName(kept_pairs.drop("cosine", "seed_prompt"))
+    return finish(materialize(rows), kept_pairs, source, counts, class_means, int(size["t"]), target_coverage, failures=failures)
 
 
 def repeat_runs(source: DataFrame, runs: int = 1, **options) -> tuple[BalanceResult, DataFrame]:
@@ -187,12 +195,13 @@ def repeat_runs(source: DataFrame, runs: int = 1, **options) -> tuple[BalanceRes
     one after the other, the metrics and gates of the last run."""
     seed = options.pop("seed", 42)
     results = [balance_dataset(source, seed=seed + i, run=i + 1, **options) for i in range(runs)]
-    rows = None
+    rows = failures = None
     for i, result in enumerate(results):
-        part = result.augmented.withColumn("run", F.lit(i + 1))
+        part, failed = (t.withColumn("run", F.lit(i + 1)) for t in (result.augmented, result.failures))
         rows = part if rows is None else rows.unionByName(part)
+        failures = failed if failures is None else failures.unionByName(failed)
     last = results[-1].metrics
-    return BalanceResult(rows, last, report_text([r.report for r in results])), quality_gates(last)
+    return BalanceResult(rows, last, report_text([r.report for r in results]), failures), quality_gates(last)
 
 
 def balance_until_gates(source: DataFrame, attempts: int = 3, **options) -> tuple[BalanceResult, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,10 @@ from ..session import lookup
 # A generator takes the messages of one request and a dict of parameters (the stage and a number that
 # tells requests apart) and returns one line of text; raising loses only that row.
 Generator = Callable[[list[dict], dict], str]
+# A batch generator is loaded once per Python worker and task: it takes an iterator of frames with the columns ``messages`` and
+# ``number`` and yields, for each of them, a frame with ``text`` and ``error`` in the same order. It may hold a client
+# open or send many requests at a time.
+BatchGenerator = Callable[[Iterator[pd.DataFrame], dict], Iterator[pd.DataFrame]]
 
 STAGE_RANK = {"paraphrase": 0, "syntax": 1, "conditional": 2, "brainstorm": 3}
 # Room for the sequence numbers of one stage in the order of all generated rows.
@@ -79,24 +84,50 @@ def rule_based(messages: list[dict], params: dict) -> str:
     return f"{pick(OPENERS, 0)} {pick(SUBJECTS, 1)} {pick(ANGLES, 2)}, case {int.from_bytes(seed[4:8], 'big')}"
 
 
-def run_generator(requests: DataFrame, generator: Generator, params: dict, keep: list[str],
-                  messages: str = "messages") -> DataFrame:
-    """Run the generator once per request and add ``text`` and ``error``. A column ``number`` of the
-    requests is handed on as parameter. Parallelism is the partitioning of the requests."""
-    schema = requests.select(*keep).schema.add("text", "string").add("error", "string")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def one_by_one(generator: Generator) -> BatchGenerator:
+    """The batch form of a generator that takes one request at a time."""
+    def run(batches: Iterator[pd.DataFrame], params: dict) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, errors = [], []
-            numbers = batch["number"] if "number" in batch else [None] * len(batch)
-            for request, number in zip(batch[messages], numbers):
+            for request, number in zip(batch["messages"], batch["number"]):
                 try:
                     texts.append(generator([dict(m) for m in request], {**params, "number": number}))
                     errors.append(None)
                 except Exception as error:  # one failing call loses its own row only
                     texts.append(None)
                     errors.append(repr(error))
-            yield batch[keep].assign(text=texts, error=errors)
+            yield pd.DataFrame({"text": texts, "error": errors}, dtype=object)
+    run.is_batch = True
+    return run
+
+
+def batch_generator(run: BatchGenerator) -> BatchGenerator:
+    """Marks a function as a batch generator (a decorator)."""
+    run.is_batch = True
+    return run
+
+
+def run_generator(requests: DataFrame, generator: Generator | BatchGenerator, params: dict, keep: list[str],
+                  messages: str = "messages") -> DataFrame:
+    """Run the generator over the requests and add ``text`` and ``error``. A column ``number`` of the requests is handed
+    on. Parallelism is the partitioning of the requests. A batch generator must give as many rows as it was sent."""
+    schema = requests.select(*keep).schema.add("text", "string").add("error", "string")
+    batched = generator if getattr(generator, "is_batch", False) else one_by_one(generator)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = deque()
+
+        def sent() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                waiting.append(batch[keep])
+                yield pd.DataFrame({"messages": batch[messages], "number": batch["number"] if "number" in batch else None})
+        for made in batched(sent(), params):
+            own = waiting.popleft()
+            if len(made) != len(own):
+                raise ValueError(f"the generator gave {len(made)} rows for {len(own)} requests")
+            yield own.assign(text=made["text"].to_numpy(), error=made["error"].to_numpy())
+        if waiting:
+            raise ValueError("the generator left requests without an answer")
 
     return requests.mapInPandas(run, schema)
 
@@ -107,21 +138,27 @@ def drop_failed(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
             generated.where(F.col("error").isNotNull() | F.col("text").isNull()))
 
 
-def _items(stage: str, rows: DataFrame, *extra: str) -> DataFrame:
+def items(made: DataFrame, *extra: str) -> DataFrame:
     """Generated rows in their common schema; ``item`` orders all rows of all stages."""
-    return rows.select(
-        (F.lit(STAGE_RANK[stage]).cast("bigint") * STAGE_ROOM + F.col("seq")).alias("item"), F.lit(stage).alias("stage"),
+    rank = F.create_map(*[F.lit(x) for pair in STAGE_RANK.items() for x in pair])
+    return made.select(
+        (F.element_at(rank, F.col("stage")).cast("bigint") * STAGE_ROOM + F.col("seq")).alias("item"), "stage",
         tx.clean_output("text").alias("prompt"), "intent_disc", "intent_cont", *extra)
 
 
+def _made(stage: str, requests: DataFrame, generator: Generator | BatchGenerator, keep: list[str], rank: str | None = None) -> DataFrame:
+    """What came back for each request of a stage, failures included."""
+    return run_generator(_spread(requests, "seq"), generator, {"stage": stage}, keep).withColumn("stage", F.lit(rank or stage))
+
+
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Requests over all tasks (a generator call is far dearer than the shuffle of a request)."""
     return df.repartition(key)
 
 
-def generate_from_seeds(stage: str, seeds: DataFrame, generator: Generator, seed_scores: DataFrame | None = None,
-                        min_similarity: float = 0.82, run: int = 1) -> DataFrame:
-    """One new row per seed (``seed_id, prompt, intent_disc``); it takes over the seed's score."""
+def made_from_seeds(stage: str, seeds: DataFrame, generator: Generator | BatchGenerator, seed_scores: DataFrame | None = None,
+                    min_similarity: float = 0.82, run: int = 1) -> DataFrame:
+    """One request per seed (``seed_id, prompt, intent_disc``); what is made takes over the seed's score."""
     if seed_scores is None:
         seeds = seeds.withColumn("intent_cont", F.lit(None).cast("double"))
     else:
@@ -130,9 +167,13 @@ def generate_from_seeds(stage: str, seeds: DataFrame, generator: Generator, seed
         F.col("seed_id").alias("seq"), F.col("prompt").alias("seed_prompt"), "intent_disc", "intent_cont",
         (F.col("seed_id") + F.lit(run) * 1_000_003).alias("number"),
         build_request(stage, F.col("prompt"), min_similarity=min_similarity).alias("messages"))
-    made = run_generator(_spread(requests, "seq"), generator, {"stage": stage},
-                         ["seq", "seed_prompt", "intent_disc", "intent_cont"])
-    return _items(stage, drop_failed(made)[0], "seed_prompt")
+    return _made(stage, requests, generator, ["seq", "seed_prompt", "intent_disc", "intent_cont"])
+
+
+def generate_from_seeds(stage: str, seeds: DataFrame, generator: Generator | BatchGenerator, seed_scores: DataFrame | None = None,
+                        min_similarity: float = 0.82, run: int = 1) -> DataFrame:
+    """One new row per seed whose request did not fail."""
+    return items(drop_failed(made_from_seeds(stage, seeds, generator, seed_scores, min_similarity, run))[0], "seed_prompt")
 
 
 def pair_with_seed(generated: DataFrame, seeds: DataFrame, key: str = "seed_id") -> DataFrame:
@@ -155,32 +196,39 @@ def quota_rows(quotas: DataFrame) -> DataFrame:
             .select((F.col("_from") + F.col("_i")).alias("seq"), "intent_disc"))
 
 
-def generate_conditional(quotas: DataFrame, class_means: DataFrame, generator: Generator, run: int = 1) -> DataFrame:
-    """Quota rows per class; they take the mean score of their class."""
+def made_conditional(quotas: DataFrame, class_means: DataFrame, generator: Generator | BatchGenerator, run: int = 1) -> DataFrame:
+    """One request per quota row; what is made takes the mean score of its class."""
     rows = lookup(quota_rows(quotas), class_means, "intent_disc")
     requests = rows.select("seq", "intent_disc", F.col("class_mean").alias("intent_cont"),
                            (F.col("seq") + F.lit(run) * 1_000_003).alias("number"),
                            build_request("conditional", label=F.col("intent_disc")).alias("messages"))
-    made = run_generator(_spread(requests, "seq"), generator, {"stage": "conditional"}, ["seq", "intent_disc", "intent_cont"])
-    return _items("conditional", drop_failed(made)[0])
+    return _made("conditional", requests, generator, ["seq", "intent_disc", "intent_cont"])
+
+
+def generate_conditional(quotas: DataFrame, class_means: DataFrame, generator: Generator | BatchGenerator, run: int = 1) -> DataFrame:
+    """Quota rows per class."""
+    return items(drop_failed(made_conditional(quotas, class_means, generator, run))[0])
 
 
-def generate_novel(draws: DataFrame, class_means: DataFrame, generator: Generator, run: int = 1) -> DataFrame:
-    """One row per class draw (``draw, intent_disc``)."""
+def made_novel(draws: DataFrame, class_means: DataFrame, generator: Generator | BatchGenerator, run: int = 1) -> DataFrame:
+    """One request per class draw (``draw, intent_disc``)."""
     rows = lookup(draws.select(F.col("draw").alias("seq"), "intent_disc"), class_means, "intent_disc")
     requests = rows.select("seq", "intent_disc", F.col("class_mean").alias("intent_cont"),
                            (F.col("seq") + F.lit(run) * 1_000_003).alias("number"), build_request("brainstorm").alias("messages"))
-    made = run_generator(_spread(requests, "seq"), generator, {"stage": "brainstorm"}, ["seq", "intent_disc", "intent_cont"])
-    return _items("brainstorm", drop_failed(made)[0])
+    return _made("brainstorm", requests, generator, ["seq", "intent_disc", "intent_cont"])
+
+
+def generate_novel(draws: DataFrame, class_means: DataFrame, generator: Generator | BatchGenerator, run: int = 1) -> DataFrame:
+    """One row per class draw."""
+    return items(drop_failed(made_novel(draws, class_means, generator, run))[0])
 
 
-def generate_two_stage(quotas: DataFrame, class_means: DataFrame, generator: Generator, run: int = 1) -> DataFrame:
+def generate_two_stage(quotas: DataFrame, class_means: DataFrame, generator: Generator | BatchGenerator, run: int = 1) -> DataFrame:
     """Conditional rows in two calls: first a concept sentence, then the prompt made of it."""
     concepts = generate_conditional(quotas, class_means, generator, run)
     requests = concepts.select((F.col("item") - STAGE_RANK["conditional"] * STAGE_ROOM).alias("seq"), "intent_disc", "intent_cont",
                                F.col("item").alias("number"), build_request("syntax", F.col("prompt")).alias("messages"))
-    made = run_generator(requests, generator, {"stage": "syntax"}, ["seq", "intent_disc", "intent_cont"])
-    return _items("conditional", drop_failed(made)[0])
+    return items(drop_failed(_made("syntax", requests, generator, ["seq", "intent_disc", "intent_cont"], "conditional"))[0])
 
 
 def best_of_k(candidates: DataFrame, low: float, high: float, keep: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import dedup, fuzzy, language, lsh, scoring, semantic, stats, topics
 from ..plans import balance
 from ..plans import generate as gen
-from ..session import scratch_root, spread
+from ..session import scratch_root
 from ..sources import readers, views, writers
 from .registry import CORPUS, PROMPTS, QA_TEXT, norm, register, words
 from .tables import L, R, sides
@@ -42,13 +42,13 @@ register("duplicated_pct", lambda s, d: dedup.duplicated_pct(views.corpus(s, d),
 
 # --- near-duplicates and fuzzy matches --------------------------------------------------------------
 
-register("minhash_signatures", lambda s, d: lsh.with_signature(views.prompts(s, d), "prompt").select(
+register("minhash_signatures", lambda s, d: lsh.with_signature(views.dealt_prompts(s, d), "prompt").select(
     "row_id", F.size("signature").alias("n"), F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")).alias("signature")))
-register("dedup_near", lambda s, d: lsh.dedup_near(views.prompts(s, d), "row_id", "prompt").select("row_id"))
-register("near_duplicate_clusters", lambda s, d: lsh.near_duplicate_clusters(views.prompts(s, d), "row_id", "prompt"))
+register("dedup_near", lambda s, d: lsh.dedup_near(views.dealt_prompts(s, d), "row_id", "prompt").select("row_id"))
+register("near_duplicate_clusters", lambda s, d: lsh.near_duplicate_clusters(views.dealt_prompts(s, d), "row_id", "prompt"))
 register("first_match", lambda s, d: lsh.first_match(sides(s, d)[1], sides(s, d)[0], "row_id", "prompt"))
 register("fuzzy_pairs", lambda s, d: fuzzy.fuzzy_pairs(views.prompts(s, d)))
-register("top_fuzzy_pairs", lambda s, d: fuzzy.top_pairs(fuzzy.fuzzy_star_pairs(views.prompts(s, d))))
+register("top_fuzzy_pairs", lambda s, d: fuzzy.top_pairs(fuzzy.fuzzy_pairs(views.prompts(s, d))))
 register("fuzzy_star_pairs", lambda s, d: fuzzy.fuzzy_star_pairs(views.prompts(s, d)))
 register("cross_source_matches", lambda s, d: fuzzy.cross_source_matches(*sides(s, d)))
 
@@ -66,8 +66,24 @@ WITH {DIMS}, s AS (SELECT source, i, sum(x) AS t FROM u GROUP BY 1, 2), n AS (SE
 SELECT source, any_value(n) AS n, round((sum(t * t) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 6) AS mean_cosine FROM s JOIN n USING (source) GROUP BY 1""")
 register("mean_cross_cosine", lambda s, d: semantic.mean_cross(parity(s, d), "embedding", 64, "source", L, R), f"""
 WITH {DIMS}, m AS (SELECT i, avg(x) FILTER (source = 'mapped') AS l, avg(x) FILTER (source = 'augmented') AS r FROM u GROUP BY 1) SELECT round(sum(l * r), 6) AS mean_cosine FROM m""")
-register("semantic_summary", lambda s, d: semantic.semantic_summary(parity(s, d), "embedding", "vec_id", "source", L, R))
-register("random_pairs", lambda s, d: semantic.random_pairs(views.vectors(s, d), "embedding", "vec_id"))
+register("semantic_summary", lambda s, d: semantic.semantic_summary(parity(s, d), "embedding", 64, "source", L, R), f"""
+WITH {DIMS}, s AS (SELECT source, i, sum(x) AS t, avg(x) AS m FROM u GROUP BY 1, 2), n AS (SELECT source, count(*) AS n FROM v GROUP BY 1),
+p AS (SELECT sum(m) FILTER (source = 'mapped') * sum(m) FILTER (source = 'augmented') AS x FROM s GROUP BY i)
+SELECT CASE source WHEN 'mapped' THEN 'mean_intra_left' ELSE 'mean_intra_right' END AS metric, round((sum(t * t) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 6) AS mean_cosine,
+ CAST(any_value(n) * (any_value(n) - 1) // 2 AS BIGINT) AS n_pairs FROM s JOIN n USING (source) GROUP BY source
+UNION ALL SELECT 'mean_inter', round(sum(x), 6), (SELECT CAST(product(n) AS BIGINT) FROM n) FROM p""")
+
+
+def unit_draw(*parts: str) -> str:
+    """The number in [0, 1) that ``sampling.uniform`` makes of the parts."""
+    return f"CAST(('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+register("random_pairs", lambda s, d: semantic.random_pairs(views.vectors(s, d), "embedding", "vec_id"), f"""
+WITH {VECTORS}, p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, e FROM v), n AS (SELECT count(*) AS n FROM v),
+r AS (SELECT unnest(range((SELECT least(n, 1000) FROM n))) AS draw),
+d AS (SELECT draw, floor({unit_draw("'pair'", "'42'", "'i'", "draw::VARCHAR")} * (SELECT n FROM n)) AS i, floor({unit_draw("'pair'", "'42'", "'j'", "draw::VARCHAR")} * (SELECT n FROM n)) AS j FROM r)
+SELECT draw, round(list_dot_product(a.e, b.e), 6) AS cosine FROM d JOIN p a ON a.pos = i JOIN p b ON b.pos = j WHERE i <> j""")
 register("modulo_pairs", lambda s, d: semantic.modulo_pairs(
     parity(s, d).where(F.col("source") == L), parity(s, d).where(F.col("source") == R), "embedding", "vec_id"), f"""
 WITH {VECTORS}, a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, e FROM v WHERE source = 'mapped'),
@@ -78,17 +94,19 @@ register("embedding_clusters", lambda s, d: semantic.cluster_embeddings(views.ve
 register("novelty_scores", lambda s, d: semantic.novelty_score(
     views.vectors(s, d), "embedding", "vec_id", semantic.fit_clusters(views.vectors(s, d), "embedding", 10)).orderBy(
     F.desc("novelty"), "vec_id").limit(20))
-register("cached_embeddings", lambda s, d: semantic.embed_with_cache(views.prompts(s, d), "prompt", semantic.embed_with_cache(
-    sides(s, d)[0], "prompt", None)[1])[0].select("row_id", F.size("embedding").alias("dim")),
-    f"WITH {PROMPTS} SELECT row_id, CAST(384 AS INTEGER) AS dim FROM prompts")
+register("cached_embeddings", lambda s, d: semantic.embed_with_cache(views.dealt_prompts(s, d), "prompt", semantic.embed_with_cache(
+    sides(s, d)[0], "prompt", None)[1])[0].select("row_id", F.size("embedding").alias("dim"), *[
+        F.round(F.col("embedding")[i].cast("double"), 5).alias(f"x{i}") for i in (0, 100, 383)]), f"""
+WITH {PROMPTS}, v AS (SELECT row_id, {digest_bytes('prompt')} AS b FROM prompts)
+SELECT row_id, CAST(384 AS INTEGER) AS dim, {', '.join(f"round(CAST(b[{i % 32 + 1}] / sqrt(12 * list_dot_product(b, b)) AS FLOAT)::DOUBLE, 5) AS x{i}" for i in (0, 100, 383))} FROM v""")
 
 # --- topics (labels as given) -----------------------------------------------------------------------
 
-register("topic_keywords", lambda s, d: topics.topic_keywords(views.prompts(s, d), ["intent_disc"], "prompt", fv.QUESTION_STOPWORDS).drop("n"), f"""
+register("topic_keywords", lambda s, d: topics.topic_keywords(views.dealt_prompts(s, d), ["intent_disc"], "prompt", fv.QUESTION_STOPWORDS).drop("n"), f"""
 WITH {PROMPTS}, r AS (SELECT intent_disc, row_id, list_filter({words('prompt')}, lambda w: w NOT IN ({', '.join(repr(w) for w in fv.QUESTION_STOPWORDS)})) AS l FROM prompts),
 t AS (SELECT intent_disc, row_id, unnest(l) AS t, unnest(range(len(l))) AS i FROM r), w AS (SELECT intent_disc, t, lead(t) OVER (PARTITION BY row_id ORDER BY i) AS t2 FROM t),
 c AS (SELECT intent_disc, term, count(*) AS n FROM (SELECT intent_disc, t AS term FROM w UNION ALL SELECT intent_disc, t || ' ' || t2 FROM w WHERE t2 IS NOT NULL) GROUP BY 1, 2),
-f AS (SELECT term, sum(n) AS f FROM c GROUP BY 1 HAVING count(*) >= 2 ORDER BY f DESC, term LIMIT 1000), k AS (SELECT c.*, f FROM c JOIN f USING (term)),
+f AS (SELECT term, sum(n) AS f FROM c GROUP BY 1 HAVING count(*) >= 2 ), k AS (SELECT c.*, f FROM c JOIN f USING (term)),
 z AS (SELECT *, sum(n) OVER (PARTITION BY intent_disc) AS size FROM k), a AS (SELECT floor(avg(size)) AS a FROM (SELECT DISTINCT intent_disc, size FROM z)),
 s AS (SELECT intent_disc, term, n / size * ln(1 + a / f) AS score FROM z, a)
 SELECT intent_disc, term, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY intent_disc ORDER BY round(score, 9) DESC, term) AS r FROM s) WHERE r <= 10""")
@@ -124,25 +142,29 @@ register("topic_assignment", lambda s, d: topics.assign_topics(
     views.vectors(s, d), "embedding", semantic.fit_clusters(views.vectors(s, d), "embedding", 10)).select(
     "vec_id", "topic", F.array_max("probabilities").alias("probability")))
 register("topic_model", lambda s, d: topics.topic_model(views.vectors(s, d), "", 10, 10, vector="embedding").select("vec_id", "topic"))
-register("keyword_rerank", lambda s, d: topics.keyword_rerank(views.prompts(s, d), "intent_disc", "prompt", "row_id", fv.QUESTION_STOPWORDS))
+register("keyword_rerank", lambda s, d: topics.keyword_rerank(views.dealt_prompts(s, d), "intent_disc", "prompt", "row_id", fv.QUESTION_STOPWORDS))
 register("topic_labels", lambda s, d: topics.label_topics(topics.topic_keywords(
-    views.prompts(s, d), ["intent_disc"], "prompt", fv.QUESTION_STOPWORDS), "intent_disc", gen.rule_based))
+    views.dealt_prompts(s, d), ["intent_disc"], "prompt", fv.QUESTION_STOPWORDS), "intent_disc", gen.rule_based))
 
 # --- language and scores ----------------------------------------------------------------------------
 
 
 def profiles(spark, folder):
-    return language.language_profiles(spread(views.table(spark, folder, "documents"), "doc_id"), "text", "lang")
+    return language.language_profiles(views.table(spark, folder, "documents").repartition("doc_id"), "text", "lang")
 
 
 PROFILES = f"""s AS (SELECT lang, ' ' || {norm('text')} || ' ' AS t FROM documents), g AS (SELECT lang, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM s),
-c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM c),
-profiles AS (SELECT lang, gram, CAST(round(ln(n / total) * 1000000) AS BIGINT) AS weight FROM k WHERE r <= {language.PROFILE_SIZE})"""
-DETECTED = f"""tg AS (SELECT id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM (SELECT id, ' ' || {norm('text')} || ' ' AS t FROM texts)),
-sc AS (SELECT id, lang AS detected, sum(weight - ({language.UNSEEN})) AS score FROM tg JOIN profiles USING (gram) GROUP BY 1, 2),
+c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM c) AS total FROM c GROUP BY 1),
+profiles AS (SELECT lang, gram, CAST(round(ln((n + 1) / total) * 1000000) AS BIGINT) AS weight FROM c JOIN k USING (lang)
+ UNION ALL SELECT lang, '', CAST(round(ln(1.0::DOUBLE / total) * 1000000) AS BIGINT) FROM k)"""
+DETECTED = f"""nt AS (SELECT id, ' ' || {norm('text')} || ' ' AS t FROM texts), tg AS (SELECT id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM nt),
+u AS (SELECT lang, weight AS unseen FROM profiles WHERE gram = ''),
+hit AS (SELECT id, lang, sum(weight - unseen) AS gain FROM tg JOIN profiles USING (gram) JOIN u USING (lang) GROUP BY 1, 2),
+known AS (SELECT DISTINCT id FROM hit),
+sc AS (SELECT nt.id, u.lang AS detected, coalesce(gain, 0) + (length(t) - 2) * unseen AS score FROM nt JOIN known USING (id) CROSS JOIN u LEFT JOIN hit ON hit.id = nt.id AND hit.lang = u.lang),
 best AS (SELECT id, detected FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, detected) = 1)"""
 register("language_detection", lambda s, d: language.detect_language(
-    spread(views.table(s, d, "documents"), "doc_id").select("doc_id", "text", "lang"), "text", ["doc_id"], profiles(s, d)).groupBy(
+    views.table(s, d, "documents").select("doc_id", "text", "lang").repartition("doc_id"), "text", profiles(s, d)).groupBy(
     "lang", "detected").agg(F.count("*").alias("n")), f"""
 WITH {PROFILES}, texts AS (SELECT doc_id AS id, text FROM documents), {DETECTED}
 SELECT lang, coalesce(detected, 'unknown') AS detected, count(*) AS n FROM documents LEFT JOIN best ON id = doc_id GROUP BY 1, 2""")
@@ -154,7 +176,7 @@ SELECT field, detected, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY f
  (SELECT max(c) > 1 FROM (SELECT count(*) AS c FROM n GROUP BY field)) AS multilingual FROM n""")
 register("language_profiles", profiles, f"WITH {PROFILES} SELECT * FROM profiles")
 register("score_inference", lambda s, d: scoring.score_rows(
-    views.prompts(s, d), "prompt", stats.label_params(views.prompts(s, d)), scoring.fit_regressor(views.prompts(s, d), "prompt")).select(
+    views.dealt_prompts(s, d), "prompt", stats.label_params(views.dealt_prompts(s, d)), scoring.fit_regressor(views.dealt_prompts(s, d), "prompt")).select(
     "row_id", "intent_predicted_normalized", "intent_predicted_denormalized"))
 
 # --- generation and the whole flow ------------------------------------------------------------------
@@ -165,26 +187,26 @@ def _quotas(spark, folder, coverage=50):
 
 
 QUOTAS = f"""{PROMPTS}, c AS (SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1),
-q AS (SELECT intent_disc, n, CAST(least(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0), 2000) AS BIGINT) AS n_new FROM c)"""
+q AS (SELECT intent_disc, n, CAST(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0) AS BIGINT) AS n_new FROM c)"""
 register("quota_rows", lambda s, d: gen.quota_rows(_quotas(s, d)), f"""
 WITH {QUOTAS}, f AS (SELECT *, coalesce(sum(n_new) OVER (ORDER BY n DESC, intent_disc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM q)
 SELECT CAST(s + unnest(range(n_new)) AS BIGINT) AS seq, intent_disc FROM f WHERE n_new > 0""")
 
 
 def _seeds(spark, folder):
-    return balance.seed_table(views.prompts(spark, folder), 50, 200, "prefix", 42)
+    return balance.seed_table(views.prompts(spark, folder), 50, None, "per_class", 42)
 
 
 SEEDS = f"""{PROMPTS}, seeds AS (SELECT row_number() OVER (ORDER BY intent_disc, k) - 1 AS seed_id, row_id, prompt, intent_disc FROM
- (SELECT *, row_number() OVER (PARTITION BY intent_disc ORDER BY md5(row_id || '-42'), row_id) AS k FROM prompts) WHERE k <= 50 ORDER BY intent_disc, k LIMIT 200)"""
+ (SELECT *, row_number() OVER (PARTITION BY intent_disc ORDER BY md5(row_id || '-42'), row_id) AS k FROM prompts) WHERE k <= 50)"""
 register("seed_scores", lambda s, d: _seeds(s, d).join(stats.prompt_score_lookup(views.prompts(s, d)), "prompt", "left").select(
     "seed_id", "intent_disc", "seed_score"), f"""
 WITH {SEEDS}, l AS (SELECT prompt, max_by(intent_cont, row_id) AS x FROM prompts GROUP BY 1)
 SELECT seed_id, intent_disc, round(x, 6) AS seed_score FROM seeds LEFT JOIN l USING (prompt)""")
 register("pair_with_seed", lambda s, d: gen.pair_with_seed(
     _seeds(s, d).select("seed_id", F.concat(F.lit("  "), "prompt").alias("generated")), _seeds(s, d)).select(
-    "seed_id", "intent_disc", (tx.norm_text("generated") == tx.norm_text("prompt")).alias("same")), f"""
-WITH {SEEDS} SELECT seed_id, intent_disc, true AS same FROM seeds""")
+    "seed_id", "intent_disc", F.md5(F.trim("generated")).alias("generated"), F.md5("prompt").alias("prompt")), f"""
+WITH {SEEDS} SELECT seed_id, intent_disc, md5(trim(prompt)) AS generated, md5(prompt) AS prompt FROM seeds""")
 register("generated_paraphrases", lambda s, d: gen.generate_from_seeds("paraphrase", _seeds(s, d), gen.rule_based,
                                                                        stats.prompt_score_lookup(views.prompts(s, d))))
 register("generated_syntax", lambda s, d: gen.generate_from_seeds("syntax", _seeds(s, d), gen.rule_based))
@@ -262,7 +284,7 @@ SELECT CAST(unnest(range(10)) AS INTEGER) AS line, unnest([{', '.join(f"'{l}'" f
 
 
 def _balanced(spark, folder):
-    return balance.balance_dataset(views.prompts(spark, folder), target_coverage=50, min_similarity=0.72)
+    return balance.balance_dataset(views.dealt_prompts(spark, folder), target_coverage=50, min_similarity=0.72)
 
 
 register("balanced_rows", lambda s, d: _balanced(s, d).augmented.select("prompt", "dataset", "intent_disc", "intent_cont"))
@@ -291,22 +313,30 @@ def jsonl_round_trip(spark, folder):
 def csv_round_trip(spark, folder):
     path = _path(spark)
     writers.write_csv(views.prompts(spark, folder), path)
-    return readers.read_any(spark, path).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).cast("bigint").alias("chars"))
+    return readers.read_any(spark, path, multi_line=True).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).cast("bigint").alias("chars"))
 
 
 def tolerant_read(spark, folder):
-    """Every seventh line is cut short, so that it is no JSON; both kinds of lines are counted."""
+    """One line of every seven is cut short, so that it is no JSON; others carry the class as text, with a fraction, as a word or
+    under another key, have keys of their own, or are followed by a blank line. All rows are compared, both kinds."""
     path = _path(spark)
-    line = F.to_json(F.struct("prompt", "dataset", "intent_disc", "intent_cont"))
-    broken = F.col("row_id") % 7 == 0
-    views.prompts(spark, folder).select(F.when(broken, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    c, k = F.col("intent_disc"), F.col("row_id") % 7
+    classes = F.when(k == 1, F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).when(k == 2, F.concat(c.cast("string"), F.lit(".0"))) \
+        .when(k == 3, F.lit('"none"')).when(k == 4, F.lit("[1, 2]")).otherwise(c.cast("string"))
+    line = F.concat(F.lit('{"prompt": '), F.to_json(F.array("prompt")), F.lit(', "dataset": "'), F.col("dataset"), F.lit('", "intent_disc": '), classes,
+                    F.lit(', "id": '), F.col("row_id").cast("string"), F.when(k == 5, F.lit(', "language": "xx"')).otherwise(F.lit("")), F.lit("}"))
+    text = F.when(k == 0, F.substring(line, 1, 25)).when(k == 6, F.concat(line, F.lit("\n   \n"))).otherwise(line)
+    views.prompts(spark, folder).select(text.alias("value")).write.text(path)
     good, bad = readers.read_prompts_tolerant(spark, path, "mapped", with_lines=True)
-    return good.select("source", F.lit(True).alias("valid")).unionByName(
-        bad.select(F.lit("mapped").alias("source"), F.lit(False).alias("valid"))).groupBy("source", "valid").agg(F.count("*").alias("n"))
+    return good.select(F.col("id").cast("bigint").alias("id"), "dataset", "intent_disc", "intent_cont", "language", "source", F.md5("prompt").alias("text"),
+                       F.lit(True).alias("valid")).unionByName(bad.select(F.md5("line").alias("text"), F.lit(False).alias("valid")), allowMissingColumns=True)
 
 
 SIZES = f"WITH {PROMPTS} SELECT dataset, intent_disc::BIGINT AS intent_disc, count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS chars FROM prompts GROUP BY 1, 2"
 register("jsonl_round_trip", jsonl_round_trip, SIZES)
 register("csv_round_trip", csv_round_trip, f"WITH {PROMPTS} SELECT dataset, count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS chars FROM prompts GROUP BY 1")
 register("tolerant_read", tolerant_read, f"""
-WITH {PROMPTS} SELECT 'mapped' AS source, row_id % 7 <> 0 AS valid, count(*) AS n FROM prompts GROUP BY 2""")
+WITH {PROMPTS}, j AS (SELECT *, '["' || replace(replace(replace(replace(prompt, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '"]' AS q FROM prompts)
+SELECT CASE WHEN k > 0 THEN row_id END AS id, CASE WHEN k > 0 THEN dataset END AS dataset, CASE WHEN k > 0 AND k NOT IN (3, 4) THEN intent_disc END AS intent_disc,
+ NULL::DOUBLE AS intent_cont, CASE WHEN k = 5 THEN 'xx' END AS language, CASE WHEN k > 0 THEN 'mapped' END AS source,
+ CASE WHEN k > 0 THEN md5(q) ELSE md5(substr('{{"prompt": ' || q, 1, 25)) END AS text, k > 0 AS valid FROM (SELECT *, row_id % 7 AS k FROM j)""")

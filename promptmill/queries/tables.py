@@ -103,15 +103,15 @@ register("generated_with_score", lambda s, d: views.corpus(s, d).where((F.col("s
 register("class_counts", lambda s, d: stats.class_counts(views.prompts(s, d)),
          f"WITH {PROMPTS} SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1")
 
-register("plan_quotas", lambda s, d: balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50, 2000), f"""
-WITH {PROMPTS}, c AS (SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1)
-SELECT intent_disc, n, CAST(least(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0), 2000) AS BIGINT) AS n_new FROM c""")
+register("plan_quotas", lambda s, d: balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50, 100), f"""
+WITH {PROMPTS}, c AS (SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1), w AS (SELECT *, CAST(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0) AS BIGINT) AS n_wanted FROM c)
+SELECT *, least(n_wanted, 100) AS n_new FROM w""")
 
-register("novel_budget", lambda s, d: balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50, 2000).agg(
-    F.sum("n_new").alias("total_new"), balance.novel_budget(F.least(F.sum("n"), F.lit(200)), F.sum("n_new"), 0.15).alias("k")), f"""
+register("novel_budget", lambda s, d: balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50).agg(
+    F.sum("n_new").alias("total_new"), balance.novel_budget(F.sum(F.least("n", F.lit(50))), F.sum("n_new"), 0.15).alias("k")), f"""
 WITH {PROMPTS}, c AS (SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1),
-q AS (SELECT n, CAST(least(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0), 2000) AS BIGINT) AS n_new FROM c)
-SELECT CAST(sum(n_new) AS BIGINT) AS total_new, CAST(least(greatest(10, floor(least(sum(n), 200) / 10)), floor(0.15::DOUBLE * greatest(sum(n_new), 1))) AS BIGINT) AS k FROM q""")
+q AS (SELECT n, CAST(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0) AS BIGINT) AS n_new FROM c)
+SELECT CAST(sum(n_new) AS BIGINT) AS total_new, CAST(least(greatest(10, floor(sum(least(n, 50)) / 10)), floor(0.15::DOUBLE * greatest(sum(n_new), 1))) AS BIGINT) AS k FROM q""")
 
 register("class_cv_percent", lambda s, d: stats.class_cv_percent(views.prompts(s, d)), f"""
 WITH {PROMPTS}, c AS (SELECT count(*) AS n FROM prompts GROUP BY intent_disc)
@@ -190,17 +190,17 @@ register("dense_index", lambda s, d: running.dense_index(views.prompts(s, d).sel
 
 # --- lexical ----------------------------------------------------------------------------------------
 
-register("ttr", lambda s, d: lexical.ttr(views.prompts(s, d)), f"""
+register("ttr", lambda s, d: lexical.ttr(views.dealt_prompts(s, d)), f"""
 WITH {PROMPTS}, t AS (SELECT unnest({tokens('lower(prompt)')}) AS t FROM prompts) SELECT round(count(DISTINCT t) / count(*), 6) AS ttr FROM t""")
-register("unigram_entropy", lambda s, d: lexical.unigram_entropy(views.prompts(s, d)), f"""
+register("unigram_entropy", lambda s, d: lexical.unigram_entropy(views.dealt_prompts(s, d)), f"""
 WITH {PROMPTS}, t AS (SELECT unnest({words('prompt')}) AS t FROM prompts), c AS (SELECT t, count(*) AS n FROM t GROUP BY 1)
 SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS unigram_entropy FROM c""")
 TOKEN_COUNTS = f"""tc AS (SELECT source, field, t, count(*) AS n FROM (SELECT source, 'prompt' AS field, unnest({tokens('prompt')}) AS t FROM corpus
   UNION ALL SELECT source, 'dataset', unnest({tokens('dataset')}) FROM corpus) GROUP BY ALL)"""
-register("token_stats", lambda s, d: lexical.token_stats(views.corpus(s, d), ["prompt", "dataset"]), f"""
+register("token_stats", lambda s, d: lexical.token_stats(views.dealt_corpus(s, d), ["prompt", "dataset"]), f"""
 WITH {CORPUS}, {TOKEN_COUNTS} SELECT source, field, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, round(count(*) / sum(n), 6) AS ttr,
  round(count(*) FILTER (n = 1) / count(*), 6) AS hapax_ratio, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy_token FROM tc GROUP BY 1, 2""")
-register("msttr", lambda s, d: lexical.msttr(views.corpus(s, d)), f"""
+register("msttr", lambda s, d: lexical.msttr(views.dealt_corpus(s, d)), f"""
 WITH {CORPUS}, r AS (SELECT source, row_id, {tokens('prompt')} AS l FROM corpus),
 t AS (SELECT source, row_id, unnest(l) AS t, unnest(range(len(l))) AS i FROM r),
 p AS (SELECT source, t, (row_number() OVER (PARTITION BY source ORDER BY row_id, i) - 1) // 100 AS seg FROM t),
@@ -217,11 +217,11 @@ grams AS (SELECT source, 1 AS n, t AS ngram FROM w UNION ALL SELECT source, 2, t
   UNION ALL SELECT source, 3, t || ' ' || t2 || ' ' || t3 FROM w WHERE t3 IS NOT NULL)"""
 
 
-register("top_ngrams", lambda s, d: lexical.top_ngrams(views.corpus(s, d)), f"""
+register("top_ngrams", lambda s, d: lexical.top_ngrams(views.dealt_corpus(s, d)), f"""
 WITH {CORPUS}, {grams_sql()}, c AS (SELECT source, n, ngram, count(*) AS freq FROM grams GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY source, n ORDER BY freq DESC, ngram) AS rank, sum(freq) OVER (PARTITION BY source, n) AS total FROM c)
 SELECT source, CAST(n AS INTEGER) AS n, CAST(rank AS INTEGER) AS rank, ngram, freq, round(freq / total, 6) AS rel_freq FROM k WHERE rank <= 20""")
-register("ngram_jaccard", lambda s, d: lexical.ngram_jaccard(views.corpus(s, d), L, R), f"""
+register("ngram_jaccard", lambda s, d: lexical.ngram_jaccard(views.dealt_corpus(s, d), L, R), f"""
 WITH {CORPUS}, {grams_sql()}, g AS (SELECT n, ngram, bool_or(source = 'mapped') AS l, bool_or(source = 'augmented') AS r FROM grams GROUP BY 1, 2)
 SELECT CAST(n AS INTEGER) AS n, round(count(*) FILTER (l AND r) / count(*), 6) AS jaccard, count(*) FILTER (l AND NOT r) AS left_only, count(*) FILTER (r AND NOT l) AS right_only FROM g GROUP BY 1""")
 register("word_frequencies", lambda s, d: lexical.word_frequencies(views.qa_text(s, d), "questions", fv.QUESTION_STOPWORDS, 100), f"""
@@ -285,7 +285,7 @@ register("positional_correlation", lambda s, d: compare.positional_correlation(v
 SYNTHESIS = f"""{CORPUS}, {TOKEN_COUNTS}, w AS (SELECT source, count(*) / sum(n) AS ttr, count(*) FILTER (n = 1) / count(*) AS hapax FROM tc WHERE field = 'prompt' GROUP BY 1),
 c AS (SELECT source, intent_disc, count(*) AS n FROM corpus GROUP BY 1, 2), e AS (SELECT source, count(*) AS labels, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY 1),
 b AS (SELECT source, count(*) AS n_rows, avg(intent_cont) AS mean_intent_cont, 100.0::DOUBLE * (count(*) - count(DISTINCT prompt)) / count(*) AS dup FROM corpus GROUP BY 1)"""
-register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.corpus(s, d)), f"""
+register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.dealt_corpus(s, d)), f"""
 WITH {SYNTHESIS} SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
  round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, NULL::DOUBLE AS quasi_dup_prompt_pct, NULL::DOUBLE AS mean_semantic_intra FROM b JOIN e USING (source) JOIN w USING (source)""")
 register("recommendations", lambda s, d: plans_compare.recommendations(plans_compare.synthesis_table(views.corpus(s, d)), low=0.5), f"""
@@ -296,7 +296,7 @@ WITH {SYNTHESIS} SELECT source, '[' || source || '] low type-token ratio: add va
 RANK = "md5(row_id || '-42'), row_id"
 register("stratified_seeds", lambda s, d: sampling.stratified_seeds(views.prompts(s, d)).select("row_id", "intent_disc", "seed_rank"), f"""
 WITH {PROMPTS} SELECT row_id, intent_disc, CAST(k AS INTEGER) AS seed_rank FROM (SELECT *, row_number() OVER (PARTITION BY intent_disc ORDER BY {RANK}) AS k FROM prompts)
-WHERE k <= 50 ORDER BY intent_disc, k LIMIT 200""")
+WHERE k <= 50""")
 register("stratified_sample", lambda s, d: sampling.stratified_sample(views.prompts(s, d), "dataset", "row_id", 20).select("row_id", "dataset"), f"""
 WITH {PROMPTS} SELECT row_id, dataset FROM prompts QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {RANK}) <= 20""")
 register("sample_n", lambda s, d: sampling.sample_n(views.prompts(s, d), "row_id", 200).select("row_id"),
@@ -320,7 +320,12 @@ register("best_qa_examples", lambda s, d: sampling.top_n(views.qa_text(s, d).wit
     "score", tx.qa_score("questions", "answer", "type")), "score", "qa_id", 5).select("qa_id", "score"),
     f"WITH {QA_TEXT} SELECT qa_id, {QA_SCORE} AS score FROM qa_text ORDER BY score DESC, qa_id LIMIT 5")
 register("weighted_class_draw", lambda s, d: sampling.weighted_class_draw(
-    balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50), 500))
+    balance.plan_quotas(stats.class_counts(views.prompts(s, d)), 50), 500), f"""
+WITH {PROMPTS}, c AS (SELECT intent_disc, count(*) AS n FROM prompts GROUP BY 1),
+q AS (SELECT intent_disc, greatest(CAST(round_even(((SELECT max(n) FROM c) - n) * 0.5::DOUBLE, 0) AS BIGINT), 1) AS w FROM c),
+s AS (SELECT intent_disc, sum(w) OVER (ORDER BY intent_disc) AS upto, sum(w) OVER (ORDER BY intent_disc) - w AS low, sum(w) OVER () AS total FROM q),
+d AS (SELECT unnest(range(500)) AS draw), u AS (SELECT draw, CAST(('0x' || substr(md5(concat_ws('-', 'class', '42', '1', draw::VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d)
+SELECT CAST(1 AS INTEGER) AS run, draw, intent_disc FROM u JOIN s ON u * total >= low AND u * total < upto""")
 
 CONTENT = {"avg_length": "length(t)", "avg_words": f"len({tokens('t')})"}
 register("content_profile", lambda s, d: profile.content_profile(views.qa_text(s, d), ["questions", "answer"]), rf"""

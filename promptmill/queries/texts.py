@@ -31,25 +31,25 @@ FROM prompts""")
 register("answer_keys", lambda s, d: views.qa(s, d).select("qa_id", tx.trim_key("answer").alias("answer_key")),
          f"WITH {QA} SELECT qa_id, lower(trim(answer)) AS answer_key FROM qa")
 
-register("word_shingles", lambda s, d: views.prompts(s, d).withColumn("g", tx.word_shingles("prompt", 3)).select(
+register("word_shingles", lambda s, d: views.dealt_prompts(s, d).withColumn("g", tx.word_shingles("prompt", 3)).select(
     "row_id", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("joined")), rf"""
 WITH {PROMPTS}, t AS (SELECT row_id, {tokens('lower(prompt)')} AS t FROM prompts),
 g AS (SELECT row_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE {windows('t', 3)} END AS g FROM t)
 SELECT row_id, CAST(len(g) AS INTEGER) AS n, md5(coalesce(array_to_string(g, '|'), '')) AS joined FROM g""")
 
-register("char_shingles", lambda s, d: views.prompts(s, d).select(
+register("char_shingles", lambda s, d: views.dealt_prompts(s, d).select(
     "row_id", F.size(tx.char_shingles(tx.norm_simple("prompt"), 5)).alias("n")), rf"""
 WITH {PROMPTS}, s AS (SELECT row_id, regexp_replace(translate(lower(prompt), '{fv.PUNCTUATION.replace("'", "''")}', ''), '^\s+|\s+$', '', 'g') AS t FROM prompts),
 g AS (SELECT row_id, substr(t, unnest(range(1, greatest(length(t) - 4, 1) + 1)), 5) AS g FROM s)
 SELECT row_id, CAST(count(DISTINCT g) AS INTEGER) AS n FROM g GROUP BY row_id""")
 
-register("ngram_lists", lambda s, d: views.prompts(s, d).withColumn("g", tx.ngrams("prompt", 2)).select(
+register("ngram_lists", lambda s, d: views.dealt_prompts(s, d).withColumn("g", tx.ngrams("prompt", 2)).select(
     "row_id", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("joined")), rf"""
 WITH {PROMPTS}, t AS (SELECT row_id, {tokens('prompt')} AS t FROM prompts),
 g AS (SELECT row_id, CASE WHEN len(t) < 2 THEN [] ELSE {windows('t', 2)} END AS g FROM t)
 SELECT row_id, CAST(len(g) AS INTEGER) AS n, md5(coalesce(array_to_string(g, '|'), '')) AS joined FROM g""")
 
-register("token_lists", lambda s, d: views.prompts(s, d).select(
+register("token_lists", lambda s, d: views.dealt_prompts(s, d).select(
     "row_id", F.length("prompt").alias("n_chars"), tx.n_words("prompt").alias("n_tokens"),
     F.md5(F.array_join(tx.ws_tokens("prompt"), " ")).alias("tokens"),
     F.size(tx.word_tokens("prompt")).alias("n_words"), F.md5(F.array_join(tx.word_tokens("prompt"), " ")).alias("words")), rf"""
@@ -101,8 +101,10 @@ QA_SCORE = f"""CAST(CASE WHEN length(questions) BETWEEN 50 AND 150 THEN 2 WHEN l
  + CASE WHEN type IN ('name', 'numeric') THEN 2 ELSE 0 END
  + CASE WHEN {any_of('questions', fv.QA_BONUS_WORDS)} THEN 1 ELSE 0 END AS INTEGER)"""
 
-register("qa_scores", lambda s, d: views.qa_text(s, d).select("qa_id", tx.qa_score("questions", "answer", "type").alias("score")),
-         f"WITH {QA_TEXT} SELECT qa_id, {QA_SCORE} AS score FROM qa_text")
+register("qa_scores", lambda s, d: views.qa_text(s, d).withColumn("type", F.when(F.col("qa_id") % 3 == 0, "name").when(
+    F.col("qa_id") % 3 == 1, "numeric").otherwise("user")).select("qa_id", tx.qa_score("questions", "answer", "type").alias("score")),
+    f"""WITH {QA_TEXT}, typed AS (SELECT * REPLACE (CASE qa_id % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'numeric' ELSE 'user' END AS type) FROM qa_text)
+SELECT qa_id, {QA_SCORE} AS score FROM typed""")
 
 register("prompt_annotations", lambda s, d: views.prompts(s, d).select(
     "row_id", tx.prompt_kind("prompt").alias("kind"), tx.factual_potential("prompt").alias("potential"),
@@ -157,7 +159,7 @@ WITH {QA_TEXT}, v AS (SELECT qa_id, {digest_bytes('questions')} AS a, {digest_by
 c AS (SELECT qa_id, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS cosine FROM v)
 SELECT round(coalesce((SELECT avg(cosine) FROM c WHERE cosine BETWEEN 0.82 AND 0.95), (SELECT avg(cosine) FROM c), 1.0), 6) AS mean_similarity""")
 
-register("hash_embedding", lambda s, d: semantic.embed(views.prompts(s, d), "prompt").select(
+register("hash_embedding", lambda s, d: semantic.embed(views.dealt_prompts(s, d), "prompt").select(
     "row_id", F.size("embedding").alias("dim"), vec.norm("embedding").alias("length"),
     F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(F.col("embedding")[383].cast("double"), 5).alias("last")), f"""
 WITH {PROMPTS}, v AS (SELECT row_id, {digest_bytes('prompt')} AS b FROM prompts)
@@ -184,9 +186,12 @@ WITH {PROMPTS} SELECT row_id, md5(prompt) AS text, length(prompt) AS prompt_toke
  length(prompt) + 7 AS total_tokens FROM prompts""")
 
 register("language_quality", lambda s, d: gen.language_quality(views.prompts(s, d), "prompt", ["damn", "hell"]).agg(
-    F.count_if("has_blocked").alias("blocked"), F.count_if("no_letters").alias("no_letters")), rf"""
-WITH {PROMPTS} SELECT count(*) FILTER (len(list_filter(regexp_split_to_array(lower(prompt), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN ('damn', 'hell'))) > 0) AS blocked,
- count(*) FILTER (NOT regexp_matches(prompt, '\p{{L}}')) AS no_letters FROM prompts""")
+    F.count_if("has_blocked").alias("blocked"), F.count_if("has_stutter").alias("stutter"), F.count_if("no_letters").alias("no_letters"),
+    F.count_if("usable").alias("usable")), rf"""
+WITH {PROMPTS}, t AS (SELECT prompt, regexp_split_to_array(lower(prompt), '[^\p{{L}}\p{{N}}_]+') AS w, regexp_extract_all(lower(prompt), '[\p{{L}}\p{{N}}_]+|\s+|[^\p{{L}}\p{{N}}_\s]+') AS p FROM prompts),
+f AS (SELECT len(list_filter(w, lambda x: x IN ('damn', 'hell'))) > 0 AS b, NOT regexp_matches(prompt, '\p{{L}}') AS n,
+ len(list_filter(range(1, len(p) - 1), lambda i: p[i] = p[i + 2] AND regexp_full_match(p[i + 1], '\s+') AND regexp_full_match(p[i], '[\p{{L}}\p{{N}}_]+'))) > 0 AS s FROM t)
+SELECT count(*) FILTER (b) AS blocked, count(*) FILTER (s) AS stutter, count(*) FILTER (n) AS no_letters, count(*) FILTER (NOT (b OR s OR n)) AS usable FROM f""")
 
 register("length_points", lambda s, d: profile.scatter_points(
     views.qa(s, d), F.length("questions"), F.length("answer"), "qa_id"),

@@ -65,23 +65,48 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+_TABLES: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, evaluates a costly or
     non-deterministic plan once, and gives the optimizer the true size of the table: a small result
-    is then broadcast by Spark's own threshold and a large one is not."""
+    is then broadcast by Spark's own threshold and a large one is not. The table goes with ``discard``, with ``release``, or
+    when the driver's process ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/promptmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """For work that is dear per row: a table that lies in fewer files than there are cores is spread over
-    all of them by its key. A large table has enough splits and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._promptmill_path = path
+    return table
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: the folder is the cluster's to clear
+        pass
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    path = getattr(table, "_promptmill_path", None)
+    if path in _TABLES:
+        _delete(path, _TABLES.pop(path))
+
+
+def release() -> None:
+    """Delete all tables that ``materialize`` has written and that are still there. Call it between runs of a long session, once
+    their results are written; at the end of the process it is called anyway."""
+    while _TABLES:
+        _delete(*_TABLES.popitem())
 
 
 def lookup(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:

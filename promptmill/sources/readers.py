@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,14 @@ EXTENSIONS = [".csv", ".json", ".jsonl", ".parquet"]
 
 
 def read_prompts(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped, a malformed line fails the read, and so does a file without
-    ``intent_disc``. A schema saves the pass that infers one."""
-    reader = spark.read.option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema else reader).json(path)
-    if "intent_disc" not in df.columns:
+    """JSON lines; blank lines are skipped, a malformed line fails the read, and so does a file none of whose lines has the key
+    ``intent_disc`` (the file's own keys count, not a schema that is handed in). A schema saves the pass that infers one; the
+    look for the key ends at the first line that has it."""
+    keys = F.json_object_keys("value")
+    if not spark.read.text(path).where(F.array_contains(keys, "intent_disc")).limit(1).count():
         raise ValueError("missing 'intent_disc' in dataset")
-    return df
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,21 +39,45 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "path", (F.col("_from") + F.col("_m") - F.col("_first")).alias("line_no"), "line")
 
 
+def _coerced(value: Column, kind: T.DataType) -> Column:
+    """A JSON value given as text, as the column's type; null where it cannot be one. Numbers may stand in quotes, and a whole
+    number may be written with a fraction."""
+    if isinstance(kind, T.IntegralType):
+        number = value.try_cast("double")
+        return F.when(number == F.floor(number), number).try_cast(kind)
+    return value.try_cast(kind)
+
+
 def read_prompts_tolerant(spark: SparkSession, path: str, source: str, schema: str = PROMPT_SCHEMA,
-                          with_lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good rows labelled with ``source``, and the malformed lines. ``with_lines`` adds ``line_no``."""
-    full = T.StructType.fromDDL(schema).add("_corrupt_record", "string")
-    if with_lines:
-        lines = numbered_lines(spark, path).where(F.trim("line") != "")
-        parsed = lines.withColumn("_r", F.from_json("line", full, {"mode": "PERMISSIVE"})).select("_r.*", "line_no")
-    else:
-        parsed = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    # Written once: a corrupt-record column cannot be the only column a query reads from raw JSON.
-    parsed = materialize(parsed)
-    good = parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("source", F.lit(source))
-    bad = parsed.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("line"), *(["line_no"] if with_lines else []))
-    return good, bad
+                          with_lines: bool = False, extra: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Good rows labelled with ``source``, and the malformed lines. ``with_lines`` adds ``line_no``.
+
+    A line is malformed only if it is no JSON object. Values of other types than the schema's are coerced, or null where they
+    cannot be; with ``extra``, every other key of the file becomes a column of text, in the order of their names."""
+    fields = T.StructType.fromDDL(schema).fields
+    lines = numbered_lines(spark, path) if with_lines else spark.read.text(path).select(F.col("value").alias("line"))
+    keep = ["line_no"] if with_lines else []
+    # A line with blanks alone is skipped. Written once, as both results and the keys are read from it.
+    parsed = materialize(lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select(
+        "line", F.when(F.json_object_keys("line").isNotNull() & F.try_parse_json("line").isNotNull(), F.json_object_keys("line"))
+        .alias("keys"), *keep))
+    good = parsed.where(F.col("keys").isNotNull())
+    names = [f.name for f in fields]
+    others = []
+    if extra:
+        # One row per different key.
+        found = good.select(F.explode("keys").alias("k")).distinct().where(~F.col("k").isin(*names)).collect()
+        others = sorted(r["k"] for r in found)
+    data = F.try_parse_json("line")
+
+    def text_of(name: str) -> Column:
+        quoted = name.replace("'", "\\'")
+        return F.try_variant_get(data, f"$['{quoted}']", "string")
+    rows = good.select(*[_coerced(text_of(f.name), f.dataType).alias(f.name) for f in fields],
+                       *[text_of(n).alias(n) for n in others], *keep, F.lit(source).alias("source" if "source" not in others else "_source"))
+    if "source" in others:
+        rows = rows.drop("source").withColumnRenamed("_source", "source")
+    return rows, parsed.where(F.col("keys").isNull()).select("line", *keep)
 
 
 def discover(spark: SparkSession, folder: str) -> tuple[str, str]:
@@ -69,16 +94,18 @@ def discover(spark: SparkSession, folder: str) -> tuple[str, str]:
     raise ValueError(f"no dataset file under {folder}")
 
 
-def read_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = False,
+             infer: bool = False) -> DataFrame:
     """CSV, JSON, JSON lines or Parquet by extension. A path without one of these extensions is searched
-    as a folder."""
+    as a folder. ``multi_line`` allows line ends inside CSV fields, but then a file is one task; ``infer`` finds the types of
+    CSV columns (else they are text), but reads everything twice. A ``.json`` file is one document by its format."""
     ext = PurePosixPath(path).suffix.lower()
     if ext not in EXTENSIONS:
         path, ext = discover(spark, path)
     reader = spark.read.schema(schema) if schema else spark.read
     if ext == ".csv":
-        return (reader.option("header", "true").option("inferSchema", str(schema is None).lower())
-                .option("multiLine", "true").option("escape", '"').csv(path))
+        return (reader.option("header", "true").option("inferSchema", str(infer and schema is None).lower())
+                .option("multiLine", str(multi_line).lower()).option("escape", '"').csv(path))
     if ext == ".json":
         return flatten(reader.option("multiLine", "true").json(path))
     if ext == ".jsonl":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..operators.running import dense_index
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,17 +15,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled prompts: ``row_id, prompt, dataset, intent_disc, intent_cont``."""
     lang = F.col("lang")
-    return spread(table(spark, folder, "documents"), "doc_id").select(
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"), F.col("source").alias("dataset"),
         F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(3).alias("intent_disc"),
         ((F.col("n_chars") % 1000).cast("double") / 1000).alias("intent_cont"))
 
 
+def dealt_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts dealt out by id, for queries whose work per text is dear: the small test tables lie in one row group, which
+    is one task. (Library operators deal nothing out; they work on the splits they are given.)"""
+    return prompts(spark, folder).repartition("row_id")
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Two prompt tables under one schema, told apart by ``source``: even rows are the base
     (``mapped``), odd rows the generated one (``augmented``)."""
-    return prompts(spark, folder).withColumn(
-        "source", F.when(F.col("row_id") % 2 == 0, "mapped").otherwise("augmented"))
+    return two_sides(prompts(spark, folder))
+
+
+def dealt_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return two_sides(dealt_prompts(spark, folder))
+
+
+def two_sides(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source", F.when(F.col("row_id") % 2 == 0, "mapped").otherwise("augmented"))
 
 
 def qa(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,14 +48,17 @@ def qa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qa_text(spark: SparkSession, folder: str) -> DataFrame:
-    """A user turn with the assistant turn that follows it. Turns are numbered without gaps, so the next
-    turn is an equi join on ``(conv_id, turn + 1)``: no window, and no task per conversation."""
+    """A user turn with the turn that follows it, if that is the assistant's. Turn numbers may have gaps, so the turns are put in
+    places first (``dense_index``, over the keys alone); the next turn is then an equi join on the place: no window, and no
+    task per conversation, however long one is."""
     turns = table(spark, folder, "conversations")
-    asked = turns.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("questions"), F.col("role").alias("type"))
-    answered = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return asked.join(answered, ["conv_id", "turn"]).select(
+    places = dense_index(turns.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    before = places.where(F.col("role") == "user").select("conv_id", "turn", "pos")
+    after = places.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("next"), (F.col("pos") - 1).alias("pos"))
+    pairs = before.join(after, ["conv_id", "pos"]).select("conv_id", "turn", "next")
+    asked = turns.select("conv_id", "turn", F.col("text").alias("questions"), F.col("role").alias("type"))
+    answered = turns.select("conv_id", F.col("turn").alias("next"), F.col("text").alias("answer"))
+    return pairs.join(asked, ["conv_id", "turn"]).join(answered, ["conv_id", "next"]).select(
         (F.col("conv_id") * 1000000 + F.col("turn")).alias("qa_id"), "questions", "answer", "type")
 
 

@@ -329,11 +329,11 @@ def test_grade_of_repeated_answers(spark):
 def test_language_of_labelled_rows(spark, folder):
     docs = views.table(spark, "/root/testdata/sf0.001", "documents")
     model = language.language_profiles(docs, "text", "lang")
-    found = language.detect_language(docs.where(F.length("text") > 200).select("doc_id", "text", "lang"), "text", ["doc_id"], model)
+    found = language.detect_language(docs.where(F.length("text") > 200).select("doc_id", "text", "lang"), "text", model)
     row = found.agg(F.avg((F.col("detected") == F.col("lang")).cast("double")).alias("share")).first()
     assert row["share"] > 0.9
     blank = spark.createDataFrame([(1, " "), (2, None)], "doc_id bigint, text string")
-    assert {r["detected"] for r in language.detect_language(blank, "text", ["doc_id"], model).collect()} == {"unknown"}
+    assert {r["detected"] for r in language.detect_language(blank, "text", model).collect()} == {"unknown"}
 
 
 def test_clusters_and_assignment_shapes(spark):
