@@ -126,6 +126,7 @@ class Lattice:
             beta = np.full(len(alpha), -np.inf)
             beta[state + size] = 0
             total = alpha[state + size]
+            used, share = [], []
             # from the right: at distance t from its end, every word that is at least that long
             for t in range(1, int(size[0]) + 1):
                 n = reach[t]
@@ -137,8 +138,12 @@ class Lattice:
                     piece = found[k][np.minimum(base[:n] + here, len(found[k]) - 1)]
                     value = log[piece] + beta[state[:n] + here + k]
                     terms.append(value)
-                    out += np.bincount(piece, np.exp(alpha[state[:n] + here] + value - total[:n]), minlength=len(out))
+                    real = np.flatnonzero(piece < len(self.pieces))
+                    used.append(piece[real])
+                    share.append(alpha[(state[:n] + here)[real]] + value[real] - total[real])
                 beta[state[:n] + here] = np.logaddexp.reduce(np.stack(terms), axis=0)
+            if used:
+                out += np.bincount(np.concatenate(used), np.exp(np.concatenate(share)), minlength=len(out))
         return out[:-1]
 
 
