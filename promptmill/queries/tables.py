@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixedvalues as fv
 from ..functions import text as tx
-from ..operators import compare, lexical, profile, running, sampling, stats
+from ..functions import vectors as vec
+from ..operators import compare, lexical, profile, running, sampling, semantic, stats
 from ..plans import balance
 from ..plans import compare as plans_compare
 from ..sources import views
 from .registry import CORPUS, PROMPTS, QA, QA_TEXT, any_of, register, tokens, words
-from .texts import LABELLED, PROMPT_SCORE, QA_SCORE, labelled
+from .texts import LABELLED, PROMPT_SCORE, QA_SCORE, digest_bytes, labelled
 
 L, R = "mapped", "augmented"
 
@@ -285,9 +286,19 @@ register("positional_correlation", lambda s, d: compare.positional_correlation(v
 SYNTHESIS = f"""{CORPUS}, {TOKEN_COUNTS}, w AS (SELECT source, count(*) / sum(n) AS ttr, count(*) FILTER (n = 1) / count(*) AS hapax FROM tc WHERE field = 'prompt' GROUP BY 1),
 c AS (SELECT source, intent_disc, count(*) AS n FROM corpus GROUP BY 1, 2), e AS (SELECT source, count(*) AS labels, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY 1),
 b AS (SELECT source, count(*) AS n_rows, avg(intent_cont) AS mean_intent_cont, 100.0::DOUBLE * (count(*) - count(DISTINCT prompt)) / count(*) AS dup FROM corpus GROUP BY 1)"""
-register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.dealt_corpus(s, d)), f"""
-WITH {SYNTHESIS} SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
- round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, NULL::DOUBLE AS quasi_dup_prompt_pct, NULL::DOUBLE AS mean_semantic_intra FROM b JOIN e USING (source) JOIN w USING (source)""")
+def semantic_means(spark, folder):
+    """Exact mean cosine of the hash vectors of each side."""
+    rows = views.dealt_corpus(spark, folder).select("source", vec.hash_unit("prompt").alias("v"))
+    return semantic.mean_pairwise(rows, "v", 32, ["source"]).select("source", "mean_cosine")
+
+
+register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.dealt_corpus(s, d), semantic=semantic_means(s, d)), f"""
+WITH {SYNTHESIS}, hb AS (SELECT source, {digest_bytes('prompt')} AS b FROM corpus), he AS (SELECT source, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS e FROM hb),
+hu AS (SELECT source, unnest(e) AS x, unnest(range(32)) AS i FROM he), hs AS (SELECT source, i, sum(x) AS t FROM hu GROUP BY 1, 2),
+hm AS (SELECT source, (sum(t * t) - any_value(n_rows)) / (any_value(n_rows) * (any_value(n_rows) - 1)) AS cosine FROM hs JOIN b USING (source) GROUP BY 1)
+SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
+ round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, NULL::DOUBLE AS quasi_dup_prompt_pct, round(cosine, 6) AS mean_semantic_intra
+FROM b JOIN e USING (source) JOIN w USING (source) JOIN hm USING (source)""")
 register("recommendations", lambda s, d: plans_compare.recommendations(plans_compare.synthesis_table(views.corpus(s, d)), low=0.5), f"""
 WITH {SYNTHESIS} SELECT source, '[' || source || '] low type-token ratio: add varied sources or paraphrases' AS advice FROM w WHERE ttr < 0.5""")
 
