@@ -7,12 +7,13 @@ import os
 import time
 
 from promptmill.queries import QUERIES
-from promptmill.session import build_session
+from promptmill.session import build_session, release
 
 HEADLINE = ["class_counts", "plan_quotas", "token_stats", "top_ngrams", "ngram_jaccard", "msttr", "score_moments", "kde",
             "ks_two_sample", "js_distance", "synthesis_table", "content_profile", "text_column_stats", "version_comparison",
             "group_profile", "gini", "combine", "dedup_exact_normalised", "dedup_near", "near_duplicate_clusters",
-            "topic_keywords", "mean_pairwise_cosine", "language_profiles", "balanced_metrics"]
+            "topic_keywords", "mean_pairwise_cosine", "language_profiles", "language_detection", "score_inference", "balanced_metrics",
+            "balanced_rows"]
 
 
 def main() -> None:
@@ -28,6 +29,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        release()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).replace("sf", "")}))
     spark.stop()
