@@ -14,7 +14,7 @@ from ..plans import balance
 from ..plans import generate as gen
 from ..session import scratch_root
 from ..sources import readers, views, writers
-from .registry import CORPUS, PROMPTS, QA_TEXT, norm, register, words
+from .registry import CORPUS, ORACLES, PROMPTS, QA_TEXT, norm, register, words
 from .tables import L, R, sides
 from .texts import digest_bytes
 
@@ -207,15 +207,68 @@ register("pair_with_seed", lambda s, d: gen.pair_with_seed(
     _seeds(s, d).select("seed_id", F.concat(F.lit("  "), "prompt").alias("generated")), _seeds(s, d)).select(
     "seed_id", "intent_disc", F.md5(F.trim("generated")).alias("generated"), F.md5("prompt").alias("prompt")), f"""
 WITH {SEEDS} SELECT seed_id, intent_disc, md5(trim(prompt)) AS generated, md5(prompt) AS prompt FROM seeds""")
+
+
+def cleaned_sql(t: str) -> str:
+    """What ``clean_output`` makes of a text."""
+    t = rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+    t = rf"""regexp_replace({t}, '^[`"'' \n]+|[`"'' \n]+$', '', 'g')"""
+    t = rf"regexp_replace(regexp_replace({t}, '^\s*[\-*\d.)]\s+', ''), '(?i)^prompt\s*:\s*', '')"
+    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+
+
+def turned_sql(text: str, turn: str) -> str:
+    """The words of a text with the first ``turn`` of them (an expression over the list l) at the end."""
+    words_ = rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda x: x <> '')"
+    return f"array_to_string(list_transform([{words_}], lambda l: array_to_string(list_concat(l[{turn} + 1:], l[1:{turn}]), ' ')), '')"
+
+
+def picked_sql(stage: str, number: str, content: str) -> str:
+    """What the rule-based generator makes of a request without a text."""
+    h = f"sha256('{stage}|' || {number} || '|' || {content})"
+    byte = lambda i: f"CAST(('0x' || substr({h}, {2 * i + 1}, 2)) AS BIGINT)"
+    choice = lambda options, i: f"({options!r})[{byte(i)} % {len(options)} + 1]"
+    return (f"{choice(gen.OPENERS, 0)} || ' ' || {choice(gen.SUBJECTS, 1)} || ' ' || {choice(gen.ANGLES, 2)} || ', case ' || "
+            f"CAST(('0x' || substr({h}, 9, 8)) AS BIGINT)")
+
+
+def place_sql(stage: str, seq: str) -> str:
+    return f"CAST({gen.STAGE_RANK[stage] * gen.STAGE_ROOM} + {seq} AS BIGINT) AS item"
+
+
+MEANS = "m AS (SELECT intent_disc, avg(intent_cont) AS m FROM prompts GROUP BY 1)"
+QUOTA_ROWS = """f AS (SELECT *, coalesce(sum(n_new) OVER (ORDER BY n DESC, intent_disc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM q),
+qr AS (SELECT CAST(s + unnest(range(n_new)) AS BIGINT) AS seq, intent_disc FROM f WHERE n_new > 0)"""
+CLASS_REQUEST = "'Class: ' || intent_disc || chr(10) || 'One line, no list.'"
+CONDITIONAL = f"""cond AS (SELECT seq, intent_disc, round(m, 6) AS intent_cont, {picked_sql('conditional', '(seq + 1000003)', CLASS_REQUEST)} AS t FROM qr JOIN m USING (intent_disc))"""
 register("generated_paraphrases", lambda s, d: gen.generate_from_seeds("paraphrase", _seeds(s, d), gen.rule_based,
-                                                                       stats.prompt_score_lookup(views.prompts(s, d))))
-register("generated_syntax", lambda s, d: gen.generate_from_seeds("syntax", _seeds(s, d), gen.rule_based))
+                                                                       stats.prompt_score_lookup(views.prompts(s, d))), f"""
+WITH {SEEDS}, l AS (SELECT prompt, max_by(intent_cont, row_id) AS x FROM prompts GROUP BY 1)
+SELECT {place_sql('paraphrase', 'seed_id')}, 'paraphrase' AS stage, {cleaned_sql(turned_sql('prompt', '1'))} AS prompt, intent_disc, round(x, 6) AS intent_cont, prompt AS seed_prompt
+FROM seeds LEFT JOIN l USING (prompt)""")
+register("generated_syntax", lambda s, d: gen.generate_from_seeds("syntax", _seeds(s, d), gen.rule_based), f"""
+WITH {SEEDS} SELECT {place_sql('syntax', 'seed_id')}, 'syntax' AS stage, {cleaned_sql(turned_sql('prompt', 'greatest(1, len(l) // 2)'))} AS prompt, intent_disc,
+ NULL::DOUBLE AS intent_cont, prompt AS seed_prompt FROM seeds""")
 register("generated_conditional", lambda s, d: gen.generate_conditional(
-    _quotas(s, d), stats.class_mean_score(views.prompts(s, d)), gen.rule_based))
+    _quotas(s, d), stats.class_mean_score(views.prompts(s, d)), gen.rule_based), f"""
+WITH {QUOTAS}, {MEANS}, {QUOTA_ROWS}, {CONDITIONAL}
+SELECT {place_sql('conditional', 'seq')}, 'conditional' AS stage, t AS prompt, intent_disc, intent_cont FROM cond""")
 register("generated_novel", lambda s, d: gen.generate_novel(
-    balance.weighted_class_draw(_quotas(s, d), 50), stats.class_mean_score(views.prompts(s, d)), gen.rule_based))
+    balance.weighted_class_draw(_quotas(s, d), 50), stats.class_mean_score(views.prompts(s, d)), gen.rule_based), f"""
+WITH {QUOTAS}, {MEANS}, w AS (SELECT intent_disc, greatest(n_new, 1) AS w FROM q),
+st AS (SELECT intent_disc, sum(w) OVER (ORDER BY intent_disc) AS upto, sum(w) OVER (ORDER BY intent_disc) - w AS low, sum(w) OVER () AS total FROM w),
+dr AS (SELECT unnest(range(50)) AS draw), u AS (SELECT draw, {unit_draw("'class'", "'42'", "'1'", "draw::VARCHAR")} AS u FROM dr),
+p AS (SELECT draw, intent_disc FROM u JOIN st ON u * total >= low AND u * total < upto)
+SELECT {place_sql('brainstorm', 'draw')}, 'brainstorm' AS stage, {picked_sql('brainstorm', '(draw + 1000003)', "'One line, no list.'")} AS prompt, intent_disc, round(m, 6) AS intent_cont
+FROM p JOIN m USING (intent_disc)""")
 register("generated_two_stage", lambda s, d: gen.generate_two_stage(
-    _quotas(s, d), stats.class_mean_score(views.prompts(s, d)), gen.rule_based))
+    _quotas(s, d), stats.class_mean_score(views.prompts(s, d)), gen.rule_based), f"""
+WITH {QUOTAS}, {MEANS}, {QUOTA_ROWS}, {CONDITIONAL}
+SELECT {place_sql('conditional', 'seq')}, 'conditional' AS stage, {cleaned_sql(turned_sql('t', 'greatest(1, len(l) // 2)'))} AS prompt, intent_disc, intent_cont FROM cond""")
+
+
+ORACLES["topic_labels"] = f"""WITH kw AS ({ORACLES['topic_keywords']}), w AS (SELECT intent_disc, string_agg(term, ', ' ORDER BY rank) AS words FROM kw WHERE rank <= 5 GROUP BY 1)
+SELECT intent_disc, words, {picked_sql('label', "'None'", "'Name the topic described by these keywords in at most four words: ' || words")} AS label FROM w"""
 
 
 def _failing(messages, params):
