@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .sequences import first_of_groups
 
@@ -38,8 +40,8 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, more: tuple[str, ..
 
 
 def buckets_for(blocks: int) -> int:
-    """Buckets get a quarter of the blocks' number: keys are a small part of the text."""
-    return max(4, blocks // 4)
+    """As many buckets as blocks, so that what meets in a bucket is no more than a block, however much text is repeated."""
+    return max(4, blocks)
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -89,7 +91,7 @@ def per_bucket(rows: DataFrame, run: Callable[[int, list[tuple]], list[tuple]])
 
 
 def back_to_blocks(docs: DataFrame, answers: DataFrame, run: Callable[[int, pa.Table, list[tuple]], pa.Table],
-                   schema: str = ROW) -> DataFrame:
+                   schema: str | StructType = ROW) -> DataFrame:
     """``run(block, documents in order, [(bucket, kind, a, b, c, d), ...])`` for each block of documents."""
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
@@ -99,11 +101,8 @@ def back_to_blocks(docs: DataFrame, answers: DataFrame, run: Callable[[int, pa.T
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 
-def empty_like(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return arrow.empty_table()
+def empty_like(schema: str | StructType) -> pa.Table:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def shared_keys(rows: list[tuple]) -> list[np.ndarray]:
