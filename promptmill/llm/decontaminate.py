@@ -26,6 +26,8 @@ from .sequences import _IS_WORD, buffer_of, byte_values, lower_ascii, mix, prefi
 #: Masks over 11 words with 7 ones each. Any 11 words hold a hit if they agree; each single replaced word, and most pairs of
 #: replaced words, are ignored by at least one mask at one of a few neighbouring shifts.
 MASKS = ("11101001011", "11010010111", "11001101101")
+#: For items with fewer words than those masks span.
+SHORT_MASKS = ("11011011", "11101101")
 MIN_WORDS = 13
 LEAST_WORDS = 8
 SIMILARITY = 0.8
@@ -66,12 +68,15 @@ class Items:
     """A part of the benchmark: its words, and its seed hashes in order with their places."""
 
     def __init__(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray, masks: tuple[str, ...]):
-        self.ids, self.words, self.first, self.masks = ids, words, first, masks
+        self.ids, self.words, self.first = ids, words, first
+        self.masks = (*masks, *SHORT_MASKS)
         self.seeds = []
-        for mask in masks:
+        size, span = np.diff(first), max(map(len, masks))
+        for mask in self.masks:
             hashes = seeds(words, mask)
             owner = np.searchsorted(first, np.arange(len(hashes)), side="right") - 1
             whole = np.arange(len(hashes)) + len(mask) <= first[owner + 1] if len(hashes) else np.empty(0, bool)
+            whole &= (size[owner] < span) == (mask in SHORT_MASKS)
             places = np.flatnonzero(whole)
             order = np.argsort(hashes[places], kind="stable")
             seen = np.zeros(1 << 18, dtype=bool)
@@ -82,13 +87,16 @@ class Items:
         """Positions in the documents and in the benchmark whose seeds are equal."""
         left, right = [], []
         for mask, (known, places, seen) in zip(self.masks, self.seeds):
+            if len(known) == 0:
+                continue
             hashes = seeds(words, mask)
             at = np.flatnonzero(seen[(hashes >> np.uint64(46)).astype(np.int64)])
             low = np.searchsorted(known, hashes[at], side="left")
             count = np.searchsorted(known, hashes[at], side="right") - low
             left.append(np.repeat(at, count))
             right.append(places[ragged(low, count)])
-        return np.concatenate(left), np.concatenate(right)
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def best_overlap(agree: np.ndarray, similarity: float) -> tuple[int, int]:
