@@ -163,8 +163,9 @@ def cluster_embeddings(df: DataFrame, vector: str, k: int, min_size: int = 10, f
 
 
 def novelty_score(df: DataFrame, vector: str, key: str, model) -> DataFrame:
-    """1 - the best cosine to any cluster centre. The k centres are one array literal per row."""
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    """1 - the best cosine to any centre (of a fitted model, or given as a list). The k centres are one array literal per row."""
+    given = model if isinstance(model, list) else model.clusterCenters()
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in given])
     best = F.array_max(F.transform(centres, lambda c: vec.cosine(F.col(vector), c)))
     return df.select(key, (1 - best).alias("novelty"))
 

@@ -143,8 +143,9 @@ def label_topics(keywords: DataFrame, topic: str, generator, top: int = 5) -> Da
 
 
 def assign_topics(df: DataFrame, vector: str, model, out: str = "topic") -> DataFrame:
-    """Topic of new rows with membership probabilities: softmax of the negative distances to the centres."""
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    """Topic of new rows with membership probabilities: softmax of the negative distances to the centres (of a fitted model, or
+    given as a list)."""
+    centres = [[float(x) for x in c] for c in (model if isinstance(model, list) else model.clusterCenters())]
     table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
     distances = F.transform(table, lambda c: F.sqrt(squared_distance(F.col(vector), c)))
     weights = tx.let(F.array_min("_d"), lambda low: F.transform("_d", lambda d: F.exp(low - d)))

@@ -91,9 +91,18 @@ b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS j, e AS f FROM v WHERE s
 SELECT pos, round(list_dot_product(e, f), 6) AS cosine FROM a JOIN b ON a.pos % (SELECT count(*) FROM b) = b.j WHERE pos < 1000""")
 register("projection", lambda s, d: topics.document_map(views.vectors(s, d), "vec_id", "embedding"))
 register("embedding_clusters", lambda s, d: semantic.cluster_embeddings(views.vectors(s, d), "embedding", 10).select("vec_id", "cluster"))
-register("novelty_scores", lambda s, d: semantic.novelty_score(
-    views.vectors(s, d), "embedding", "vec_id", semantic.fit_clusters(views.vectors(s, d), "embedding", 10)).orderBy(
-    F.desc("novelty"), "vec_id").limit(20))
+
+
+def label_centres(spark, folder):
+    """The mean vector of each label, a handful of rows."""
+    rows = topics.topic_vectors(views.vectors(spark, folder), "label", "embedding", 64).orderBy("label").collect()
+    return [r["centre"] for r in rows]
+
+
+CENTRES = f"""{DIMS}, cm AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), cl AS (SELECT label, list(x ORDER BY i) AS c FROM cm GROUP BY 1),
+o AS (SELECT row_number() OVER (ORDER BY label) - 1 AS topic, c FROM cl)"""
+register("novelty_scores", lambda s, d: semantic.novelty_score(views.vectors(s, d), "embedding", "vec_id", label_centres(s, d)), f"""
+WITH {CENTRES} SELECT vec_id, round(1 - max(list_dot_product(e, c) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(c, c)))), 6) AS novelty FROM v CROSS JOIN o GROUP BY 1""")
 register("cached_embeddings", lambda s, d: semantic.embed_with_cache(views.dealt_prompts(s, d), "prompt", semantic.embed_with_cache(
     sides(s, d)[0], "prompt", None)[1])[0].select("row_id", F.size("embedding").alias("dim"), *[
         F.round(F.col("embedding")[i].cast("double"), 5).alias(f"x{i}") for i in (0, 100, 383)]), f"""
@@ -138,9 +147,11 @@ WITH {DIMS}, m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i,
 SELECT a.label AS topic_a, b.label AS topic_b, round(list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))), 6) AS cosine FROM m a CROSS JOIN m b""")
 register("topic_hierarchy", lambda s, d: topics.topic_hierarchy(topics.topic_vectors(views.vectors(s, d), "label", "embedding", 64), "label"))
 register("topic_map", lambda s, d: topics.topic_map(views.vectors(s, d), "label", "embedding", 64))
-register("topic_assignment", lambda s, d: topics.assign_topics(
-    views.vectors(s, d), "embedding", semantic.fit_clusters(views.vectors(s, d), "embedding", 10)).select(
-    "vec_id", "topic", F.array_max("probabilities").alias("probability")))
+register("topic_assignment", lambda s, d: topics.assign_topics(views.vectors(s, d), "embedding", label_centres(s, d)).select(
+    "vec_id", "topic", F.array_max("probabilities").alias("probability")), f"""
+WITH {CENTRES}, ds AS (SELECT vec_id, topic, sqrt(list_sum(list_transform(range(1, 65), lambda i: (e[i] - c[i]) * (e[i] - c[i])))) AS d FROM v CROSS JOIN o),
+lo AS (SELECT vec_id, min(d) AS low, min_by(topic, d) AS topic FROM ds GROUP BY 1)
+SELECT vec_id, CAST(any_value(lo.topic) AS INTEGER) AS topic, round(1 / sum(exp(low - d)), 6) AS probability FROM ds JOIN lo USING (vec_id) GROUP BY 1""")
 register("topic_model", lambda s, d: topics.topic_model(views.vectors(s, d), "", 10, 10, vector="embedding").select("vec_id", "topic"))
 register("keyword_rerank", lambda s, d: topics.keyword_rerank(views.dealt_prompts(s, d), "intent_disc", "prompt", "row_id", fv.QUESTION_STOPWORDS))
 register("topic_labels", lambda s, d: topics.label_topics(topics.topic_keywords(
@@ -209,6 +220,9 @@ register("pair_with_seed", lambda s, d: gen.pair_with_seed(
 WITH {SEEDS} SELECT seed_id, intent_disc, md5(trim(prompt)) AS generated, md5(prompt) AS prompt FROM seeds""")
 
 
+PROMPT_ROWS = f"WITH {PROMPTS} SELECT * FROM prompts"
+
+
 def cleaned_sql(t: str) -> str:
     """What ``clean_output`` makes of a text."""
     t = rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
@@ -267,6 +281,12 @@ WITH {QUOTAS}, {MEANS}, {QUOTA_ROWS}, {CONDITIONAL}
 SELECT {place_sql('conditional', 'seq')}, 'conditional' AS stage, {cleaned_sql(turned_sql('t', 'greatest(1, len(l) // 2)'))} AS prompt, intent_disc, intent_cont FROM cond""")
 
 
+ORACLES["keyword_rerank"] = f"""WITH kw AS ({ORACLES['topic_keywords'].replace('r <= 10', 'r <= 30')}), kp AS (SELECT intent_disc, prompt FROM ({PROMPT_ROWS})),
+pb AS (SELECT intent_disc, {digest_bytes('prompt')} AS b FROM kp), pe AS (SELECT intent_disc, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS e FROM pb),
+pu AS (SELECT intent_disc, unnest(e) AS x, unnest(range(32)) AS i FROM pe), pm AS (SELECT intent_disc, i, avg(x) AS x FROM pu GROUP BY 1, 2), pc AS (SELECT intent_disc, list(x ORDER BY i) AS c FROM pm GROUP BY 1),
+tb AS (SELECT intent_disc, term, rank, {digest_bytes('term')} AS b FROM kw),
+tc AS (SELECT intent_disc, term, rank, list_dot_product(b, c) / (sqrt(list_dot_product(b, b)) * sqrt(list_dot_product(c, c))) AS cosine FROM tb JOIN pc USING (intent_disc))
+SELECT intent_disc, term, rank, CAST(n AS INTEGER) AS new_rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY intent_disc ORDER BY round(cosine, 9) DESC, term) AS n FROM tc) WHERE n <= 10"""
 ORACLES["topic_labels"] = f"""WITH kw AS ({ORACLES['topic_keywords']}), w AS (SELECT intent_disc, string_agg(term, ', ' ORDER BY rank) AS words FROM kw WHERE rank <= 5 GROUP BY 1)
 SELECT intent_disc, words, {picked_sql('label', "'None'", "'Name the topic described by these keywords in at most four words: ' || words")} AS label FROM w"""
 
@@ -311,27 +331,37 @@ def _facts(spark, folder):
     """Run figures of a finished table: the prompts against what the plan asks for."""
     rows = views.prompts(spark, folder)
     kept = dedup.dedup_exact_normalised(rows, "prompt", "row_id")
+    base, new = sides(spark, folder)
     planned = _quotas(spark, folder).agg(F.sum("n_new").alias("n")).scalar()
-    n, k = (t.agg(F.count("*").alias("n")).scalar() for t in (rows, kept))
+    n, k, fresh, beyond = (t.agg(F.count("*").alias("n")).scalar() for t in (
+        rows, kept, dedup.dedup_exact_normalised(new, "prompt", "row_id"), dedup.dedup_against(new, base, "prompt", "row_id")))
+    pairs = semantic.pair_similarity(views.qa_text(spark, folder), "questions", "answer")
     return rows.sparkSession.range(1).select(
-        balance.coverage_percent(k, planned).alias("coverage_percent"), F.lit(0.85).alias("paraphrase_mean_similarity"),
+        balance.coverage_percent(k, planned).alias("coverage_percent"),
+        semantic.mean_pair_similarity(semantic.similarity_band(pairs, 0.72, 0.95), pairs).scalar().alias("paraphrase_mean_similarity"),
         dedup.duplicate_ratio(rows, kept).scalar().alias("duplicate_ratio"),
         stats.class_cv_percent(rows).scalar().alias("class_histogram_cv_percent"), planned.alias("planned_new"), n.alias("generated_total"),
-        k.alias("generated_unique"), n.alias("original_rows"), F.lit(50).alias("target_coverage"), F.lit(0.0).alias("duplicate_ratio_vs_source"),
+        k.alias("generated_unique"), n.alias("original_rows"), F.lit(50).alias("target_coverage"),
+        (1 - beyond / fresh).alias("duplicate_ratio_vs_source"),
         balance.format_counts(stats.class_counts(rows)).scalar().alias("class_counts"))
 
 
-FACTS = f"""{QUOTAS}, m AS (SELECT (SELECT count(DISTINCT {norm('prompt')}) FROM prompts) AS k, (SELECT count(*) FROM prompts) AS n,
- (SELECT CAST(sum(n_new) AS BIGINT) FROM q) AS planned, (SELECT stddev_pop(n) * 100 / avg(n) FROM c) AS cv),
+FACTS = f"""{QUOTAS}, {QA_TEXT}, qv AS (SELECT {digest_bytes('questions')} AS a, {digest_bytes('answer')} AS b FROM qa_text),
+qc AS (SELECT list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS cosine FROM qv),
+nk AS (SELECT row_id % 2 AS side, {norm('prompt')} AS k FROM prompts), odd AS (SELECT DISTINCT k FROM nk WHERE side = 1),
+m AS (SELECT (SELECT count(DISTINCT {norm('prompt')}) FROM prompts) AS k, (SELECT count(*) FROM prompts) AS n,
+ (SELECT CAST(sum(n_new) AS BIGINT) FROM q) AS planned, (SELECT stddev_pop(n) * 100 / avg(n) FROM c) AS cv,
+ (SELECT coalesce((SELECT avg(cosine) FROM qc WHERE cosine BETWEEN 0.72 AND 0.95), (SELECT avg(cosine) FROM qc), 1.0)) AS sim,
+ 1 - (SELECT count(*) FROM odd WHERE k NOT IN (SELECT k FROM nk WHERE side = 0)) / (SELECT count(*) FROM odd) AS against),
 x AS (SELECT *, 100.0::DOUBLE * k / planned AS coverage, 1 - k / n AS dup FROM m)"""
 register("run_metrics", lambda s, d: _facts(s, d).select(*balance.METRICS), f"""
-WITH {FACTS} SELECT round(coverage, 6) AS coverage_percent, 0.85::DOUBLE AS paraphrase_mean_similarity, round(dup, 6) AS duplicate_ratio, round(cv, 6) AS class_histogram_cv_percent FROM x""")
+WITH {FACTS} SELECT round(coverage, 6) AS coverage_percent, round(sim, 6) AS paraphrase_mean_similarity, round(dup, 6) AS duplicate_ratio, round(cv, 6) AS class_histogram_cv_percent FROM x""")
 register("quality_gates", lambda s, d: balance.quality_gates(_facts(s, d).select(*balance.METRICS)).drop(*balance.METRICS), f"""
-WITH {FACTS}, g AS (SELECT coverage >= 90 AS a, cv <= 5 AS b, true AS c, dup <= 0.01 AS d FROM x)
+WITH {FACTS}, g AS (SELECT coverage >= 90 AS a, cv <= 5 AS b, sim BETWEEN 0.82 AND 0.95 AS c, dup <= 0.01 AS d FROM x)
 SELECT a AS coverage_ok, b AS class_cv_ok, c AS similarity_ok, d AS duplicates_ok, a AND b AND c AND d AS all_pass,
- array_to_string(list_filter([CASE WHEN NOT a THEN 'coverage_ok' END, CASE WHEN NOT b THEN 'class_cv_ok' END, CASE WHEN NOT d THEN 'duplicates_ok' END], lambda v: v IS NOT NULL), ',') AS failed_gates FROM g""")
+ array_to_string(list_filter([CASE WHEN NOT a THEN 'coverage_ok' END, CASE WHEN NOT b THEN 'class_cv_ok' END, CASE WHEN NOT c THEN 'similarity_ok' END, CASE WHEN NOT d THEN 'duplicates_ok' END], lambda v: v IS NOT NULL), ',') AS failed_gates FROM g""")
 register("report_lines", lambda s, d: balance.report_lines(_facts(s, d)), f"""
-WITH {FACTS}, v AS (SELECT [ '50%', n::VARCHAR, planned::VARCHAR, n || ' (unique ' || k || ')', format('{{:.2f}}%', coverage), '0.850', format('{{:.3f}}', dup), '0.000', format('{{:.2f}}', cv),
+WITH {FACTS}, v AS (SELECT [ '50%', n::VARCHAR, planned::VARCHAR, n || ' (unique ' || k || ')', format('{{:.2f}}%', coverage), format('{{:.3f}}', sim), format('{{:.3f}}', dup), format('{{:.3f}}', against), format('{{:.2f}}', cv),
  (SELECT '{{' || string_agg(intent_disc || ': ' || n, ', ' ORDER BY n DESC, intent_disc) || '}}' FROM c)] AS v FROM x)
 SELECT CAST(unnest(range(10)) AS INTEGER) AS line, unnest([{', '.join(f"'{l}'" for l in fv.REPORT_LABELS)}]) AS label, unnest(v) AS value FROM v""")
 
