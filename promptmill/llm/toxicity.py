@@ -30,8 +30,8 @@ WORDS, STRIDE = 64, 48
 #: Sizes: hidden units in a direction, hashed word vectors and their width, trigram vectors and their width, attention.
 HIDDEN, WORD_ROWS, WORD_WIDTH, CHAR_ROWS, CHAR_WIDTH, ATTEND = 8, 1 << 15, 6, 1 << 13, 6, 8
 INPUT = 2 * WORD_WIDTH + CHAR_WIDTH
-#: Training documents of each label at most, rounds, windows in a step of training.
-TRAIN_DOCS, ROUNDS, BATCH = 1500, 6, 256
+#: Training documents of each label at most, rounds, windows in a step of training at most and steps in a round at least.
+TRAIN_DOCS, ROUNDS, BATCH, STEPS = 1500, 10, 256, 40
 
 
 class Texts:
@@ -268,8 +268,9 @@ def train(texts: Texts, toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 6)
             other = other[first_of_groups(doc[other])]
             chosen = np.concatenate([worst, other[label[other] == 0]])
         chosen = rng.permutation(chosen)
-        for at in range(0, len(chosen), BATCH):
-            part = chosen[at:at + BATCH]
+        size = int(np.clip(len(chosen) // STEPS, 8, BATCH))
+        for at in range(0, len(chosen), size):
+            part = chosen[at:at + size]
             network.train(texts, part, label[part], rate=0.02 if k < rounds - 2 else 0.005)
     return network
 
