@@ -5,11 +5,12 @@ import hashlib
 import re
 
 import cases
+import harness
 import numpy as np
 import pytest
 
 from promptmill.llm import minhash_bbit, path_dedup, suffix_dedup
-from promptmill.llm.queries import QUERIES
+from promptmill.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -125,3 +126,10 @@ def test_queries(spark, folder, documents):
     assert rows_of(QUERIES["op1_suffix_dedup"](spark, folder)) == strings_left(documents, 50)
     assert rows_of(QUERIES["op8_substring_dedup"](spark, folder)) == spans_left(documents, 35)
     assert rows_of(QUERIES["op4_minhash"](spark, folder)) == near_components(documents, 4, 80)
+
+
+@pytest.mark.parametrize("name", ["op4_minhash", "op8_substring_dedup"])
+def test_sql_says_the_same_as_brute_force(folder, documents, name):
+    expected = near_components(documents, 4, 80) if name == "op4_minhash" else spans_left(documents, 35)
+    got = harness.connect(folder).execute(ORACLES[name]).to_arrow_table().to_pylist()
+    assert sorted(tuple(r.values()) for r in got) == expected
