@@ -10,7 +10,8 @@ what may reach the threshold is confirmed on the full sets:
 2. the members that this did not link to it, against the whole family.
 
 Members linked in step 1 are in one component already and need no comparison among themselves. Both steps run in blocks: a
-family of any size is dealt out over tasks, each of which holds two blocks of bounded size.
+family of any size is dealt out over tasks, each of which holds two blocks of bounded size. A task joins what is linked as it
+goes and returns one link per joining, so its result has at most as many rows as it holds nodes, not pairs.
 
 With 48 bands of 5 rows a pair of similarity 0.8 misses all bands with probability 5e-9. The signature filter stands 5 standard
 deviations under the threshold.
@@ -118,36 +119,40 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, shingles (packed hashes) and signature of the documents named by ``nodes``."""
+    """node, shingles (packed hashes), their size in bytes and signature of the documents named by ``nodes``. The named
+    documents grow with the corpus, so the join shuffles at every size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"), size)
                 yield pa.record_batch([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                                       pa.array([s.nbytes for s in sets], pa.int64()),
                                        pa.array([packed(minima(s)).tobytes() for s in sets], pa.binary())],
-                                      names=["node", "shingles", "signature"])
+                                      names=["node", "shingles", "size", "signature"])
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    wanted = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    found = wanted.mapInArrow(run, "node bigint, shingles binary, signature binary")
-    return found.filter(F.octet_length("shingles") > 0)
+    wanted = rows.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    found = wanted.mapInArrow(run, "node bigint, shingles binary, size bigint, signature binary")
+    return found.filter("size > 0")
 
 
 def _links_of_blocks(percent: int):
-    """Links between the left and the right nodes of a block pair."""
+    """Links that join the left and the right nodes of a block pair into components. Right nodes that are known to belong
+    together are one component from the start."""
     least = percent / 100 - margin(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.asarray(table["side"])
+        side, known = np.asarray(table["side"]), np.asarray(table["known"])
         node = np.asarray(table["node"])
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["shingles"].to_pylist()]
         signs = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint64).reshape(len(sets), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found_a, found_b = [], []
+        links = []
         if len(left) and len(right):
             size = np.array([len(sets[i]) for i in right])
             every = np.concatenate([sets[i] for i in right])
             value, place = np.unique(every, return_inverse=True)
             starts = np.cumsum(size) - size
+            label = np.where(known[right], -1, np.arange(len(right)))
             for i in left:
                 near = np.flatnonzero(estimate(signs[i], signs[right]) >= least)
                 near = near[node[right[near]] != node[i]]
@@ -160,32 +165,34 @@ def _links_of_blocks(percent: int):
                 common = np.add.reduceat(mark[place], starts)[near]
                 union = size[near] + len(sets[i]) - common
                 near = near[100 * common >= percent * union]
-                found_a.append(np.full(len(near), node[i]))
-                found_b.append(node[right[near]])
-        a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                # one link to each component that it touches; these are one component from now on
+                touched, first = np.unique(label[near], return_index=True)
+                links += [(node[i], node[right[k]]) for k in near[first]]
+                if len(touched) > 1:
+                    label[np.isin(label, touched)] = touched[0]
+        return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
     return run
 
 
 def block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between ``left`` and ``right`` nodes of the same family (columns family, node). Each side of a family is
-    dealt into blocks of about ``SET_BYTES``; a task holds one block of each."""
-    def with_blocks(side: DataFrame) -> tuple[DataFrame, DataFrame]:
-        full = side.join(sets, "node")
-        counts = full.groupBy("family").agg(F.ceil((F.sum(F.octet_length("shingles")) + 1) / SET_BYTES).cast("int").alias("blocks"))
-        return full, counts
-    (l_full, l_count), (r_full, r_count) = with_blocks(left), with_blocks(right)
-    counts = materialize(l_count.withColumnRenamed("blocks", "l_blocks").join(
-        r_count.withColumnRenamed("blocks", "r_blocks"), "family"))
-    home = F.xxhash64("node")
-
-    def dealt(full: DataFrame, side: int, own: str, other: str) -> DataFrame:
-        return full.join(counts, "family").select(
-            "family", F.lit(side).alias("side"), "node", "shingles", "signature",
-            F.pmod(home, F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-    rows = dealt(l_full, 0, "l_blocks", "r_blocks").unionByName(dealt(r_full, 1, "r_blocks", "l_blocks"))
-    return rows.groupBy("family", "l_blocks", "r_blocks").applyInArrow(_links_of_blocks(percent), "a bigint, b bigint")
+    """Links that join ``left`` nodes (columns family, node) to ``right`` nodes of the same family (also ``known``: whether they
+    are in the component of the family's first node). Each side of a family is dealt into blocks of about ``SET_BYTES``; a task
+    holds one block of each. Blocks are planned on narrow rows; a set is shuffled once to its place."""
+    sizes = sets.select("node", "size")
+
+    def planned(side: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
+        full = side.join(sizes, "node")
+        return full, full.groupBy("family").agg(F.ceil((F.sum("size") + 1) / SET_BYTES).cast("int").alias(count))
+    (l_side, l_count), (r_side, r_count) = planned(left.withColumn("known", F.lit(False)), "l_blocks"), planned(right, "r_blocks")
+    counts = materialize(l_count.join(r_count, "family"))
+
+    def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        return side.join(counts, "family").select(
+            "family", F.lit(number).alias("side"), "known", "node", F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+    placed = dealt(l_side, 0, "l_blocks", "r_blocks").unionByName(dealt(r_side, 1, "r_blocks", "l_blocks"))
+    return (placed.join(sets.drop("size"), "node").groupBy("family", "l_blocks", "r_blocks")
+            .applyInArrow(_links_of_blocks(percent), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -195,15 +202,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
              .agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")))
     keyed = materialize(nodes.select("node", F.explode("bands").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    edges = keyed.join(shared.select("key", "first"), "key").filter("node <> first").select(
-        F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    families = components(edges).select("node", F.col("label").alias("family"))
+    edges = materialize(keyed.join(shared.select("key", "first"), "key").filter("node <> first").select("node", "first").distinct())
+    # A node under many keys is tied to the least of their first nodes, and these to each other: the same components from about
+    # one edge per node.
+    nearest = materialize(edges.groupBy("node").agg(F.min("first").alias("b")))
+    ties = edges.join(nearest, "node").filter("first <> b").select(F.col("first").alias("a"), "b").distinct()
+    families = components(nearest.select(F.col("node").alias("a"), "b").union(ties)).select("node", F.col("label").alias("family"))
     sets = materialize(full_sets(docs, families, size))
     heads = families.filter("node = family")
-    first = materialize(block_links(heads.select("family", "node"), families, sets, percent))
-    linked = first.select(F.col("b").alias("node")).distinct()
-    rest = families.filter("node <> family").join(linked, "node", "left_anti")
-    second = block_links(rest, families, sets, percent)
+    first = materialize(block_links(heads, families.withColumn("known", F.lit(False)), sets, percent))
+    linked = first.select(F.col("b").alias("node")).distinct().withColumn("linked", F.lit(True))
+    judged = materialize(families.join(linked, "node", "left").withColumn(
+        "known", F.coalesce("linked", F.col("node") == F.col("family"))).drop("linked"))
+    second = block_links(judged.filter("NOT known").drop("known"), judged, sets, percent)
     labels = components(first.union(second))
     named = materialize(nodes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("label", "node").alias("component")))
