@@ -39,9 +39,10 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, more: tuple[str, ..
     return docs.select(block.alias("block"), "doc_id", "text", *more), count
 
 
-def buckets_for(blocks: int) -> int:
-    """As many buckets as blocks, so that what meets in a bucket is no more than a block, however much text is repeated."""
-    return max(4, blocks)
+def buckets_for(blocks: int, blocks_each: int = 4) -> int:
+    """Buckets grow with the blocks; ``blocks_each`` is how many blocks' keys make about one block (1 where most of the text
+    may travel). A block sends a packed row to each bucket it has keys for, so there are no more rows than keys."""
+    return max(4, blocks // blocks_each)
 
 
 def in_order(table: pa.Table) -> pa.Table:

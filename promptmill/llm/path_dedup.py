@@ -11,8 +11,9 @@ word goes if a window covers it whose words also start somewhere else, in the sa
 3. The answers meet the documents in a join by block. Repeated edges that follow each other without a branch between them are
    compacted into a path. All occurrences of an edge are cut at the same places, so a path has the same edges
    wherever it stands.
-4. Paths are counted by Spark under their first edge, their length and a digest of all their words, read at their source
-   coordinates. Only what two coordinates agree on in full is taken out, so equal hashes remove nothing by themselves.
+4. A digest of all words of each path, read at its source coordinates, goes to the buckets, each different one of a block once,
+   and the answers come back in a second join by block. Only what two coordinates agree on in full is taken out, so equal hashes of
+   edges remove nothing by themselves.
 
 Cases: a null or empty text has no words; texts shorter than a window lose nothing; identical rows are removed from each other
 as any repeated text; a null id is kept; an empty table gives no rows; other columns are ignored.
@@ -26,10 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import materialize
 from . import blocks as bl
 from .sequences import (buffer_of, first_of_groups, mix, prefix_hashes, ragged, valid_runs, window_anchors, window_hashes,
                         word_hashes, words_of)
@@ -37,7 +36,7 @@ from .sequences import (buffer_of, first_of_groups, mix, prefix_hashes, ragged,
 LENGTH = 35
 #: Words in a gram; a window has LENGTH - GRAM + 1 of them.
 GRAM = 12
-SHARED, EDGES = 0, 1
+SHARED, EDGES, PATHS = 0, 1, 2
 BEGIN, END, MANY = np.uint64(0), np.uint64(1), np.uint64(2)
 REPEATED, PARTS_BEFORE, PARTS_AFTER = 1, 2, 4
 
@@ -154,9 +153,10 @@ def _branches(bucket: int, rows: list[tuple]) -> list[tuple]:
     return answers
 
 
-def _paths(length: int, gram: int, buckets: int):
-    def run(block: int, table: pa.Table, answers: list[tuple]) -> pa.Table:
-        w = Windows(table, length, gram)
+class Paths:
+    """The compacted paths of a block: first window and number of windows of each, its digest, and the different digests."""
+
+    def __init__(self, w: Windows, answers: list[tuple], buckets: int):
         window = w.candidates(answers, buckets)
         edges, index, _ = w.edges(window)
         told = {r[0]: np.frombuffer(r[2], np.uint8) for r in answers if r[1] == EDGES}
@@ -171,27 +171,59 @@ def _paths(length: int, gram: int, buckets: int):
         new[1:] = ((window[1:] != window[:-1] + 1) | (doc[1:] != doc[:-1]) | ((flags[1:] & PARTS_BEFORE) > 0)
                    | ((flags[:-1] & PARTS_AFTER) > 0))
         begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(window)))
-        at, owner = window[begin], doc[begin]
+        self.count, self.at = np.diff(np.append(begin, len(window))), window[begin]
         text, _, to = w.joined(np.ones(len(w.starts), dtype=bool))
-        text = text.tobytes()
-        size = w.ends - w.starts
-        stop = at + count + length - 2
-        digest = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(to[at], (to + size)[stop])] if len(at) else []
-        return pa.table([pa.array(np.full(len(at), block), pa.int32()), pa.array(owner, pa.int32()),
-                         pa.array(at - w.first[owner] if len(at) else [], pa.int64()), pa.array(count, pa.int64()),
-                         pa.array(w.edge[at].view(np.int64) if len(at) else [], pa.int64()), pa.array(digest, pa.binary())],
-                        names=["block", "row", "start", "windows", "edge", "digest"])
+        text, size, stop = text.tobytes(), w.ends - w.starts, self.at + self.count + w.length - 2
+        digest = b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest()
+                          for a, b in zip(to[self.at], (to + size)[stop])) if len(self.at) else b""
+        digest = np.frombuffer(digest, dtype=np.uint64).reshape(-1, 2)
+        order = np.lexsort((digest[:, 1], digest[:, 0]))
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
+        first = np.flatnonzero(head)
+        self.digest, self.times = digest[order[first]], np.diff(np.append(first, len(order)))
+        self.index = np.empty(len(order), dtype=np.int64)
+        self.index[order] = np.cumsum(head) - 1
+
+
+def _paths(length: int, gram: int, buckets: int):
+    def run(block: int, table: pa.Table, answers: list[tuple]) -> pa.Table:
+        paths = Paths(Windows(table, length, gram), answers, buckets)
+        twice = (paths.times > 1).astype(np.uint8)
+        return bl.rows_table([bl.pack(block, k, PATHS, paths.digest[i], twice[i]) for k, i in bl.deal(paths.digest[:, 0], buckets)])
     return run
 
 
-def _cut(length: int, carry: tuple[str, ...], schema: StructType):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = bl.in_order(left)
-        w = Windows(table, length, min(GRAM, length))
-        row, start, count = (np.asarray(right[c]).astype(np.int64) for c in ("row", "start", "windows"))
+def _confirmed(bucket: int, rows: list[tuple]) -> list[tuple]:
+    """Which digests occur more than once."""
+    digest = np.concatenate([np.frombuffer(r[2], np.uint64).reshape(-1, 2) for r in rows])
+    twice = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
+    first = np.flatnonzero(head)
+    count = np.diff(np.append(first, len(order)))
+    out = np.empty(len(order), dtype=np.uint8)
+    out[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], first) > 0), count)
+    answers, at = [], 0
+    for r in rows:
+        n = len(r[3])
+        answers.append(bl.pack(r[0], bucket, PATHS, out[at:at + n]))
+        at += n
+    return answers
+
+
+def _cut(length: int, gram: int, buckets: int, carry: tuple[str, ...]):
+    def run(block: int, table: pa.Table, answers: list[tuple]) -> pa.Table:
+        w = Windows(table, length, gram)
+        paths = Paths(w, answers, buckets)
+        told = {r[0]: np.frombuffer(r[2], np.uint8) for r in answers if r[1] == PATHS}
+        agreed = np.zeros(len(paths.digest), dtype=bool)
+        for k, i in bl.deal(paths.digest[:, 0], buckets):
+            agreed[i] = told[k] > 0
+        gone_paths = agreed[paths.index]
+        at, count = paths.at[gone_paths], paths.count[gone_paths]
         mark = np.zeros(len(w.starts) + 1, dtype=np.int32)
-        at = w.first[row] + start if len(row) else row
         np.add.at(mark, at, 1)
         np.add.at(mark, at + count + length - 1, -1)
         gone = np.cumsum(mark[:-1]) > 0
@@ -208,10 +240,7 @@ def _cut(length: int, carry: tuple[str, ...], schema: StructType):
         return pa.table([table["doc_id"].combine_chunks(), pa.array(np.diff(w.first), pa.int64()),
                          pa.array(np.diff(gone_before), pa.int64()), _texts(kept, kept_offsets), _texts(w.data[stay], rest),
                          *[table[c] for c in carry]], names=["doc_id", "n_words", "n_removed", "kept", "rest", *carry])
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right) if left.num_rows else to_arrow_schema(schema).empty_table()
-    return work
+    return run
 
 
 CUT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, rest string"
@@ -233,13 +262,9 @@ def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     shared = bl.per_bucket(bl.per_block(blocked, _anchors(length, gram, buckets)), _shared)
     edges = bl.back_to_blocks(blocked, shared, _edges(length, gram, buckets))
     branches = bl.per_bucket(edges, _branches)
-    paths = materialize(bl.back_to_blocks(
-        blocked, shared.unionByName(branches), _paths(length, gram, buckets),
-        "block int, row int, start bigint, windows bigint, edge bigint, digest binary"))
-    same = ["edge", "windows", "digest"]
-    agreed = paths.groupBy(*same).agg(F.count("*").alias("times")).filter("times > 1").select(*same)
-    confirmed = paths.join(agreed, same, "left_semi").select("block", "row", "start", "windows")
-    return blocked.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_cut(length, carry, schema), schema)
+    told = shared.unionByName(branches)
+    confirmed = bl.per_bucket(bl.back_to_blocks(blocked, told, _paths(length, gram, buckets)), _confirmed)
+    return bl.back_to_blocks(blocked, told.unionByName(confirmed), _cut(length, gram, buckets, carry), schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -281,7 +281,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GR
     """doc_id, n_bytes, spans (array of begin and end of each removed run of bytes) and kept (the remaining bytes)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocked, count = bl.blocked(rows, block_bytes)
-    buckets = bl.buckets_for(count)
+    buckets = bl.buckets_for(count, 1)
     shared = bl.per_bucket(bl.per_block(blocked, _anchors(length, gram, buckets)), _shared)
     pieces = bl.back_to_blocks(blocked, shared, _pieces(length, gram, buckets))
     least = bl.per_bucket(pieces, _least(length))
