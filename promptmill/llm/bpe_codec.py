@@ -30,7 +30,7 @@ from .sequences import ragged, slices
 CHUNK = 1 << 15
 OVERLAP = 512
 #: Units of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 _UNEVEN = re.compile(r"\s | \s")
 
@@ -42,18 +42,21 @@ class Codec:
     looks past it. So a text may be encoded unit by unit, each a blank and what follows up to the next such blank."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines()) if token}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines()) if token}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
-        size = max(table.values()) + 1
-        parts = [b""] * size
-        for token, rank in table.items():
+        parts = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
             parts[rank] = token
         self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         self.length = np.array([len(p) for p in parts], dtype=np.int64)
         self.start = np.cumsum(self.length) - self.length
 
+    @functools.cached_property
+    def encoding(self) -> tiktoken.Encoding:
+        """Built at the first use: workers that only decode do without."""
+        return tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), dtype=np.int32).tobytes()
 
@@ -144,7 +147,7 @@ class BytePairCoder:
     def _encode_whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = self.codec()
         for batch in batches:
-            for part in slices(batch, budget=4 << 20):
+            for part in slices(batch, budget=1 << 20):
                 ids = [codec.encode(t) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
 
