@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixedvalues as fv
-from ..functions import text as tx
 
 from ..operators import dedup, fuzzy, language, lsh, scoring, semantic, stats, topics
 from ..plans import balance
