@@ -6,7 +6,8 @@ mask; where hashes meet, document and item are laid side by side at that shift a
 
 An overlap is reported if at least ``MIN_WORDS`` words (or the whole item, if shorter, but not under ``LEAST_WORDS``) stand
 side by side of which at least ``SIMILARITY`` agree, beginning and ending with an agreeing word. Words are ASCII
-lower-cased and stripped of punctuation at their ends.
+lower-cased and stripped of punctuation at their ends. The masks miss no such overlap (nor with a larger ``min_words`` or
+``similarity``); the tests go through all placements of replaced words.
 
 Cases: a null or empty text or item has no words and no overlap; items that say the same are reported each; identical documents
 are reported each; a null id is kept; empty tables give no rows; other columns are ignored.
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .sequences import _IS_WORD, buffer_of, byte_values, lower_ascii, mix, prefix_hashes, ragged, run_hashes, slices, words_of
 
-#: Masks over 11 words with 7 ones each. Any 11 words hold a hit if they agree; each single replaced word, and most pairs of
-#: replaced words, are ignored by at least one mask at one of a few neighbouring shifts.
-MASKS = ("11101001011", "11010010111", "11001101101")
-#: For items with fewer words than those masks span.
-SHORT_MASKS = ("11011011", "11101101")
+#: Masks with 6 ones for items of at least ``MIN_WORDS`` words. Wherever a fifth of 13 to 25 words is replaced, one of them hits;
+#: a longer run of which a fifth is replaced holds such a window, as it can be cut into windows of 13 to 25 words.
+MASKS = ("1111011", "1110100011", "11000011011", "1110111")
+#: For items of ``LEAST_WORDS`` to ``MIN_WORDS`` - 1 words, which count as a whole: the same for the words between their ends.
+SHORT_MASKS = ("1111011", "11001111", "1101000111", "10111101", "1110100011")
 MIN_WORDS = 13
 LEAST_WORDS = 8
 SIMILARITY = 0.8
@@ -71,12 +72,13 @@ class Items:
         self.ids, self.words, self.first = ids, words, first
         self.masks = (*masks, *SHORT_MASKS)
         self.seeds = []
-        size, span = np.diff(first), max(map(len, masks))
-        for mask in self.masks:
+        size = np.diff(first)
+        for k, mask in enumerate(self.masks):
             hashes = seeds(words, mask)
             owner = np.searchsorted(first, np.arange(len(hashes)), side="right") - 1
             whole = np.arange(len(hashes)) + len(mask) <= first[owner + 1] if len(hashes) else np.empty(0, bool)
-            whole &= (size[owner] < span) == (mask in SHORT_MASKS)
+            whole &= (size[owner] < MIN_WORDS) == (k >= len(masks))
+            whole &= size[owner] >= LEAST_WORDS
             places = np.flatnonzero(whole)
             order = np.argsort(hashes[places], kind="stable")
             seen = np.zeros(1 << 18, dtype=bool)
@@ -128,8 +130,10 @@ def overlaps(words: np.ndarray, first: np.ndarray, items: Items, min_words: int,
         low = max(items.first[i], first[d] - shift)
         high = min(items.first[i + 1], first[d + 1] - shift)
         agree = words[low + shift:high + shift] == items.words[low:high]
-        b, e = best_overlap(agree, similarity)
         need = max(LEAST_WORDS, min(min_words, items.first[i + 1] - items.first[i]))
+        if agree.sum() < similarity * need - 1e-9:
+            continue
+        b, e = best_overlap(agree, similarity)
         if e - b >= need:
             row = (int(d), int(i), int(low + shift + b - first[d]), e - b, int(agree[b:e].sum()))
             found.setdefault((int(d), int(i), row[2]), row)

@@ -1,5 +1,6 @@
 """Top-k search against brute force and SQL, decontamination against planted passages."""
 
+import itertools
 import random
 
 import cases
@@ -70,6 +71,31 @@ def test_overlaps_survive_substitutions_and_short_items(spark):
     assert decontaminate.find_overlaps(cases.frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_every_placement_of_replaced_words_is_found():
+    for n in range(8, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        docs = []
+        for k in range(n // 5 + 1):
+            for places in itertools.combinations(range(1, n - 1), k):
+                doc = item.copy()
+                doc[list(places)] += np.uint64(1)
+                docs.append(doc)
+        items = decontaminate.Items(np.arange(1), item, np.array([0, n]), decontaminate.MASKS)
+        first = np.arange(len(docs) + 1) * n
+        found = decontaminate.overlaps(np.concatenate(docs), first, items, decontaminate.MIN_WORDS, decontaminate.SIMILARITY)
+        assert [r[:4] for r in found] == [(d, 0, 0, n) for d in range(len(docs))]
+
+
+def test_masks_hit_every_window_with_a_fifth_replaced():
+    for n in range(13, 26):
+        missed = np.array([sum(1 << k for k in places) for places in itertools.combinations(range(n), n // 5)])
+        for mask in decontaminate.MASKS:
+            ones = int(mask[::-1], 2)
+            for at in range(n - len(mask) + 1):
+                missed = missed[missed & (ones << at) != 0]
+        assert len(missed) == 0
+
+
 def test_decontamination_query_finds_whole_items(spark, folder, documents):
     import pyarrow.parquet as pq
     items = pq.read_table(f"{folder}/benchmark.parquet").to_pylist()
