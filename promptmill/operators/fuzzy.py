@@ -129,6 +129,19 @@ def fuzzy_pairs(df: DataFrame, key: str = "row_id", text: str = "prompt", sample
     return drawn_a.unionByName(drawn_b).distinct()
 
 
+def fuzzy_counts(df: DataFrame, by: str = "source", key: str = "row_id", text: str = "prompt", cutoff: float = 90.0) -> DataFrame:
+    """``by, fuzzy_pairs``: how many of ``fuzzy_pairs`` have both rows in one group. Copies are counted, not paired."""
+    said = F.trim(F.regexp_replace(text, r"\s+", " ")) != ""
+    held = materialize(df.groupBy(by, F.sha2(text, 256).alias("digest")).agg(
+        F.count(F.when(said, 1)).alias("n"), F.min(F.col(key).cast("bigint")).alias("first")))
+    ids = held.groupBy("digest").agg(F.min("first").alias("id"))
+    sizes = materialize(held.join(ids, "digest").select(by, "id", "n"))
+    between = (fuzzy_pairs(df, key, text, cutoff=cutoff, copies=False).join(sizes.toDF(by, "id_a", "n_a"), "id_a")
+               .join(sizes.toDF(by, "id_b", "n_b"), [by, "id_b"]).select(by, (F.col("n_a") * F.col("n_b")).alias("n")))
+    inside = held.select(by, F.expr("n * (n - 1) div 2").alias("n"))
+    return inside.unionByName(between).groupBy(by).agg(F.sum("n").alias("fuzzy_pairs"))
+
+
 def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     keys = [c for c in pairs.columns if c.startswith("id_")]
     return pairs.orderBy(F.desc("score"), *keys).limit(n)

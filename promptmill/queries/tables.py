@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixedvalues as fv
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import compare, lexical, profile, running, sampling, semantic, stats
+from ..operators import compare, fuzzy, lexical, profile, running, sampling, semantic, stats
 from ..plans import balance
 from ..plans import compare as plans_compare
 from ..sources import views
@@ -299,6 +299,12 @@ hm AS (SELECT source, (sum(t * t) - any_value(n_rows)) / (any_value(n_rows) * (a
 SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
  round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, NULL::DOUBLE AS quasi_dup_prompt_pct, round(cosine, 6) AS mean_semantic_intra
 FROM b JOIN e USING (source) JOIN w USING (source) JOIN hm USING (source)""")
+def synthesis_with_fuzzy(spark, folder):
+    rows = views.dealt_corpus(spark, folder)
+    return plans_compare.synthesis_table(rows, fuzzy=fuzzy.fuzzy_counts(rows), semantic=semantic_means(spark, folder))
+
+
+register("synthesis_table_fuzzy", synthesis_with_fuzzy)
 register("recommendations", lambda s, d: plans_compare.recommendations(plans_compare.synthesis_table(views.corpus(s, d)), low=0.5), f"""
 WITH {SYNTHESIS} SELECT source, '[' || source || '] low type-token ratio: add varied sources or paraphrases' AS advice FROM w WHERE ttr < 0.5""")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from promptmill.functions import fuzzy as fz
 from promptmill.operators import fuzzy, lsh
 from promptmill.plans import balance
+from promptmill.plans import compare as plans_compare
 from promptmill.plans import generate as gen
 from promptmill.session import discard, materialize
 from promptmill.sources import readers, views
@@ -41,6 +42,25 @@ def test_every_fuzzy_pair_is_found(small, texts):
     assert {(r.id_a, r.id_b) for r in drawn} < {(a, b) for a, b, _ in got}
 
 
+def test_synthesis_table_counts_fuzzy_pairs_of_each_side(spark, texts):
+    rows = [(r, t) for r, t in texts.items()] + [(1000 + 2 * r, t) for r, t in list(texts.items())[:9]] + [(5000, " "), (5002, " ")]
+    tokens = {i: set(t.split()) for i, t in rows}
+    said = dict(rows)
+    docs = spark.createDataFrame([(i, t, 0, 0.5) for i, t in rows], "row_id long, prompt string, intent_disc int, intent_cont double")
+    sides = views.two_sides(docs)
+    expected = {}
+    for side, parity in (("mapped", 0), ("augmented", 1)):
+        ids = [i for i in sorted(said) if i % 2 == parity]
+        pairs = [1 for i, j in itertools.combinations(ids, 2) if tokens[i] and tokens[j] and fuzzy.length_band(len(said[i]), len(said[j]))
+                 and fz.token_set_ratio(tokens[i], tokens[j]) >= 90]
+        expected[side] = 100.0 * len(pairs) / len(ids)
+    got = plans_compare.synthesis_table(sides, fuzzy=fuzzy.fuzzy_counts(sides)).collect()
+    assert {r.source: round(r.quasi_dup_prompt_pct, 6) for r in got} == {k: round(v, 6) for k, v in expected.items()}
+    from promptmill.queries.registry import QUERIES
+    query = QUERIES["synthesis_table_fuzzy"](spark, SMALL).collect()
+    assert len(query) == 2 and all(r.quasi_dup_prompt_pct is not None and r.mean_semantic_intra is not None for r in query)
+
+
 def test_every_match_across_sources_is_found(small, texts):
     ready = {i: fz.SearchText(t) for i, t in texts.items()}
     expected = [(i, j) for i in texts for j in texts if i % 2 == 0 and j % 2 == 1 and fz.partial_ratio(ready[i], ready[j], 92.0) >= 92]
