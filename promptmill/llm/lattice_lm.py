@@ -34,8 +34,8 @@ from . import blocks as bl
 from .sequences import (buffer_of, byte_values, first_of_groups, lower_ascii, mix, prefix_hashes, ragged, run_hashes, slices, window_hashes,
                         word_hashes, words_of)
 
-#: Longest piece in bytes, and rounds of re-estimation.
-LONGEST, ROUNDS = 16, 2
+#: Rounds of re-estimation.
+ROUNDS = 2
 #: Classes told apart; the rarer ones share the last.
 CLASSES = 16
 #: Bytes of words in one pass of the lattice.
@@ -81,7 +81,7 @@ class Lattice:
         text = np.full(int(size.sum()), 32, dtype=np.uint8)
         text[ragged(base + 1, size - 1)] = data[ragged(offsets[:-1][order], size - 1)]
         prefix = prefix_hashes(byte_values(text))
-        found = {n: self.find(prefix, n) for n in self.sizes if n <= min(LONGEST, int(size[0]))}
+        found = {n: self.find(prefix, n) for n in self.sizes if n <= int(size[0])}
         # how many words reach each length
         reach = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right")
         return order, size, base, found, reach
@@ -149,7 +149,8 @@ class Lattice:
 
 def piece_vocabulary(model_path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a sentencepiece model and all single bytes, with log weights from the model's scores: log probabilities as
-    they are, ranks of merges (whole negative numbers) as 1 / rank. Bytes that are no piece get the least weight."""
+    they are, ranks of merges (whole negative numbers) as 1 / rank. Pieces that differ in the case of ASCII letters are one, with
+    the best of their scores. Bytes that are no piece get the least weight."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     score = {}
@@ -158,8 +159,9 @@ def piece_vocabulary(model_path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         piece = model.id_to_piece(i)
         body = (" " + piece[1:] if piece.startswith("▁") else piece).encode("utf-8")
-        if len(body) <= LONGEST and " " not in piece and "▁" not in piece[1:] and model.get_score(i) > -1e6:
-            score[body.lower() if body.isascii() else body] = max(model.get_score(i), score.get(body, -np.inf))
+        if " " not in piece and "▁" not in piece[1:] and model.get_score(i) > -1e6:
+            key = body.lower()  # of bytes: ASCII letters only, as in the texts
+            score[key] = max(model.get_score(i), score.get(key, -np.inf))
     values = np.array(list(score.values()))
     if len(values) and (values == np.round(values)).all():
         values = -np.log(2 - values)

@@ -46,6 +46,32 @@ def test_expected_uses_are_the_gradient():
         assert abs(slope - uses) < 1e-4
 
 
+def test_piece_vocabulary_keeps_the_best_score_and_long_pieces():
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    best = {}
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) or " " in piece or "▁" in piece[1:]:
+            continue
+        key = (" " + piece[1:] if piece.startswith("▁") else piece).encode().lower()
+        if model.get_score(i) > -1e6:
+            best[key] = max(best.get(key, -math.inf), model.get_score(i))
+    pieces, weights = lattice_lm.piece_vocabulary(path)
+    assert set(pieces) == set(best) | {bytes([b]) for b in range(256)} and max(map(len, best)) > 16
+    # weights are 1 / (2 - score) up to one factor
+    ratio = [w + math.log(2 - best[p]) for p, w in zip(pieces, weights) if p in best]
+    assert max(ratio) - min(ratio) < 1e-9
+    long = max(pieces, key=len)
+    lattice = lattice_lm.Lattice(pieces, weights)
+    word = long.strip()
+    found = lattice.find(lattice_lm.prefix_hashes(lattice_lm.byte_values(np.frombuffer(long, np.uint8))), len(long))
+    assert pieces[found[0]] == long
+    used = lattice.expected(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+    assert used[pieces.index(long)] > 0 or not long.startswith(b" ")
+
+
 def test_language_model_query(spark, folder, documents):
     rows = QUERIES["op7_lattice_lm"](spark, folder).collect()
     words = {i: WORD.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())) for i, t in documents}
