@@ -21,10 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .sequences import (buffer_of, byte_values, first_of_groups, lower_ascii, mix, prefix_hashes, run_hashes, slices, word_hashes,
                         words_of)
 
-#: Hashed features, documents that train the scorer at most, and the score under which a document is rejected.
+#: Hashed features, different texts that train the scorer at most, and the score under which a document is rejected.
 FEATURES, TRAIN_DOCS, KEEP_FROM = 1 << 16, 6000, 0.5
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: The first labellers speak about every document; the others look for one fault each and abstain where they do not see it.
@@ -196,14 +197,15 @@ class Scorer:
 
     @classmethod
     def fit(cls, doc: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, size: int, rounds: int = 150,
-            decay: float = 1e-4) -> Scorer:
-        """Full-batch descent with a step per feature (Adagrad); targets are probabilities."""
-        share = np.clip(target.mean(), 0.01, 0.99)
+            decay: float = 1e-4, weight: np.ndarray | None = None) -> Scorer:
+        """Full-batch descent with a step per feature (Adagrad); targets are probabilities, ``weight`` the documents' weights."""
+        weight = np.ones(len(target)) if weight is None else weight / weight.mean()
+        share = np.clip((weight * target).mean(), 0.01, 0.99)
         weights, bias = np.zeros(size), float(np.log(share / (1 - share)))
         seen, seen_bias = np.full(size, 1e-8), 1e-8
         for _ in range(rounds):
             guess = 1 / (1 + np.exp(-(np.bincount(doc, weights[slot] * value, minlength=len(target)) + bias)))
-            gap = (guess - target) / len(target)
+            gap = weight * (guess - target) / len(target)
             step = np.bincount(slot, gap[doc] * value, minlength=size) + decay * weights / len(target)
             seen += step**2
             weights -= 1.0 * step / np.sqrt(seen)
@@ -218,8 +220,9 @@ class Scorer:
 
 
 def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, features: int = FEATURES) -> Scorer:
-    """Votes of all documents, their fit, and a scorer trained on the posterior labels of at most ``train_docs`` documents, chosen
-    by the hash of the text."""
+    """Votes of all documents, their fit, and a scorer trained on the posterior labels of at most ``train_docs`` different texts. Texts
+    that make up a share of 1 / ``train_docs`` of the rows or more are all taken, the others by the smallest hashes; the former weigh
+    what they hold of the rows, the latter share the rest by their numbers of rows."""
     rows = docs.select("text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +236,11 @@ def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, features: int = F
     patterns = np.array([[int(c) for c in r["votes"]] for r in counted])
     counts = np.array([r["n"] for r in counted], dtype=float)
     model = LabelModel(patterns, counts)
-    every = max(1, int(counts.sum()) // train_docs)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(train_docs)
+    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    often = F.col("n") * train_docs >= int(counts.sum())
+    sizes = hashed.groupBy("h").agg(F.count("*").alias("n"))
+    chosen = materialize(sizes.orderBy(F.desc(often), "h").limit(train_docs).select("h", often.alias("often")))
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h", "often", "text").agg(F.count("*").alias("n"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,16 +249,19 @@ def fit_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, features: int = F
                 target = model.posterior(b.votes())
                 doc, slot, value = b.features(features)
                 edge = np.searchsorted(doc, np.arange(len(target) + 1)).astype(np.int32)
-                yield pa.record_batch([pa.array(target), pa.ListArray.from_arrays(edge, pa.array(slot.astype(np.int32))),
+                yield pa.record_batch([part.column("h"), part.column("often"), part.column("n"), pa.array(target), pa.ListArray.from_arrays(edge, pa.array(slot.astype(np.int32))),
                                        pa.ListArray.from_arrays(edge, pa.array(value.astype(np.float32)))],
-                                      names=["target", "slots", "shares"])
-    known = sample.mapInArrow(describe, "target double, slots array<int>, shares array<float>").toArrow()
+                                      names=["h", "often", "n", "target", "slots", "shares"])
+    known = sample.mapInArrow(describe, "h long, often boolean, n long, target double, slots array<int>, shares array<float>").toArrow()
+    known = known.sort_by([("h", "ascending"), ("target", "ascending")])
     lengths = np.asarray(pc.list_value_length(known["slots"])) if known.num_rows else np.empty(0, np.int64)
     if len(lengths) == 0:
         return Scorer(np.zeros(features), 0.0)
     doc = np.repeat(np.arange(len(lengths)), lengths)
+    often, n = np.asarray(known["often"]).astype(bool), np.asarray(known["n"]).astype(float)
+    weight = np.where(often, n, n * ((counts.sum() - n[often].sum()) / max(1.0, n[~often].sum())))
     slots, shares = (np.asarray(known[c].combine_chunks().flatten()) for c in ("slots", "shares"))
-    return Scorer.fit(doc, slots.astype(np.int64), shares.astype(np.float64), np.asarray(known["target"]), features)
+    return Scorer.fit(doc, slots.astype(np.int64), shares.astype(np.float64), np.asarray(known["target"]), features, weight=weight)
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, keep_from: float = KEEP_FROM) -> DataFrame:

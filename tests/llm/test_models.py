@@ -123,6 +123,14 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark, folder, labels):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.25
 
 
+def test_quality_sample_does_not_depend_on_the_order_of_rows(spark, documents):
+    texts = [t for _, t in documents][:300]
+    rows = [(i, t) for i, t in enumerate(texts + [texts[0]] * 150)]
+    fits = [quality.fit_quality(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), train_docs=250)
+            for r in (rows, rows[::-1])]
+    assert np.any(fits[0].weights) and np.allclose(fits[0].weights, fits[1].weights, atol=1e-9)
+
+
 def test_quality_of_awkward_texts(spark):
     docs = cases.frame(spark, cases.awkward())
     scored = quality.score_quality(docs, quality.fit_quality(docs))
