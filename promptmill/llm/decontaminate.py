@@ -8,6 +8,8 @@ An overlap is reported if at least ``MIN_WORDS`` words (or the whole item, if sh
 side by side of which at least ``SIMILARITY`` agree, beginning and ending with an agreeing word. Words are ASCII
 lower-cased and stripped of punctuation at their ends. The masks miss no such overlap (nor with a larger ``min_words`` or
 ``similarity``); the tests go through all placements of replaced words.
+An item under ``LEAST_WORDS`` words is reported where it stands word for word in a document of at most twice its words; inside
+longer documents such items are not looked for, as they are words that any text may hold.
 
 Cases: a null or empty text or item has no words and no overlap; items that say the same are reported each; identical documents
 are reported each; a null id is kept; empty tables give no rows; other columns are ignored.
@@ -84,6 +86,14 @@ class Items:
             seen = np.zeros(1 << 18, dtype=bool)
             seen[(hashes[places] >> np.uint64(46)).astype(np.int64)] = True
             self.seeds.append((hashes[places][order], places[order], seen))
+        #: items under ``LEAST_WORDS`` words: by their number of words, hashes in order and their items
+        self.short = {}
+        for n in range(1, LEAST_WORDS):
+            which = np.flatnonzero(size == n)
+            if len(which):
+                hashes = seeds(words, "1" * n)[first[which]]
+                order = np.argsort(hashes, kind="stable")
+                self.short[n] = hashes[order], which[order]
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the documents and in the benchmark whose seeds are equal."""
@@ -101,6 +111,23 @@ class Items:
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def short_overlaps(words: np.ndarray, first: np.ndarray, items: Items) -> list[tuple]:
+    """Items under ``LEAST_WORDS`` words that stand word for word in a document of at most twice their words."""
+    size, found = np.diff(first), []
+    for n, (known, which) in items.short.items():
+        docs = np.flatnonzero((size >= n) & (size <= 2 * n))
+        if len(docs) == 0:
+            continue
+        at = ragged(first[docs], size[docs] - n + 1)
+        hashes = seeds(words, "1" * n)[at]
+        low = np.searchsorted(known, hashes, side="left")
+        count = np.searchsorted(known, hashes, side="right") - low
+        doc = np.repeat(np.searchsorted(first, at, side="right") - 1, count)
+        item, place = which[ragged(low, count)], np.repeat(at, count)
+        found += [(int(d), int(i), int(p - first[d]), n, n) for d, i, p in zip(doc, item, place)]
+    return found
+
+
 def best_overlap(agree: np.ndarray, similarity: float) -> tuple[int, int]:
     """Longest run [begin, end) of which at least ``similarity`` agrees and whose first and last words agree."""
     places = np.flatnonzero(agree)
@@ -137,7 +164,7 @@ def overlaps(words: np.ndarray, first: np.ndarray, items: Items, min_words: int,
         if e - b >= need:
             row = (int(d), int(i), int(low + shift + b - first[d]), e - b, int(agree[b:e].sum()))
             found.setdefault((int(d), int(i), row[2]), row)
-    return sorted(found.values())
+    return sorted([*found.values(), *short_overlaps(words, first, items)])
 
 
 def benchmark_parts(benchmark: DataFrame, masks: tuple[str, ...], pass_words: int) -> Iterator[tuple[Items, list]]:

@@ -96,6 +96,16 @@ def test_masks_hit_every_window_with_a_fifth_replaced():
         assert len(missed) == 0
 
 
+def test_short_items_are_found_where_a_document_is_little_else(spark):
+    bench = spark.createDataFrame([(0, "What is two plus two?"), (1, "Yes."), (2, "a b a")], "item_id long, text string")
+    docs = cases.frame(spark, [(1, "what is two plus two"), (2, "Q: what is two plus TWO? Four, it is"), (3, "yes"), (4, "oh yes, indeed"),
+                               (5, "what is three plus two"), (6, "word " * 9 + "what is two plus two"), (7, "a b a b a"), (8, ""), (9, None)])
+    found = decontaminate.find_overlaps(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.n_agree) for r in found) == [
+        (1, 0, 0, 5, 5), (2, 0, 1, 5, 5), (3, 1, 0, 1, 1), (7, 2, 0, 3, 3), (7, 2, 2, 3, 3)]
+    assert sorted(r.doc_id for r in decontaminate.without_overlaps(docs, bench).collect()) == [4, 5, 6, 8, 9]
+
+
 def test_decontamination_query_finds_whole_items(spark, folder, documents):
     import pyarrow.parquet as pq
     items = pq.read_table(f"{folder}/benchmark.parquet").to_pylist()
