@@ -68,8 +68,8 @@ def scratch_root(spark: SparkSession) -> str:
 _TABLES: dict[str, SparkSession] = {}
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` to the shared scratch folder (with these options of the writer) and read it back.
 
     This cuts the lineage in a way that survives lost executors, evaluates a costly or
     non-deterministic plan once, and gives the optimizer the true size of the table: a small result
@@ -77,7 +77,7 @@ def materialize(df: DataFrame) -> DataFrame:
     when the driver's process ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/promptmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if not _TABLES:
         atexit.register(release)
     _TABLES[path] = spark
