@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import lattice_lm, path_dedup, suffix_dedup
+from . import heap_kmeans, id_store, lattice_lm, path_dedup, suffix_dedup
 from .bpe_codec import BytePairCoder, digests
 from .decontaminate import contaminated, find_overlaps
 from .kd_topk import top_k
 from .minhash_bbit import near_duplicates
+from .periodic_runs import find_runs
 from .quality import fit_quality, score_quality
 from .token_counts import TokenCounter
 from .toxicity import fit_toxicity, score_toxicity
@@ -128,3 +129,65 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counter = TokenCounter(spark, public_tokenizers.path("word_bpe_49k.json"))
     counted = counter.count(table(spark, folder, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by their ids' hashes, the words from some place on repeat the first of them."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).select(
+        "*", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, words).alias("w"))
+    placed = hashed.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn(
+        "p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    planted = F.expr("array_join(transform(sequence(0L, n - 1L), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return placed.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_runs(with_planted_periods(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                               r["period"].cast("string")), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_id_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    encoder = id_store.WordEncoder(spark, public_tokenizers.path("word_bpe_49k.json"))
+    store = id_store.write(docs, encoder, end=2)
+    return store.read(id_store.keys_of(docs)).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_heap_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return heap_kmeans.with_inertia(*heap_kmeans.cluster_vectors(table(spark, folder, "embeddings")))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds as one common table expression each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT row_no, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT row_no, j, CAST(list_sum(list_transform(list_zip(v, c),
+  lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{r}) GROUP BY row_no)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT j, pos, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM a{r} JOIN v USING (row_no)) GROUP BY j, pos),
+m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM s{r} GROUP BY j),
+c{r + 1} AS (SELECT j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} m USING (j))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS j, v AS c FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v) ORDER BY h, v LIMIT {k}),{",".join(steps).replace(" AS (", " AS MATERIALIZED (")},
+i AS (SELECT j, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY j)
+SELECT vec_id, j AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row_no) JOIN i USING (j) JOIN c{rounds} USING (j)"""
+
+
+ORACLES["op13_heap_kmeans"] = _lloyd_sql()
