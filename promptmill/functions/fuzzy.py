@@ -55,17 +55,17 @@ def token_set_ratio(a: set[str], b: set[str], cutoff: float = 0.0) -> float:
     return best
 
 
-PIECE = 5
+PIECE, SHORT_PIECE = 5, 4
 
 
-def _piece_codes(text: str) -> np.ndarray:
-    """One integer per run of ``PIECE`` characters."""
+def piece_codes(text: str, size: int = PIECE) -> np.ndarray:
+    """One integer per run of ``size`` characters."""
     x = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(x) - PIECE + 1
+    n = len(x) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     acc = np.zeros(n, dtype=np.uint64)
-    for k in range(PIECE):
+    for k in range(size):
         acc = acc * np.uint64(1_000_003) + x[k:k + n]
     return acc
 
@@ -77,7 +77,7 @@ class SearchText:
 
     def __init__(self, text: str):
         self.text = text
-        self.codes = _piece_codes(text)
+        self.codes = piece_codes(text)
         self.order = np.argsort(self.codes, kind="stable")
         self.sorted = self.codes[self.order]
 

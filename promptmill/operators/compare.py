@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,58 @@ def ks_two_sample(df: DataFrame, value: str, left: str, right: str, by: str = "s
         F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))).alias("p_value"))
 
 
+#: Largest product of the two numbers of rows whose p-value is counted.
+EXACT = 1 << 20
+
+
+def ks_exact_p(statistic: float, n: int, m: int) -> float:
+    """Share of the orders of n and m different values whose distribution functions are somewhere at least ``statistic`` apart. An order is
+    a path of steps to the right and up; those that stay nearer are counted column by column, as shares of all paths so far, so
+    that no number grows."""
+    if n == 0 or m == 0 or statistic <= 0:
+        return 1.0
+    # in units of 1 / (n m): a place (i, j) is near when |i m - j n| is below the observed gap
+    gap = round(statistic * n * m)
+    up = np.arange(m + 1, dtype=np.int64) * n
+    share = (np.abs(up) < gap).astype(float)
+    share = np.minimum.accumulate(share)
+    for i in range(1, n + 1):
+        near = np.abs(i * m - up) < gap
+        before, share = share, np.zeros(m + 1)
+        running = 0.0
+        for j in range(m + 1):
+            # of all paths to (i, j), i / (i + j) come from the left and j / (i + j) from below
+            running = (before[j] * i + running * j) / (i + j) if near[j] else 0.0
+            share[j] = running
+    return float(min(1.0, max(0.0, 1.0 - share[m])))
+
+
+def ks_two_sample_by(df: DataFrame, value: str, left: str, right: str, groups: list[str], by: str = "source", exact: int = EXACT) -> DataFrame:
+    """``statistic, n_left, n_right, p_value, method`` of the two-sample Kolmogorov-Smirnov test in every group: counted over all orders
+    where the product of both numbers of rows is at most ``exact``, else the asymptotic series. Groups with rows on one side only are left out."""
+    rows = df.where(F.col(value).isNotNull() & F.col(by).isin(left, right))
+    counts = rows.groupBy(*groups, F.col(value).cast("double").alias("x")).agg(
+        F.count_if(F.col(by) == left).alias("a"), F.count_if(F.col(by) == right).alias("b"))
+    run = running_total(counts, ["a", "b"], ["x"], groups).where("a_total > 0 AND b_total > 0")
+    # the gap as a whole number of 1 / (n m)
+    apart = F.abs((F.col("a_before") + F.col("a")) * F.col("b_total") - (F.col("b_before") + F.col("b")) * F.col("a_total"))
+    gaps = run.groupBy(*groups).agg(F.max(apart).alias("gap"), F.max("a_total").alias("n_left"), F.max("b_total").alias("n_right"))
+
+    @F.pandas_udf("double")
+    def counted(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([ks_exact_p(x, int(a), int(b)) if a * b <= exact else None for x, a, b in zip(d, n, m)], dtype="float64")
+    n, m = F.col("n_left").cast("double"), F.col("n_right").cast("double")
+    lam2 = n * m / (n + m) * F.pow("statistic", F.lit(2))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.when(
+        k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam2))
+    asymptotic = F.when(lam2 < 0.04, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    small = F.col("n_left") * F.col("n_right") <= exact
+    return gaps.withColumn("statistic", F.col("gap") / (n * m)).select(
+        *groups, "statistic", "n_left", "n_right",
+        F.when(small, counted("statistic", "n_left", "n_right")).otherwise(asymptotic).alias("p_value"),
+        F.when(small, "exact").otherwise("asymptotic").alias("method"))
+
+
 def positional_pairs(df: DataFrame, value: str, left: str, right: str, key: str = "row_id",
                      by: str = "source") -> DataFrame:
     """The nth non-null value of one side next to the nth of the other."""

@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,31 +51,127 @@ def _home(count: Column | str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(count) if isinstance(count, str) else count).cast("int")
 
 
+class _Sets:
+    """Token sets of a block's texts, with what bounds a score without comparing characters: weights (a token weighs its length and
+    one blank), and how often each character and each pair of neighbours inside a token occurs."""
+
+    def __init__(self, rows: list[tuple[int, str]], numbers: dict[str, int]):
+        rows = sorted(rows, key=lambda r: (len(r[1]), r[0]))
+        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        self.lengths = np.array([len(t) for _, t in rows], dtype=np.int64)
+        self.sets = [set(t.split()) for _, t in rows]
+        self.tokens = [np.array([numbers.setdefault(w, len(numbers)) for w in s], dtype=np.int64) for s in self.sets]
+        self.weights = np.array([sum(map(len, s)) + len(s) for s in self.sets], dtype=np.int64)
+        self.letters, self.pairs = np.zeros((len(rows), 64), np.int32), np.zeros((len(rows), 512), np.int32)
+        for k, s in enumerate(self.sets):
+            codes = np.frombuffer(" ".join(s).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            self.letters[k] = np.bincount(codes[codes != 32] % 64, minlength=64)
+            inside = (codes[1:] != 32) & (codes[:-1] != 32)
+            self.pairs[k] = np.bincount((codes[:-1] * 31 + codes[1:])[inside] % 512, minlength=512)
+
+
 def _score_sets(cutoff: float):
-    """Pairs of a left and a right text, or of two texts of one block, whose lengths are close and whose token sets agree."""
+    """Pairs of a left and a right text, or of two texts of one block, whose lengths are close and whose token sets agree.
+
+    The weight of the common tokens comes from inverted lists of the right block, and with it containment and the comparisons of the common
+    tokens with either rest. The rests themselves are aligned only where they could still be near enough: one edit changes the
+    letters by one and the neighbours inside tokens by three at most, and common tokens cancel out in both counts."""
     def run(table: pa.Table) -> pa.Table:
-        sides = [[], []]
+        sides: list[list[tuple[int, str]]] = [[], []]
         for side, i, t in zip(*[table[c].to_pylist() for c in ("side", "id", "text")]):
-            sides[side].append((i, len(t), set(t.split())))
-        one = table["same"][0].as_py()
-        left, right = sorted(sides[0], key=lambda x: x[1]), sorted(sides[1], key=lambda x: x[1])
-        found, low = [], 0
-        for i, n, tokens in left:
-            while low < len(right) and right[low][1] < 0.9 * n - 1:
-                low += 1
-            for j, m, others in right[low:]:
-                if m > n / 0.9 + 1:
-                    break
-                if i == j or (one and i > j) or not (length_band(n, m) if i < j else length_band(m, n)):
-                    continue
-                score = fz.token_set_ratio(tokens, others, cutoff)
-                if score >= cutoff:
-                    found.append((min(i, j), max(i, j), score))
+            sides[side].append((i, t))
+        one, numbers = table["same"][0].as_py(), {}
+        left, right = _Sets(sides[0], numbers), _Sets(sides[1], numbers)
+        weight = np.zeros(len(numbers), dtype=np.float64)
+        weight[list(numbers.values())] = [len(w) + 1 for w in numbers]
+        owner = np.repeat(np.arange(len(right.ids)), [len(t) for t in right.tokens])
+        token = np.concatenate(right.tokens) if right.tokens else np.empty(0, np.int64)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        first = np.searchsorted(token, np.arange(len(numbers) + 1))
+        found = []
+        for k in range(len(left.ids)):
+            n = left.lengths[k]
+            low, high = np.searchsorted(right.lengths, [0.9 * n - 1, n / 0.9 + 1], "left")
+            m = right.lengths[low:high + 1]
+            base = np.where(left.ids[k] < right.ids[low:high + 1], n, m)
+            near = (np.abs(m - n) <= 0.1 * base + 1e-9) & (right.ids[low:high + 1] != left.ids[k])
+            if one:
+                near &= right.ids[low:high + 1] > left.ids[k]
+            at = low + np.flatnonzero(near)
+            if not len(at):
+                continue
+            mine = left.tokens[k]
+            count = first[mine + 1] - first[mine]
+            place = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[place], np.repeat(weight[mine], count), minlength=len(right.ids))[at].astype(np.int64)
+            w_a, w_b = left.weights[k], right.weights[at]
+            shared = np.maximum(common - 1, 0)
+            side_a, side_b = np.maximum(w_a - 1, 0), np.maximum(w_b - 1, 0)
+            smaller = np.minimum(side_a, side_b)
+            best = np.where(common > 0, 200.0 * shared / np.maximum(smaller + shared, 1), 0.0)
+            allowed = (1 - np.maximum(best, cutoff) / 100.0) * (side_a + side_b) + 1e-6
+            hopeful = np.abs(w_a - w_b) <= allowed
+            apart = np.zeros(len(at), np.int64)
+            apart[hopeful] = np.abs(right.letters[at[hopeful]] - left.letters[k]).sum(axis=1)
+            hopeful &= apart <= allowed
+            apart[hopeful] = np.abs(right.pairs[at[hopeful]] - left.pairs[k]).sum(axis=1)
+            hopeful &= apart <= 3 * allowed
+            hit = hopeful | (best >= cutoff - 1e-6) | ((common > 0) & ((common == w_a) | (common == w_b)))
+            for j in at[hit]:
+                score = fz.token_set_ratio(left.sets[k], right.sets[j], cutoff)
+                if score >= cutoff and length_band(*((n, right.lengths[j]) if left.ids[k] < right.ids[j] else (right.lengths[j], n))):
+                    found.append((int(min(left.ids[k], right.ids[j])), int(max(left.ids[k], right.ids[j])), score))
         return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
                          pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "score"])
     return run
 
 
+def _token_rows(texts: DataFrame) -> DataFrame:
+    """id, length, distinct tokens and the weight of all (a token weighs its length and one blank)."""
+    tokens = F.array_distinct(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != ""))
+    return texts.select("id", F.length("text").alias("n"), tokens.alias("tokens")).withColumn("weight", _weight(F.col("tokens")))
+
+
+def _weight(tokens: Column) -> Column:
+    return F.aggregate(tokens, F.lit(0), lambda total, t: total + F.length(t) + 1)
+
+
+def shared_token_pairs(df: DataFrame, key: str = "row_id", text: str = "prompt", cutoff: float = 90.0, copies: bool = True) -> DataFrame:
+    """``id_a, id_b, score``: all pairs of rows whose lengths are close and whose common tokens reach the cutoff against the smaller of
+    both token sets (100 where that is contained in the other). These are the pairs of :func:`fuzzy_pairs` that need no
+    alignment of characters.
+
+    No pair is formed without a common token that is rare in one of the texts: to reach the cutoff with c = cutoff / 100, the tokens
+    that a text does not share may weigh (2 - 2c) / (2 - c) of it at most, so of its rarest tokens that weigh more than this together,
+    one is shared. These few tokens meet the lists of all texts with that token and a near length; adaptive execution splits the
+    lists of frequent ones."""
+    texts, members = _texts(df.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != ""), key, text)
+    c = cutoff / 100.0
+    step = F.floor(F.ln(F.greatest("n", F.lit(1))) / math.log(LENGTH_STEP)).cast("int")
+    rows = materialize(_token_rows(texts).withColumn("step", step))
+    every = rows.select("id", "n", "step", "weight", F.explode("tokens").alias("token"))
+    counts = materialize(every.groupBy("token").agg(F.count("*").alias("df")))
+    rarest = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("token") + 1).over(rarest), F.lit(0))
+    probes = (every.join(counts, "token").withColumn("before", before)
+              .where(F.col("before") <= (F.col("weight") - 1) * ((2 - 2 * c) / (2 - c)) + 1e-6)
+              .select(F.col("id").alias("x"), F.col("n").alias("n_x"), "token",
+                      F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")))
+    met = probes.join(every.select(F.col("id").alias("y"), F.col("n").alias("n_y"), "token", "step"), ["token", "step"])
+    first = F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y"))
+    pairs = (met.where((F.col("x") != F.col("y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= 0.1 * first + 1e-9))
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    sets = rows.select("id", "tokens", "weight")
+    both = (materialize(pairs).join(sets.toDF("a", "tokens_a", "w_a"), "a").join(sets.toDF("b", "tokens_b", "w_b"), "b")
+            .withColumn("common", _weight(F.array_intersect("tokens_a", "tokens_b"))))
+    shared, smaller = F.col("common") - 1, F.least("w_a", "w_b") - 1
+    score = F.when((F.col("common") == F.col("w_a")) | (F.col("common") == F.col("w_b")), F.lit(100.0)).otherwise(
+        200.0 * shared / (smaller + shared))
+    scored = both.where("common > 0").select("a", "b", score.alias("score")).where(F.col("score") >= cutoff)
+    return _with_copies(scored, members, cutoff) if copies else scored.toDF("id_a", "id_b", "score")
+
+
 def _with_copies(pairs: DataFrame, members: DataFrame, cutoff: float) -> DataFrame:
     """From pairs of texts to pairs of rows; rows with one text pair with a score of 100."""
     left, right = members.toDF("a", "id_1"), members.toDF("b", "id_2")
@@ -147,28 +243,48 @@ def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc("score"), *keys).limit(n)
 
 
-def _survivors(short: list, long: list, cutoff: float) -> list[tuple[int, int]]:
-    """Pairs (short, long) of which so many five-character pieces of the shorter text stand in the longer one as the edits that
-    the cutoff allows must leave."""
-    sizes = np.array([len(t.text) for t in long])
-    own = [np.unique(t.codes) for t in long]
-    codes = np.concatenate(own) if own else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(long)), [len(o) for o in own])
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
+class _Pieces:
+    """Inverted lists of all four-character pieces of a block's texts: sorted codes, with the text and place of each."""
+
+    def __init__(self, texts: list):
+        self.sizes = np.array([len(t.text) for t in texts], dtype=np.int64)
+        codes = [fz.piece_codes(t.text, fz.SHORT_PIECE) for t in texts]
+        every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        counts = np.array([len(c) for c in codes], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = np.argsort(every, kind="stable")
+        self.codes, self.owner, self.place = every[order], owner[order], place[order]
+
+
+def _survivors(short: list, long: list, cutoff: float, index: _Pieces) -> list[tuple[int, int]]:
+    """Pairs (short, long) that the pieces leave: cut into pieces of four characters, all but as many of the shorter text's pieces as
+    the cutoff allows edits stand in the longer one, shifted by no more than that number. Only the pieces with the shortest lists are
+    looked up, a quarter of the spare ones beyond the number of edits; their shifts fall into two neighbouring classes."""
     out = []
     for k, t in enumerate(short):
         n = len(t.text)
+        fits = index.sizes >= n
+        if not fits.any():
+            continue
         slack = int(2 * (1 - cutoff / 100.0) * n + 1e-9)
-        pieces = t.codes[::fz.PIECE]
-        needed = len(pieces) - slack
-        fits = sizes >= n
-        if needed > 0:
-            value, times = np.unique(pieces, return_counts=True)
-            low, high = np.searchsorted(codes, value, "left"), np.searchsorted(codes, value, "right")
-            count = high - low
+        pieces = fz.piece_codes(t.text, fz.SHORT_PIECE)[::fz.SHORT_PIECE]
+        spare = len(pieces) - slack
+        if spare > 0:
+            needed = max(1, spare // 4)
+            low, high = np.searchsorted(index.codes, pieces, "left"), np.searchsorted(index.codes, pieces, "right")
+            rarest = np.argsort(high - low, kind="stable")[:slack + needed]
+            low, count = low[rarest], (high - low)[rarest]
             at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            fits &= np.bincount(owner[at], np.repeat(times, count), minlength=len(long)) >= needed
+            shift = index.place[at] - np.repeat(rarest * fz.SHORT_PIECE, count) + n
+            width = 2 * slack + 1
+            classes = (int(index.sizes.max()) + n) // width + 2
+            cell, hits = np.unique(index.owner[at] * classes + shift // width, return_counts=True)
+            if len(cell):
+                hits[:-1] += np.where(cell[1:] == cell[:-1] + 1, hits[1:], 0)  # a shift's class with the one above
+            enough = np.zeros(len(long), dtype=bool)
+            enough[cell[hits >= needed] // classes] = True
+            fits &= enough
         out += [(k, int(j)) for j in np.flatnonzero(fits)]
     return out
 
@@ -180,7 +296,8 @@ def _score_parts(cutoff: float):
             sides[side].append((i, fz.SearchText(t)))
         left, right = sides
         l_texts, r_texts = [t for _, t in left], [t for _, t in right]
-        pairs = set(_survivors(l_texts, r_texts, cutoff)) | {(a, b) for b, a in _survivors(r_texts, l_texts, cutoff)}
+        pairs = set(_survivors(l_texts, r_texts, cutoff, _Pieces(r_texts)))
+        pairs |= {(a, b) for b, a in _survivors(r_texts, l_texts, cutoff, _Pieces(l_texts))}
         found = []
         for a, b in sorted(pairs):
             score = fz.partial_ratio(l_texts[a], r_texts[b], cutoff)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +118,69 @@ def topic_hierarchy(centres: DataFrame, topic: str, levels: tuple[int, ...] = (2
     return rows
 
 
+TREE = "step bigint, left_node bigint, right_node bigint, node bigint, height double, size bigint"
+
+
+def _chain_merges(ids: list[int], centres: np.ndarray, sizes: np.ndarray) -> list[dict]:
+    """Ward merges by nearest-neighbour chains: follow nearest neighbours until two name each other, and merge them. Heights never
+    fall along a chain, so the merges are those of always joining the nearest two; they are put in that order at the end."""
+    name = {k: i for k, i in enumerate(ids)}
+    centre, size = dict(enumerate(centres)), dict(enumerate(sizes.tolist()))
+
+    def gap(a: int, b: int) -> float:
+        return math.sqrt(2.0 * size[a] * size[b] / (size[a] + size[b])) * float(np.sqrt(((centre[a] - centre[b]) ** 2).sum()))
+    merges, chain, following = [], [], len(ids)
+    while len(centre) > 1:
+        if not chain:
+            chain.append(min(centre))
+        while True:
+            last, before = chain[-1], chain[-2] if len(chain) > 1 else None
+            near = min((gap(last, other), other != before, other) for other in centre if other != last)
+            if near[2] == before:
+                break
+            chain.append(near[2])
+        a, b = sorted((chain.pop(), chain.pop()))
+        merges.append((gap(a, b), a, b, following))
+        centre[following] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+        size[following] = size[a] + size[b]
+        for one in (a, b):
+            del centre[one]
+        following += 1
+    # numbered in the order of their heights, parts before wholes
+    out, number = [], {k: i for k, i in name.items()}
+    for step, (height, a, b, new) in enumerate(sorted(merges, key=lambda m: (m[0], m[3]))):
+        number[new] = max(ids) + 1 + step
+        left, right = sorted((number[a], number[b]))
+        out.append({"step": step, "left_node": left, "right_node": right, "node": number[new], "height": height, "size": size[new]})
+    return out
+
+
+def topic_tree(centres: DataFrame, topic: str, size: str = "n") -> DataFrame:
+    """Merges of topics from the bottom up, ``step, left_node, right_node, node, height, size``: at each step the two whose merging adds least to
+    the squared distances of rows to their centre (Ward; height: the square root of twice that). ``centres`` has one row per topic
+    with ``centre`` and its number of rows; topics are compared in one task, as many as there are."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["topic"])
+        merges = _chain_merges([r["topic"] for r in rows], np.array([r["centre"] for r in rows]), np.array([r["n"] for r in rows]))
+        names = ("step", "left_node", "right_node", "node", "height", "size")
+        return pa.table([pa.array([m[k] for m in merges], pa.float64() if k == "height" else pa.int64()) for k in names], names=list(names))
+    data = centres.where(F.col(topic).isNotNull()).select(
+        F.col(topic).cast("bigint").alias("topic"), F.col("centre").cast("array<double>").alias("centre"), F.col(size).cast("bigint").alias("n"))
+    return data.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(lambda t: run(t), TREE)
+
+
+def topics_at(tree: DataFrame, centres: DataFrame, topic: str, groups: int) -> DataFrame:
+    """``topic, node``: which node of the tree holds each topic once ``groups`` nodes are left (both tables have one row per topic)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        merges = sorted(left.to_pylist(), key=lambda r: r["step"])
+        at = {i: i for i in right["topic"].to_pylist()}
+        for m in merges[:max(0, len(at) - groups)]:
+            at = {i: m["node"] if n in (m["left_node"], m["right_node"]) else n for i, n in at.items()}
+        return pa.table([pa.array(list(at), pa.int64()), pa.array(list(at.values()), pa.int64())], names=["topic", "node"])
+    topics = centres.where(F.col(topic).isNotNull()).select(F.lit(0).alias("_all"), F.col(topic).cast("bigint").alias("topic"))
+    return tree.withColumn("_all", F.lit(0)).groupBy("_all").cogroup(topics.groupBy("_all")).applyInArrow(run, "topic bigint, node bigint")
+
+
 def keyword_rerank(df: DataFrame, topic: str, text: str, key: str, stopwords: list[str] = (), candidates: int = 30,
                    top: int = 10) -> DataFrame:
     """Candidate words of every topic ordered by the cosine of the word with the topic's mean text vector."""

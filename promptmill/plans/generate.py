@@ -240,6 +240,31 @@ def best_of_k(candidates: DataFrame, low: float, high: float, keep: int = 2) ->
             .where(F.col("rank") <= keep))
 
 
+def diverse_of_k(candidates: DataFrame, low: float, high: float, keep: int = 2) -> DataFrame:
+    """Of several candidates per seed (``seed_id, candidate, seed_prompt, prompt``) those inside the similarity band that differ most from
+    each other: first the one least like the seed, then always the one whose greatest similarity to those taken is least.
+    A seed has a handful of candidates, which stay together in one array."""
+    shaped = candidates.select("seed_id", "candidate", vec.dot(vec.hash_unit("seed_prompt"), vec.hash_unit("prompt")).alias("cosine"),
+                               vec.hash_unit("prompt").alias("v"))
+    empty = F.array().cast("array<struct<near:double,cosine:double,candidate:int,v:array<double>>>")
+    listed = shaped.where(F.col("cosine").between(low, high)).groupBy("seed_id").agg(F.collect_list(F.struct(
+        F.col("cosine").alias("near"), "cosine", F.col("candidate").cast("int").alias("candidate"), F.col("v").cast("array<double>").alias("v"))).alias("left"))
+    state = F.struct(F.col("left"), empty.alias("taken"))
+
+    def take(s: Column, _: Column) -> Column:
+        def picked(best: Column) -> Column:
+            rest = F.filter(s["left"], lambda x: x["candidate"] != best["candidate"])
+            nearer = F.transform(rest, lambda x: F.struct(
+                F.when(F.size(s["taken"]) == 0, vec.dot(x["v"], best["v"])).otherwise(F.greatest(x["near"], vec.dot(x["v"], best["v"]))).alias("near"),
+                x["cosine"].alias("cosine"), x["candidate"].alias("candidate"), x["v"].alias("v")))
+            return F.struct(nearer.alias("left"), F.concat(s["taken"], F.array(best)).alias("taken"))
+        # ordered by near, cosine and candidate
+        return F.when(F.size(s["left"]) == 0, s).otherwise(tx.let(F.array_min(s["left"]), picked))
+    done = listed.select("seed_id", F.aggregate(F.sequence(F.lit(1), F.lit(keep)), state, take).alias("s"))
+    return done.select("seed_id", F.posexplode("s.taken").alias("at", "t")).select(
+        "seed_id", F.col("t.candidate").alias("candidate"), (F.col("at") + 1).alias("rank"), F.col("t.near").alias("nearest"))
+
+
 def language_quality(df: DataFrame, text: str, blocked: list[str]) -> DataFrame:
     """Flags of unusable texts: a blocked word, a word repeated at once, no letters."""
     words = F.split(F.lower(text), r"(?U)\W+")
