@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .sequences import first_of_groups
+from .sequences import first_of_groups, release_memory
 
 BLOCK_BYTES = 2 << 20
 #: One row of packed keys or answers: where it comes from or goes to, what it says, and up to four arrays.
@@ -75,10 +75,18 @@ def deal(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[first[k]:first[k + 1]]
 
 
+def _freeing(run: Callable, *args) -> pa.Table:
+    """The result, with what was needed on the way given back to the system: a worker serves other steps afterwards, next to others."""
+    try:
+        return run(*args)
+    finally:
+        release_memory()
+
+
 def per_block(docs: DataFrame, run: Callable[[int, pa.Table], pa.Table], schema: str = ROW) -> DataFrame:
     """``run(block, documents in order)`` for each block."""
     def work(table: pa.Table) -> pa.Table:
-        return run(table["block"][0].as_py(), in_order(table))
+        return _freeing(run, table["block"][0].as_py(), in_order(table))
     return docs.groupBy("block").applyInArrow(work, schema)
 
 
@@ -98,7 +106,7 @@ def back_to_blocks(docs: DataFrame, answers: DataFrame, run: Callable[[int, pa.T
         if left.num_rows == 0:
             return empty_like(schema)
         columns = [right[n].to_pylist() for n in ("bucket", "kind", "a", "b", "c", "d")]
-        return run(left["block"][0].as_py(), in_order(left), sorted(zip(*columns), key=lambda r: (r[0], r[1])))
+        return _freeing(run, left["block"][0].as_py(), in_order(left), sorted(zip(*columns), key=lambda r: (r[0], r[1])))
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import KEY, KEYS, copies_of, cut, is_long, splice
-from .sequences import ragged, slices
+from .sequences import ragged, release_memory, slices
 
 CHUNK = 1 << 15
 OVERLAP = 512
@@ -150,6 +150,8 @@ class BytePairCoder:
             for part in slices(batch, budget=1 << 20):
                 ids = [codec.encode(t) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
+        codec.known.clear()
+        release_memory()
 
     def _scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = self.codec()
@@ -184,6 +186,7 @@ class BytePairCoder:
                 values = ids.values
                 texts.append(b"" if values is None else codec.decode(np.asarray(values)).tobytes())
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+        release_memory()
 
 
 def _lists(ids: list[bytes]) -> pa.Array:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import blocks as bl
-from .sequences import (buffer_of, first_of_groups, mix, prefix_hashes, ragged, valid_runs, window_anchors, window_hashes,
-                        word_hashes, words_of)
+from .sequences import (buffer_of, copy_runs, fill_runs, first_of_groups, mix, prefix_hashes, valid_runs,
+                        window_anchors, window_hashes, word_hashes, words_of)
 
 LENGTH = 35
 #: Words in a gram; a window has LENGTH - GRAM + 1 of them.
@@ -53,10 +53,11 @@ class Windows:
         grams = window_hashes(prefix, gram)
         self.anchor = window_anchors(grams, length - gram + 1)
         self.valid = valid_runs(self.first, length, len(words))
-        # 0, 1 and 2 are marks
-        self.edge = np.maximum(mix(window_hashes(prefix, length)), np.uint64(3))
         self.places, self.times = np.unique(self.anchor[self.valid], return_counts=True)
         self.hash = mix(grams[self.places])
+        del grams, words
+        # 0, 1 and 2 are marks
+        self.edge = np.maximum(mix(window_hashes(prefix, length)), np.uint64(3))
 
     def candidates(self, answers: list[tuple], buckets: int) -> np.ndarray:
         """Windows whose anchor occurs more than once."""
@@ -88,7 +89,7 @@ class Windows:
         blank[first[:-1][np.diff(first) > 0]] = 0
         to = np.cumsum(size + blank) - size
         out = np.full(int((size + blank).sum()), 32, dtype=np.uint8)
-        out[ragged(to, size)] = self.data[ragged(starts, size)]
+        copy_runs(out, to, self.data, starts, size)
         stops = np.concatenate(([0], np.cumsum(size + blank)))
         return out, stops[first], to
 
@@ -172,10 +173,17 @@ class Paths:
                    | ((flags[:-1] & PARTS_AFTER) > 0))
         begin = np.flatnonzero(new)
         self.count, self.at = np.diff(np.append(begin, len(window))), window[begin]
-        text, _, to = w.joined(np.ones(len(w.starts), dtype=bool))
-        text, size, stop = text.tobytes(), w.ends - w.starts, self.at + self.count + w.length - 2
+        # only the words of paths are joined: paths of one document may share words, so each run of them is joined once
+        stop = self.at + self.count + w.length - 1
+        used = np.zeros(len(w.starts) + 1, dtype=np.int32)
+        np.add.at(used, self.at, 1)
+        np.add.at(used, stop, -1)
+        used = np.cumsum(used[:-1]) > 0
+        text, _, to = w.joined(used)
+        place = np.cumsum(used) - 1
+        size, text = (w.ends - w.starts)[used], memoryview(text)
         digest = b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest()
-                          for a, b in zip(to[self.at], (to + size)[stop])) if len(self.at) else b""
+                          for a, b in zip(to[place[self.at]], (to + size)[place[stop - 1]])) if len(self.at) else b""
         digest = np.frombuffer(digest, dtype=np.uint64).reshape(-1, 2)
         order = np.lexsort((digest[:, 1], digest[:, 0]))
         head = np.ones(len(order), dtype=bool)
@@ -213,7 +221,7 @@ def _confirmed(bucket: int, rows: list[tuple]) -> list[tuple]:
     return answers
 
 
-def _cut(length: int, gram: int, buckets: int, carry: tuple[str, ...]):
+def _cut(length: int, gram: int, buckets: int, forms: tuple[str, ...], carry: tuple[str, ...]):
     def run(block: int, table: pa.Table, answers: list[tuple]) -> pa.Table:
         w = Windows(table, length, gram)
         paths = Paths(w, answers, buckets)
@@ -227,45 +235,49 @@ def _cut(length: int, gram: int, buckets: int, carry: tuple[str, ...]):
         np.add.at(mark, at, 1)
         np.add.at(mark, at + count + length - 1, -1)
         gone = np.cumsum(mark[:-1]) > 0
-        # the rest of the text as it stands: a removed word goes with the white space after it
-        edge = np.concatenate((w.starts, [len(w.data)])).astype(np.int64)
-        upto = edge[1:].copy()
-        owner = np.searchsorted(w.first, np.arange(len(w.starts)), side="right") - 1
-        upto = np.minimum(upto, w.offsets[owner + 1]) if len(upto) else upto
-        stay = np.ones(len(w.data), dtype=bool)
-        stay[ragged(w.starts[gone], (upto - w.starts)[gone])] = False
-        rest = np.concatenate(([0], np.cumsum(stay)))[w.offsets]
-        kept, kept_offsets, _ = w.joined(~gone)
         gone_before = np.concatenate(([0], np.cumsum(gone)))[w.first]
+        texts = {"kept": lambda: _texts(*w.joined(~gone)[:2]), "rest": lambda: _texts(*_rest(w, gone))}
         return pa.table([table["doc_id"].combine_chunks(), pa.array(np.diff(w.first), pa.int64()),
-                         pa.array(np.diff(gone_before), pa.int64()), _texts(kept, kept_offsets), _texts(w.data[stay], rest),
-                         *[table[c] for c in carry]], names=["doc_id", "n_words", "n_removed", "kept", "rest", *carry])
+                         pa.array(np.diff(gone_before), pa.int64()), *[texts[f]() for f in forms], *[table[c] for c in carry]],
+                        names=["doc_id", "n_words", "n_removed", *forms, *carry])
     return run
 
 
-CUT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, rest string"
+def _rest(w: Windows, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as they stand, without the removed words and the white space after each."""
+    edge = np.concatenate((w.starts, [len(w.data)])).astype(np.int64)
+    upto = edge[1:].copy()
+    owner = np.searchsorted(w.first, np.arange(len(w.starts)), side="right") - 1
+    upto = np.minimum(upto, w.offsets[owner + 1]) if len(upto) else upto
+    stay = np.ones(len(w.data), dtype=bool)
+    fill_runs(stay, w.starts[gone], (upto - w.starts)[gone], False)
+    return w.data[stay], np.concatenate(([0], np.cumsum(stay)))[w.offsets]
+
+
+CUT = "doc_id bigint, n_words bigint, n_removed bigint"
 
 
 def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    array = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+    array = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
     return array.cast(pa.string())
 
 
 def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = bl.BLOCK_BYTES,
-                          carry: tuple[str, ...] = ()) -> DataFrame:
+                          carry: tuple[str, ...] = (), forms: tuple[str, ...] = ("kept", "rest")) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one blank between), rest (the text left, with its white space), and the
-    columns named by ``carry`` as they are."""
+    columns named by ``carry`` as they are. ``forms``: which of kept and rest are made."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     blocked, count = bl.blocked(rows, block_bytes, carry)
-    schema = StructType([*StructType.fromDDL(CUT).fields, *[rows.schema[c] for c in carry]])
+    schema = StructType([*StructType.fromDDL(CUT + "".join(f", {f} string" for f in forms)).fields, *[rows.schema[c] for c in carry]])
     buckets = bl.buckets_for(count)
     shared = bl.per_bucket(bl.per_block(blocked, _anchors(length, gram, buckets)), _shared)
     edges = bl.back_to_blocks(blocked, shared, _edges(length, gram, buckets))
     branches = bl.per_bucket(edges, _branches)
     told = shared.unionByName(branches)
     confirmed = bl.per_bucket(bl.back_to_blocks(blocked, told, _paths(length, gram, buckets)), _confirmed)
-    return bl.back_to_blocks(blocked, told.unionByName(confirmed), _cut(length, gram, buckets, carry), schema)
+    return bl.back_to_blocks(blocked, told.unionByName(confirmed), _cut(length, gram, buckets, forms, carry), schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:
+    """The query's columns, from cuts with ``kept``."""
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

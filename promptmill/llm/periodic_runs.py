@@ -193,9 +193,9 @@ def _equal_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.n
         (data[ragged(starts[a], length)] == data[ragged(starts[b], length)]).all())
 
 
-def _runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Runs of documents that come longest first; words are compared by hash, and the words of all runs byte by byte."""
-    rows = Text(word_hashes(data, starts, ends), offsets).runs()
+    rows = Text(hashes, offsets).runs()
     length = rows[:, 1] - rows[:, 0] - rows[:, 2]
     at = ragged(rows[:, 0], length)
     if _equal_bytes(data, starts, ends, at, at + np.repeat(rows[:, 2], length)):
@@ -234,8 +234,9 @@ def runs_of_batch(batch: pa.RecordBatch, min_length: int = MIN_LENGTH) -> pa.Rec
     # the words of the documents, longest document first
     lengths = np.diff(offsets)[order]
     word = ragged(offsets[:-1][order], lengths)
+    hashes = word_hashes(data, starts, ends)[word]
     starts, ends, offsets = starts[word], ends[word], np.concatenate(([0], np.cumsum(lengths)))
-    rows = _runs_of(data, starts, ends, offsets)
+    rows = _runs_of(data, starts, ends, hashes, offsets)
     rows = rows[rows[:, 1] - rows[:, 0] >= min_length]
     text = _collapsed(data, starts, ends, offsets, rows).take(pa.array(back))
     doc = np.searchsorted(offsets, rows[:, 0], side="right") - 1

@@ -104,7 +104,7 @@ def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return path_dedup.digests(path_dedup.remove_repeated_spans(table(spark, folder, "documents")))
+    return path_dedup.digests(path_dedup.remove_repeated_spans(table(spark, folder, "documents"), forms=("kept",)))
 
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"

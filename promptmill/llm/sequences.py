@@ -31,22 +31,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_TABLES: dict[int, np.ndarray] = {}
+#: Elements that are hashed or copied at a time where all at once would need several arrays of that length.
+STEP = 1 << 18
 
 
 def _table(base: int, n: int) -> np.ndarray:
-    """At least n powers; sizes are powers of two, so that few tables are made."""
-    return _powers(base, 1 << max(16, int(n).bit_length()))
+    """At least n powers. The longest table so far is kept."""
+    held = _TABLES.get(base)
+    if held is None or len(held) < n:
+        size = -(-max(n, 1 << 16) // (1 << 16)) * (1 << 16)
+        held = np.full(size, base, dtype=np.uint64)
+        held[0] = 1
+        _TABLES[base] = np.multiply.accumulate(held, out=held)
+    return held
+
+
+def release_memory() -> None:
+    """Give memory that is not used any more back to the system, for the workers that share a machine's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    import ctypes
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
 
 
 def prefix_hashes(x: np.ndarray) -> np.ndarray:
     """Prefix polynomial hashes: entry i covers the first i elements."""
     out = np.zeros(len(x) + 1, dtype=np.uint64)
-    np.cumsum(x * _table(BASE, len(x))[:len(x)], out=out[1:])
+    np.multiply(x, _table(BASE, len(x))[:len(x)], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -60,7 +80,9 @@ def window_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
     m = len(prefix) - n
     if m <= 0:
         return np.empty(0, dtype=np.uint64)
-    return (prefix[n:] - prefix[:m]) * _table(_INVERSE, m)[:m]
+    out = prefix[n:] - prefix[:m]
+    out *= _table(_INVERSE, m)[:m]
+    return out
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -108,9 +130,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WOR
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per word."""
-    h = run_hashes(prefix_hashes(byte_values(data)), starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64))
+    """One 64-bit hash per word (words in the order of their places). A hash does not depend on where the word stands, so stretches of the
+    bytes are hashed one after the other."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, side="right")))
+        base = starts[at]
+        prefix = prefix_hashes(byte_values(data[base:ends[stop - 1]]))
+        out[at:stop] = run_hashes(prefix, starts[at:stop] - base, ends[at:stop] - base)
+        at = stop
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def valid_runs(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -152,6 +182,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _portions(lengths: np.ndarray) -> Iterator[slice]:
+    """Neighbouring runs of about ``STEP`` elements together."""
+    done = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + STEP, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def copy_runs(target: np.ndarray, to: np.ndarray, source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Copy runs of ``source`` to places of ``target``."""
+    for part in _portions(lengths):
+        target[ragged(to[part], lengths[part])] = source[ragged(starts[part], lengths[part])]
+
+
+def fill_runs(target: np.ndarray, starts: np.ndarray, lengths: np.ndarray, value) -> None:
+    for part in _portions(lengths):
+        target[ragged(starts[part], lengths[part])] = value
+
+
 def first_of_groups(ordered: np.ndarray) -> np.ndarray:
     """Where a new value begins in an ordered array."""
     if len(ordered) == 0:
@@ -160,7 +211,8 @@ def first_of_groups(ordered: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``budget`` bytes of text each; a longer text is a part of its own."""
+    """Parts of a batch with at most ``budget`` bytes of text each; a longer text is a part of its own. After the last one, memory that
+    working on them took is given back."""
     if batch.num_rows == 0:
         return
     size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
@@ -171,3 +223,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 1 << 20) -
             start, total = i, 0
         total += n
     yield batch.slice(start)
+    release_memory()
