@@ -1,7 +1,11 @@
 """Documents through five training-data operators: low quality out, one document of each near-duplicate group, repeated
 spans out, benchmark passages out, and token ids in the end.
 
-Each stage takes (spark, docs, sf_dir) and judges all of ``docs``, the rows that its predecessor kept."""
+Each stage takes (spark, docs, sf_dir) and judges all of ``docs``, the rows that its predecessor kept.
+
+Cases: a null or empty text has no words, and the first stage rejects it; rows without id are judged like others, and near-duplicates of
+any row among them stay, as nothing names them; rows that share an id go together where one of them is a later near-duplicate;
+identical rows are separate rows to all stages; an empty table gives no rows; columns other than those of ``documents`` are left out."""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans of at least 35 words that occur more than once in what is left of the corpus."""
     ship_package(spark)
-    cut = remove_repeated_spans(docs.drop("n_chars"), carry=("lang", "source"))
+    cut = remove_repeated_spans(docs.drop("n_chars"), carry=("lang", "source"), forms=("rest",))
     return cut.select("doc_id", F.col("rest").alias("text"), "lang", "source", F.length("rest").cast("bigint").alias("n_chars"))
 
 
