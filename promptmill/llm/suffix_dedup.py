@@ -37,9 +37,9 @@ SHARED, PIECES, LEAST = 0, 1, 2
 class SuffixSort:
     """Suffixes of one byte array, compared over at most ``depth`` bytes."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, depth: int):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, depth: int, prefix: np.ndarray | None = None):
         self.data, self.starts, self.depth = data, starts, depth
-        self.prefix = prefix_hashes(byte_values(data))
+        self.prefix = prefix_hashes(byte_values(data)) if prefix is None else prefix
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at places ``a`` and ``b`` have in common: one look at the whole depth, then a binary
@@ -105,6 +105,39 @@ class SuffixSort:
         return np.concatenate(([0], np.flatnonzero(~equal) + 1))
 
 
+def equal_pieces(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, strings: np.ndarray, distance: np.ndarray, length: int) -> np.ndarray:
+    """For each piece (its place, number of strings, and distance from its start to its anchor) one that is equal, the same for all equal
+    ones. Equal hashes are confirmed byte by byte; what differs stands for itself."""
+    size = strings + length - 1
+    content = mix(run_hashes(prefix, at, at + size) + strings.astype(np.uint64) * np.uint64(1 << 20) + distance.astype(np.uint64))
+    order = np.argsort(content, kind="stable")
+    head = np.zeros(len(order), dtype=bool)
+    head[first_of_groups(content[order])] = True
+    leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+    same = np.ones(len(order), dtype=bool)
+    check = np.flatnonzero(~head)
+    for begin in range(0, len(check), 1 << 12):
+        part = check[begin:begin + (1 << 12)]
+        a, b = order[part], leader[part]
+        alike = (size[a] == size[b]) & (distance[a] == distance[b])
+        a, b = a[alike], b[alike]
+        n = size[a]
+        if len(a):
+            equal = data[ragged(at[a], n)] == data[ragged(at[b], n)]
+            alike[alike] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        same[part] = alike
+    leader[~same] = order[~same]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = leader
+    return out
+
+
+def least_of_equal(unique: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    least = np.full(len(unique), np.iinfo(np.int64).max)
+    np.minimum.at(least, unique, ids)
+    return least
+
+
 class Strings:
     """The strings of ``length`` bytes in a block and their anchors."""
 
@@ -143,29 +176,9 @@ class Strings:
         self.at, self.strings = string[first], np.diff(np.append(first, len(string)))
         self.point = anchor[first]
         self.piece_doc = np.searchsorted(self.offsets, self.at, side="right") - 1
-        size = self.strings + self.length - 1
-        content = mix(run_hashes(self.prefix, self.at, self.at + size) + self.strings.astype(np.uint64) * np.uint64(1 << 20)
-                      + (self.point - self.at).astype(np.uint64))
-        order = np.argsort(content, kind="stable")
-        head = np.zeros(len(order), dtype=bool)
-        head[first_of_groups(content[order])] = True
-        leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        # equal hashes are confirmed byte by byte; what differs stands for itself
-        same = np.ones(len(order), dtype=bool)
-        check = np.flatnonzero(~head)
-        for begin in range(0, len(check), 1 << 14):
-            part = check[begin:begin + (1 << 14)]
-            a, b = order[part], leader[part]
-            n = size[a]
-            equal = self.data[ragged(self.at[a], n)] == self.data[ragged(self.at[b], n)]
-            same[part] = np.logical_and.reduceat(equal, np.cumsum(n) - n) & (n == size[b])
-        leader[~same] = order[~same]
-        self.unique = np.empty(len(order), dtype=np.int64)
-        self.unique[order] = leader
-        self.leaders = np.flatnonzero(self.unique == np.arange(len(order)))
-        least = np.full(len(order), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.unique, self.ids[self.piece_doc])
-        self.least = least
+        self.unique = equal_pieces(self.data, self.prefix, self.at, self.strings, self.point - self.at, self.length)
+        self.leaders = np.flatnonzero(self.unique == np.arange(len(self.unique)))
+        self.least = least_of_equal(self.unique, self.ids[self.piece_doc])
         self.piece_hash = self.hash[np.searchsorted(self.places, self.point)]
 
 
@@ -209,20 +222,29 @@ def _least(length: int):
         shape = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).reshape(-1, 2).astype(np.int64)
         ids = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
         data = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])
-        strings = shape[:, 1]
-        size = strings + length - 1
-        starts = ragged(np.cumsum(size) - size, strings)
+        # equal pieces of several blocks are sorted once, under the least id of all
+        every = shape[:, 1]
+        size = every + length - 1
+        prefix = prefix_hashes(byte_values(data))
+        unique = equal_pieces(data, prefix, np.cumsum(size) - size, every, shape[:, 0], length)
+        leaders = np.flatnonzero(unique == np.arange(len(unique)))
+        ids = least_of_equal(unique, ids)[leaders]
+        strings = every[leaders]
+        starts = ragged((np.cumsum(size) - size)[leaders], strings)
         distance = ragged(np.zeros(len(strings), np.int64), strings)
-        distance = np.repeat(shape[:, 0], strings) - distance
-        group = np.repeat(anchor, strings) + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        distance = np.repeat(shape[leaders, 0], strings) - distance
+        group = np.repeat(anchor[leaders], strings) + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         arranged = np.argsort(group, kind="stable")
         begin = first_of_groups(group[arranged])
-        sorter = SuffixSort(data, starts[arranged], length)
+        sorter = SuffixSort(data, starts[arranged], length, prefix)
         order = sorter.order(begin)
         klass = sorter.classes(order, begin)
         least = np.minimum.reduceat(np.repeat(ids, strings)[arranged[order]], klass)
-        out = np.empty(len(starts), dtype=np.int64)
-        out[arranged[order]] = np.repeat(least, np.diff(np.append(klass, len(starts))))
+        found = np.empty(len(starts), dtype=np.int64)
+        found[arranged[order]] = np.repeat(least, np.diff(np.append(klass, len(starts))))
+        where = np.zeros(len(unique), dtype=np.int64)
+        where[leaders] = np.cumsum(strings) - strings
+        out = found[ragged(where[unique], every)]
         answers, at = [], 0
         for r in rows:
             n = int(np.frombuffer(r[3], np.uint16)[1::2].sum())
