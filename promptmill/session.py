@@ -31,10 +31,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+#: Bytes of a batch of rows on its way to a Python worker: Spark's own bound of 64 MB is held several times by each task, on both sides.
+BATCH_BYTES, _BATCH_BYTES, _SPARKS_BOUND = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that functions sent to them can be read there
-    without an installation. The archive is made in the driver's own temporary folder, from where Spark serves it."""
+    without an installation. The archive is made in the driver's own temporary folder, from where Spark serves it. Batches that
+    go to the workers are bounded by ``BATCH_BYTES`` unless the session sets a bound of its own."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES) == _SPARKS_BOUND:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     if getattr(context, "_promptmill_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
