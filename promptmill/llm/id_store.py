@@ -41,19 +41,20 @@ from ..operators.running import running_total
 from ..session import discard, materialize, scratch_root
 from .blocks import text_bytes
 from .bpe_codec import _Held
-from .sequences import mix, slices
+from .sequences import mix, release_memory, slices
 
-RANGE_BYTES, SHARD_BYTES, SHARD_ROWS, BUCKET_KEYS = 32 << 20, 8 << 20, 1 << 16, 1 << 16
-#: Words and parts of words that a worker remembers.
-REMEMBERED = 200_000
+RANGE_BYTES, SHARD_BYTES, SHARD_ROWS, BUCKET_KEYS = 64 << 20, 4 << 20, 1 << 16, 1 << 16
+#: Words, and parts of words, that a worker remembers.
+REMEMBERED = 300_000
 PIECE = 1 << 20
 
 # --- tokens -----------------------------------------------------------------------------------------------------------------------
 
-#: ASCII but for blanks and controls, and letters of the two Latin blocks whose lower case and composition all versions of Unicode share.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
-_PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
-#: The steps before the merges that the short way below repeats for plain words; any other model goes through the library.
+#: Texts of ASCII but for controls, and of letters of the two Latin blocks whose lower case and composition all versions of Unicode share.
+_PLAIN = re.compile("[ \t\n\r!-~À-ÖØ-öø-įı-ňŊ-ſ]*")
+#: The pre-tokens of such a text in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ſ]+")
+#: The steps before the merges that the short way below repeats for plain texts; any other model goes through the library.
 _STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -64,47 +65,52 @@ _STEPS = {
 
 
 class _Known(dict):
-    """Ids by word; a missing word is encoded, and remembered if it is short."""
+    """Ids by text; what is missing is encoded, and remembered if it is short. When ``REMEMBERED`` are held, all but those met since the
+    last time are given up."""
 
     def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.encode(text)
+        if len(text) <= 32:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
         return ids
 
 
 class Words:
-    """Ids of texts whose tokenizer cuts at white space, word by word. A plain word is cut into its pre-tokens here, and the library's
-    merges turn each into ids; any other word goes through the whole library."""
+    """Ids of texts by a tokenizer that cuts at white space. A plain text is cut into its pre-tokens here, and the library's merges turn each
+    into ids; any other goes through the whole library, word by word. ``short``: whether the model's steps allow the former."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, short: bool, special: list[str]):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(model.decode("utf-8"))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.merges = self.tokenizer.model
-        steps = json.loads(model)
-        self.short = all(steps[name] == value for name, value in _STEPS.items())
-        self.special = [t["content"] for t in steps["added_tokens"]]
+        self.merges, self.short, self.special = self.tokenizer.model, short, special
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.bytes_of = [array(self.code, [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.forget()
+
+    def forget(self) -> None:
         self.parts, self.words = _Known(self._part), _Known(self._word)
-        self.words[""] = b""
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             part = part.translate(self.letters)
-        return array(self.code, [t.id for t in self.merges.tokenize(part)]).tobytes()
+        data = self.bytes_of
+        return b"".join([data[t.id] for t in self.merges.tokenize(part)])
 
     def _word(self, word: str) -> bytes:
-        if self.short and _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            return b"".join([self.parts[p] for p in _PLAIN_PARTS.findall(word.lower())])
         return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -116,19 +122,18 @@ class Words:
                 end = end if end > at else text.find(" ", at + PIECE)
                 end = end if end > at else len(text)
             piece = text[at:end]
-            known = self.words
-            out += [known[w] for w in piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")]
+            if self.short and _PLAIN.fullmatch(piece) and not any(s in piece for s in self.special):
+                known, units = self.parts, _PARTS.findall(piece.lower())
+            else:
+                known, units = self.words, piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out += [known[u] for u in units]
             at = end
-            for memory in (self.words, self.parts):
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                    self.words[""] = b""
         return b"".join(out)
 
 
 @functools.lru_cache(maxsize=1)
-def _words(digest: str, holder) -> Words:
-    return Words(holder.value)
+def _words(digest: str, holder, short: bool, special: tuple[str, ...]) -> Words:
+    return Words(holder.value, short, list(special))
 
 
 class WordEncoder:
@@ -140,10 +145,13 @@ class WordEncoder:
             model = f.read()
         self.digest = hashlib.sha256(model).hexdigest()
         self.held = _Held(spark.sparkContext.broadcast(model), self.digest)
-        self.code = Words(model).code
+        steps = json.loads(model)
+        self.short = all(steps[name] == value for name, value in _STEPS.items())
+        self.special = tuple(t["content"] for t in steps["added_tokens"])
+        self.code = Words(model, self.short, list(self.special)).code
 
     def words(self) -> Words:
-        return _words(self.digest, self.held)
+        return _words(self.digest, self.held, self.short, self.special)
 
 
 # --- the perfect hash -------------------------------------------------------------------------------------------------------------
@@ -287,6 +295,9 @@ def _shards(batches: Iterator[pa.RecordBatch], words: Words, end: bytes, shard_b
                 size += len(one)
     if coded:
         yield flush()
+    # what comes next on this machine needs the room
+    words.forget()
+    release_memory()
 
 
 def _keyed(keys: DataFrame, buckets: int, more: tuple[str, ...] = ()) -> DataFrame:
