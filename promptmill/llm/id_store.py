@@ -43,9 +43,9 @@ from .blocks import text_bytes
 from .bpe_codec import _Held
 from .sequences import mix, release_memory, slices
 
-RANGE_BYTES, SHARD_BYTES, SHARD_ROWS, BUCKET_KEYS = 64 << 20, 4 << 20, 1 << 16, 1 << 16
+RANGE_BYTES, SHARD_BYTES, SHARD_ROWS, BUCKET_KEYS = 32 << 20, 4 << 20, 1 << 16, 1 << 16
 #: Words, and parts of words, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 160_000
 PIECE = 1 << 20
 
 # --- tokens -----------------------------------------------------------------------------------------------------------------------
