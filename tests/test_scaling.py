@@ -50,3 +50,13 @@ def test_shared_token_pairs_in_many_blocks_and_few_candidates(spark, monkeypatch
          *[(i, "ffff gggg hhhh iiii jjjj kkkk") for i in range(3, 9)]], "id long, text string"))
     found = {(r.a, r.b) for r in fuzzy._candidates(rows, 90.0).collect()}
     assert (0, 2) in found and (1, 3) in found
+
+
+def test_ngrams_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b c{i % 7} d", "xy"[i % 2]) for i in range(200)], "row_id long, prompt string, source string")
+    tops, overlap = lexical.top_ngrams(df).collect(), lexical.ngram_jaccard(df, "x", "y").collect()
+    monkeypatch.setattr(lexical, "PART_BYTES", 50)
+    dealt, parts = lexical._dealt(df, "prompt", "row_id")
+    assert parts == dealt.rdd.getNumPartitions() == -(-1600 // 50)
+    assert sorted(lexical.top_ngrams(df).collect()) == sorted(tops) and sorted(lexical.ngram_jaccard(df, "x", "y").collect()) == sorted(overlap)
+    assert f", {parts}), REPARTITION_BY_NUM" in plan(lexical.ngram_jaccard(df, "x", "y"))
