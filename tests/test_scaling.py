@@ -60,3 +60,13 @@ def test_ngrams_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     assert parts == dealt.rdd.getNumPartitions() == -(-1600 // 50)
     assert sorted(lexical.top_ngrams(df).collect()) == sorted(tops) and sorted(lexical.ngram_jaccard(df, "x", "y").collect()) == sorted(overlap)
     assert f", {parts}), REPARTITION_BY_NUM" in plan(lexical.ngram_jaccard(df, "x", "y"))
+
+
+def test_character_runs_are_cut_by_arrays(spark):
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))
+    texts = ["", "abc", "abcde", "abcabcabcabc", "été à l'île", "😀😀😀😀😀😀x", None, wide + wide]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.char_shingles("t", 5).alias("s"))
+    assert "ArrowEvalPython" in plan(df)
+    want = [None if t is None else [*dict.fromkeys(t[i:i + 5] for i in range(max(1, len(t) - 4)))] for t in texts]
+    assert [r.s for r in df.collect()] == want
+    assert tx._shingle_lists(pa.array(["aXbXa"]), 1).to_pylist() == [["a", "X", "b"]]
