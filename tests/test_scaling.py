@@ -70,3 +70,14 @@ def test_character_runs_are_cut_by_arrays(spark):
     want = [None if t is None else [*dict.fromkeys(t[i:i + 5] for i in range(max(1, len(t) - 4)))] for t in texts]
     assert [r.s for r in df.collect()] == want
     assert tx._shingle_lists(pa.array(["aXbXa"]), 1).to_pylist() == [["a", "X", "b"]]
+
+
+def test_language_profiles_are_counted_by_arrays(spark, monkeypatch):
+    rows = [("ab  AB\t😀", "en"), ("", "en"), (None, "fr"), ("x", "fr"), ("xyz", None)]
+    got = language.language_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert {(r.lang, r.gram) for r in got.collect()} == {
+        ("en", ""), *[("en", " ab ab 😀 "[i:i + 3]) for i in range(7)], ("fr", ""), ("fr", " x ")}
+    seen = []
+    monkeypatch.setattr(language, "materialize", lambda df: seen.append(plan(df)) or df)
+    language.language_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert "MapInArrow" in seen[0]
