@@ -81,3 +81,18 @@ def test_language_profiles_are_counted_by_arrays(spark, monkeypatch):
     monkeypatch.setattr(language, "materialize", lambda df: seen.append(plan(df)) or df)
     language.language_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
     assert "MapInArrow" in seen[0]
+
+
+def test_lists_and_edges_of_one_task_are_arrays():
+    rng, n = np.random.default_rng(0), 60_000
+    a = rng.integers(0, 20_000, n)
+    edges = pa.table({"ca": a, "cb": a + 1 + rng.integers(0, 5, n), "w": rng.random(n), "a": a, "b": a + 7})
+    forest = pa.table({"a": np.arange(n), "b": np.arange(n) + 1, "w": rng.random(n)})
+    points = rng.random((3000, 4))
+    for run, most in ((lambda: density._last_edges(edges), 16), (lambda: density._fallen_in_one_task(10)(forest), 28),
+                      (lambda: neighbours._list_table(neighbours._search_group(np.arange(3000), points, 15, 256, 1)), 12)):
+        tracemalloc.start()
+        assert run().num_rows
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        assert peak < most, peak
