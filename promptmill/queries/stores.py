@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_root
 from ..sources import views
-from ..sources.versioned import StreamDedup, VectorStore
+from ..sources.versioned import StreamDedup, VectorStore, files_for
 from .registry import PROMPTS, norm, register
 from .tables import sides
 from .texts import digest_bytes
@@ -34,10 +34,11 @@ SELECT row_id, (SELECT n FROM n) AS n_new, {', '.join(f"round(CAST(b[{i % 32 + 1
 
 
 def stream_dedup(spark, folder):
-    """The table as a stream of files, and the texts that are left of it."""
+    """The table as a stream of files in three batches, and the texts that are left of it."""
     path, prompts = _path(spark), views.prompts(spark, folder).select("row_id", "prompt")
-    prompts.repartition(3, "row_id").write.parquet(f"{path}/source")
-    source = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    each = -(-files_for(prompts) // 3)
+    prompts.repartition(3 * each, "row_id").write.parquet(f"{path}/source")
+    source = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", each).parquet(f"{path}/source")
     dedup = StreamDedup(spark, f"{path}/state", "row_id bigint, prompt string", "row_id", "prompt")
     dedup.run(source)
     return dedup.kept.read().select(F.md5("prompt").alias("text_md5"), F.lit(1).alias("n")).groupBy("text_md5").agg(F.sum("n").alias("n")).select(

@@ -15,14 +15,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructType
 
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..session import materialize
 
-#: Rows in a file of a part, and manifests that are kept.
-FILE_ROWS, KEPT = 1 << 20, 5
+#: Rows and bytes of values in a file of a part, and manifests that are kept.
+FILE_ROWS, FILE_BYTES, KEPT = 1 << 20, 64 << 20, 5
+
+
+def files_for(rows: DataFrame) -> int:
+    """How many files hold the rows, so that no task has to bring together more than a file's rows or bytes. (What is not text or a list counts as
+    eight bytes.)"""
+    width = F.lit(0).cast("bigint")
+    for f in rows.schema.fields:
+        size = F.octet_length(f.name) if isinstance(f.dataType, StringType) else F.size(f.name) * 8 if isinstance(f.dataType, ArrayType) else F.lit(8)
+        width = width + F.coalesce(size, F.lit(0))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return max(1, -(-n // FILE_ROWS), -(-size // FILE_BYTES))
 
 
 class VersionedTable:
@@ -65,8 +76,8 @@ class VersionedTable:
 
     def _write(self, rows: DataFrame) -> str:
         part = uuid.uuid4().hex
-        files = max(1, -(-rows.count() // FILE_ROWS))
-        rows.select(*self.schema.names).repartition(files, self.key).write.parquet(f"{self.path}/parts/{part}")
+        rows = rows.select(*self.schema.names)
+        rows.repartition(files_for(rows), self.key).write.parquet(f"{self.path}/parts/{part}")
         return part
 
     def append(self, rows: DataFrame, tag: str | None = None) -> bool:

@@ -96,3 +96,23 @@ def test_lists_and_edges_of_one_task_are_arrays():
         peak = tracemalloc.get_traced_memory()[1] / 2**20
         tracemalloc.stop()
         assert peak < most, peak
+
+
+def test_language_profiles_are_counted_by_arrays(spark, monkeypatch):
+    rows = [("ab  AB\t😀", "en"), ("", "en"), (None, "fr"), ("x", "fr"), ("xyz", None)]
+    got = language.language_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert {(r.lang, r.gram) for r in got.collect()} == {
+        ("en", ""), *[("en", " ab ab 😀 "[i:i + 3]) for i in range(7)], ("fr", ""), ("fr", " x ")}
+    seen = []
+    monkeypatch.setattr(language, "materialize", lambda df: seen.append(plan(df)) or df)
+    language.language_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert "MapInArrow" in seen[0]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versioned, "FILE_BYTES", 10_000)
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(1000)], "row_id long, prompt string")
+    assert versioned.files_for(df) == -(-108_000 // 10_000)
+    table = versioned.VersionedTable(spark, str(tmp_path), "row_id long, prompt string", "row_id")
+    table.append(df)
+    assert len([*tmp_path.glob("parts/*/*.parquet")]) > 5 and table.read().count() == 1000
