@@ -116,3 +116,15 @@ def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     table = versioned.VersionedTable(spark, str(tmp_path), "row_id long, prompt string", "row_id")
     table.append(df)
     assert len([*tmp_path.glob("parts/*/*.parquet")]) > 5 and table.read().count() == 1000
+
+
+def test_runs_share_what_they_read_of_the_source(spark, monkeypatch):
+    calls, signatures = [], dedup.signatures
+    monkeypatch.setattr(dedup, "signatures", lambda *args: calls.append(args) or signatures(*args))
+    df = spark.createDataFrame([(i, f"prompt number {i} about subject {i % 5}", i % 2 if i < 12 else 0, 0.5) for i in range(30)],
+                               "row_id long, prompt string, intent_disc int, intent_cont double")
+    both = balance.repeat_runs(df, 2, target_coverage=50)[0].augmented
+    assert len(calls) == 1
+    alone = balance.balance_dataset(df, target_coverage=50, seed=43, run=2).augmented
+    columns = ["prompt", "intent_disc", "intent_cont"]
+    assert sorted(both.where("run = 2").select(columns).collect()) == sorted(alone.select(columns).collect())
