@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import random
 import tracemalloc
 from contextlib import redirect_stdout
@@ -10,6 +11,7 @@ from contextlib import redirect_stdout
 import numpy as np
 import pyarrow as pa
 
+from promptmill.functions import fuzzy as fz
 from promptmill.functions import text as tx
 from promptmill.operators import dedup, density, fuzzy, language, lexical, neighbours
 from promptmill.plans import balance
@@ -121,3 +123,26 @@ def test_runs_share_what_they_read_of_the_source(spark, monkeypatch):
     alone = balance.balance_dataset(df, target_coverage=50, seed=43, run=2).augmented
     columns = ["prompt", "intent_disc", "intent_cont"]
     assert sorted(both.where("run = 2").select(columns).collect()) == sorted(alone.select(columns).collect())
+
+
+def test_few_fuzzy_pairs_are_aligned_whole(monkeypatch):
+    rng = random.Random(8)
+    parts = "the on er and ing ti ha é ß 字 que los mi ja bo rr ver sch geö un".split()
+    word = lambda: "".join(rng.choices(parts, k=rng.randrange(1, 5)))
+    spoil = lambda w: w[:-1] + "x" if len(w) > 4 and rng.random() < 0.6 else w
+    texts = [" ".join(word() for _ in range(rng.randrange(85, 92))) for _ in range(60)] + [" ".join(word() for _ in range(n)) for n in range(1, 25)]
+    texts += [" ".join(map(spoil, t.split())) for t in texts] + ["a", "b", "ab", "ba", "the the"]
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j, round(s, 6)) for i, j in itertools.combinations(range(len(texts)), 2)
+            if fuzzy.length_band(len(texts[i]), len(texts[j])) and (s := fz.token_set_ratio(sets[i], sets[j])) >= 90}
+    assert len(want) > 40
+    aligned, exact = [], fz.token_set_ratio
+    monkeypatch.setattr(fz, "token_set_ratio", lambda *a: aligned.append(1) or exact(*a))
+    n = len(texts)
+    rows = {"side": [0] * n + [1] * n, "id": [*range(n)] * 2, "text": texts * 2, "same": [True] * (2 * n)}
+    for size in (fuzzy.AT_ONCE, 300):
+        monkeypatch.setattr(fuzzy, "AT_ONCE", size)
+        aligned.clear()
+        got = fuzzy._score_sets(90.0)(pa.table(rows)).to_pylist()
+        assert {(r["a"], r["b"], round(r["score"], 6)) for r in got} == want
+        assert len(aligned) < len(want) + 200  # thousands of pairs are alike in length, weight and letters
