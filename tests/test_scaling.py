@@ -146,3 +146,28 @@ def test_few_fuzzy_pairs_are_aligned_whole(monkeypatch):
         got = fuzzy._score_sets(90.0)(pa.table(rows)).to_pylist()
         assert {(r["a"], r["b"], round(r["score"], 6)) for r in got} == want
         assert len(aligned) < len(want) + 200  # thousands of pairs are alike in length, weight and letters
+
+
+def test_few_windows_across_sources_are_compared(monkeypatch):
+    rng = random.Random(9)
+    parts = "the on er and ing ti ha é ß 字 que los mi ja bo rr ver sch geö un".split()
+    say = lambda n: " ".join("".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(n))
+    left = [say(rng.randrange(40, 60)) for _ in range(40)] + [say(60)[:n] for n in range(5, 20)]
+    right = [say(rng.randrange(60, 90)) for _ in range(40)] + [say(9) + " " + t[:30] + "x" + t[31:] + " " + say(9) for t in left[:5]]
+    right += [t[1:] + say(5) for t in left[-15:]] + [say(5) + t[:-1] for t in left[-15:]] + [t[:2] + "x" + t[3:] for t in left[-15:]]
+
+    def best(a, b):
+        s, t = sorted((a, b), key=len)
+        windows = lambda s, t: max(fz.indel_ratio(s, t[max(i, 0):i + len(s)]) for i in range(1 - len(s), len(t)))
+        return max(windows(s, t), windows(t, s)) if len(s) == len(t) else windows(s, t)
+    short = range(40, 55)
+    want = {(i, j, round(s, 6)) for i in short for j in range(len(right)) if (s := best(left[i], right[j])) >= 92}
+    assert want
+    compared, exact = [], fz.partial_ratio
+    monkeypatch.setattr(fz, "partial_ratio", lambda *a: compared.append(len(a[0].text)) or exact(*a))
+    rows = {"side": [0] * len(left) + [1] * len(right), "id": [*range(len(left)), *range(len(right))], "text": left + right}
+    got = {(r["a"], r["b"], round(r["score"], 6)) for r in fuzzy._score_parts(92.0)(pa.table(rows)).to_pylist()}
+    assert {g for g in got if g[0] >= 40} == want and {(i, 40 + i) for i in range(5)} <= {g[:2] for g in got}
+    assert sum(n > 100 for n in compared) < 1400  # more if only the classes of shifts are counted
+    # a text of seven characters allows one edit, which a whole window cannot have: windows at the ends only
+    assert len(fz._starts(fz.SearchText("abcdefg"), fz.SearchText("x" * 500), 92.0)[0]) < 20
