@@ -5,16 +5,19 @@ from __future__ import annotations
 import io
 import itertools
 import random
+import time
 import tracemalloc
 from contextlib import redirect_stdout
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from promptmill.functions import fuzzy as fz
 from promptmill.functions import text as tx
-from promptmill.operators import dedup, density, fuzzy, language, lexical, neighbours
+from promptmill.operators import dedup, density, fuzzy, language, lexical, meetings, neighbours
 from promptmill.plans import balance
+from promptmill.session import materialize
 from promptmill.sources import versioned
 
 
@@ -171,3 +174,34 @@ def test_few_windows_across_sources_are_compared(monkeypatch):
     assert sum(n > 100 for n in compared) < 1400  # more if only the classes of shifts are counted
     # a text of seven characters allows one edit, which a whole window cannot have: windows at the ends only
     assert len(fz._starts(fz.SearchText("abcdefg"), fz.SearchText("x" * 500), 92.0)[0]) < 20
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    before = shuffle_files(spark)
+    kept = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_vectors_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
+    rng, n, k = np.random.default_rng(5), 90, 6
+    points = rng.integers(0, 4, (n, 3)).astype(float)  # many ties
+    points[40:48] = points[3]
+    rows = [(i, points[i].tolist()) for i in range(n)] + [(None, [0.0] * 3), (200, None)]
+    df = spark.createDataFrame(rows, "key long, v array<double>")
+    far = np.round(np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)), 9)
+    want = {i: sorted((float(far[i, j]), j) for j in range(n) if j != i)[:k] for i in range(n) if i % 3}
+    for held in (1 << 20, 800):
+        monkeypatch.setattr(meetings, "HELD_BYTES", held)
+        found = neighbours.exact_neighbours(df, df.where("key % 3 <> 0"), "key", "v", k, block_rows=11)
+        assert "CartesianProduct" in plan(found) and "Generate" not in plan(found)
+        assert {r.id: [(e.distance, e.id) for e in r.list] for r in found.collect()} == want
