@@ -145,14 +145,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def valid_runs(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which positions start a run of n elements that ends in the same document (positions that have n elements)."""
-    out = np.zeros(max(0, total - n + 1), dtype=bool)
+    out = np.ones(max(0, total - n + 1), dtype=bool)
     if len(out):
-        lengths = np.diff(offsets)
-        long = lengths >= n
-        mark = np.zeros(total + 2, dtype=np.int32)
-        np.add.at(mark, offsets[:-1][long], 1)
-        np.add.at(mark, offsets[1:][long] - n + 1, -1)
-        out = np.cumsum(mark)[:len(out)] > 0
+        last = np.minimum(np.diff(offsets), n - 1)
+        at = ragged(offsets[1:] - last, last)
+        out[at[at < len(out)]] = False
     return out
 
 

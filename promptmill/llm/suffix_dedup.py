@@ -6,9 +6,9 @@ A byte of a document goes if a string of ``length`` bytes covers it that also st
    anchors. Blocks of documents tell the buckets which anchors they hold, each once, and learn which ones another
    document holds (``blocks``). A string whose anchor no other document holds occurs nowhere else.
 2. For the shared anchors, blocks send the text around them, each different piece once with the smallest id that has it.
-3. A bucket holds all pieces with its anchors and sorts the suffixes that start there: prefix polynomial hashes and binary
-   search give the common extension of two suffixes, so a comparison takes a logarithmic number of steps, and a merge sort runs on
-   all suffixes side by side. Suffixes start in the order of their anchor and distance to it. Neighbours that agree over the whole
+3. A bucket holds all pieces with its anchors and sorts the suffixes that start there, a portion of its anchors at a time: eight bytes
+   after the other, where prefix polynomial hashes do not say that all suffixes that are still together are equal; a sort runs on all
+   groups side by side. Suffixes start in the order of their anchor and distance to it. Neighbours that agree over the whole
    length by their hashes are compared byte by byte before they count as equal.
 4. The smallest id of each string goes back to the blocks, which take the strings out.
 
@@ -32,6 +32,8 @@ LENGTH = 50
 #: Bytes in a gram; a string of ``LENGTH`` bytes has LENGTH - GRAM + 1 of them.
 GRAM = 24
 SHARED, PIECES, LEAST = 0, 1, 2
+#: Bytes of pieces that a bucket sorts at once; blocks that make as many buckets, and the most blocks that share one.
+PORTION_BYTES, MANY, WIDE = 2 << 20, 64, 8
 
 
 class SuffixSort:
@@ -41,55 +43,33 @@ class SuffixSort:
         self.data, self.starts, self.depth = data, starts, depth
         self.prefix = prefix_hashes(byte_values(data)) if prefix is None else prefix
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at places ``a`` and ``b`` have in common: one look at the whole depth, then a binary
-        search over the length."""
-        out = np.full(len(a), self.depth, dtype=np.int64)
-        differ = np.flatnonzero(run_hashes(self.prefix, a, a + self.depth) != run_hashes(self.prefix, b, b + self.depth))
-        if len(differ):
-            x, y = a[differ], b[differ]
-            low, high = np.zeros(len(x), np.int64), np.full(len(x), self.depth - 1, dtype=np.int64)
-            while (low < high).any():
-                half = (low + high + 1) >> 1
-                same = run_hashes(self.prefix, x, x + half) == run_hashes(self.prefix, y, y + half)
-                low, high = np.where(same, half, low), np.where(same, high, half - 1)
-            out[differ] = low
-        return out
-
-    def goes_before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before b; for equal ones, what ``ties`` says."""
-        size = self.common(a, b)
-        at = np.minimum(size, self.depth - 1)
-        return np.where(size >= self.depth, ties, self.data[a + at] < self.data[b + at])
-
     def order(self, begin: np.ndarray) -> np.ndarray:
-        """Indices of the suffixes sorted inside each group; groups lie side by side and ``begin`` says where. All groups
-        are merged at once, in runs of 1, 2, 4, ... suffixes."""
+        """Indices of the suffixes sorted inside each group; groups lie side by side and ``begin`` says where. All groups are sorted at
+        once, by eight bytes after the other; what these leave together is sorted by the next eight, but for suffixes whose whole
+        depth is equal by its hash, which keep their places."""
         n = len(self.starts)
         order = np.arange(n)
         size = np.diff(np.append(begin, n))
-        first, last = np.repeat(begin, size), np.repeat(begin + size, size)
-        width = 1
-        slot = np.flatnonzero(last - first > 1)
-        while len(slot):
-            f, e = first[slot], last[slot]
-            run = (slot - f) // width
-            begin_own, begin_other = f + run * width, np.minimum(f + (run ^ 1) * width, e)
-            low, high = begin_other.copy(), np.minimum(begin_other + width, e)
-            x, right = self.starts[order[slot]], (run & 1).astype(bool)
-            active = np.flatnonzero(low < high)
-            while len(active):
-                half = (low[active] + high[active]) >> 1
-                before = self.goes_before(self.starts[order[half]], x[active], right[active])
-                low[active] = np.where(before, half + 1, low[active])
-                high[active] = np.where(before, high[active], half)
-                active = active[low[active] < high[active]]
-            target = f + (run & ~1) * width + (slot - begin_own) + (low - begin_other)
-            following = order.copy()
-            following[target] = order[slot]
-            order = following
-            width *= 2
-            slot = slot[last[slot] - first[slot] > width]
+        whole = run_hashes(self.prefix, self.starts, self.starts + self.depth)
+        slot, rank = order, np.repeat(np.arange(len(size)), size)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, dtype=">u8", buffer=padded, strides=(1,))
+        for at in range(0, self.depth, 8):
+            first = first_of_groups(rank)
+            hash_of = whole[order[slot]]
+            apart = np.zeros(len(slot), dtype=bool)
+            apart[1:] = (hash_of[1:] != hash_of[:-1]) & (rank[1:] == rank[:-1])
+            mixed = np.logical_or.reduceat(apart, first) if len(first) else apart
+            left = np.repeat(mixed, np.diff(np.append(first, len(slot))))
+            slot, rank = slot[left], rank[left]
+            if not len(slot):
+                break
+            key = eight[self.starts[order[slot]] + at].astype(np.uint64) >> np.uint64(8 * max(0, at + 8 - self.depth))
+            moved = np.lexsort((key, rank))
+            order[slot], key = order[slot[moved]], key[moved]
+            new = np.ones(len(slot), dtype=bool)
+            new[1:] = (rank[1:] != rank[:-1]) | (key[1:] != key[:-1])
+            rank = np.cumsum(new)
         return order
 
     def classes(self, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -149,7 +129,9 @@ class Strings:
         grams = window_hashes(self.prefix, gram)
         self.anchor = window_anchors(grams, length - gram + 1)
         self.valid = valid_runs(self.offsets, length, len(self.data))
-        self.places = np.unique(self.anchor[self.valid])
+        chosen = np.zeros(len(self.data), dtype=bool)
+        chosen[self.anchor[self.valid]] = True
+        self.places = np.flatnonzero(chosen)
         self.hash = mix(grams[self.places])
         self.doc = np.searchsorted(self.offsets, self.places, side="right") - 1
 
@@ -185,6 +167,8 @@ class Strings:
 def _anchors(length: int, gram: int, buckets: int):
     def run(block: int, table: pa.Table) -> pa.Table:
         s = Strings(table, length, gram)
+        if not len(s.hash):  # no text of the block is long enough
+            return bl.rows_table([])
         order = np.argsort(s.hash, kind="stable")
         first = first_of_groups(s.hash[order])
         last = np.append(first[1:], len(order)) - 1
@@ -215,13 +199,8 @@ def _pieces(length: int, gram: int, buckets: int):
     return run
 
 
-def _least(length: int):
-    def run(bucket: int, rows: list[tuple]) -> list[tuple]:
-        """The smallest id of each string of each piece."""
-        anchor = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        shape = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).reshape(-1, 2).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
-        data = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])
+def _least(length: int, buckets: int):
+    def smallest(anchor: np.ndarray, shape: np.ndarray, ids: np.ndarray, data: np.ndarray) -> np.ndarray:
         # equal pieces of several blocks are sorted once, under the least id of all
         every = shape[:, 1]
         size = every + length - 1
@@ -244,11 +223,25 @@ def _least(length: int):
         found[arranged[order]] = np.repeat(least, np.diff(np.append(klass, len(starts))))
         where = np.zeros(len(unique), dtype=np.int64)
         where[leaders] = np.cumsum(strings) - strings
-        out = found[ragged(where[unique], every)]
+        return found[ragged(where[unique], every)]
+
+    def run(bucket: int, rows: list[tuple]) -> list[tuple]:
+        """The smallest id of each string of each piece. A bucket is worked on in portions of its anchors."""
+        anchor = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        shape = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).reshape(-1, 2).astype(np.int64)
+        ids = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
+        data = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])
+        size = shape[:, 1] + length - 1
+        place, first = np.cumsum(size) - size, np.cumsum(shape[:, 1]) - shape[:, 1]
+        out = np.empty(int(shape[:, 1].sum()), dtype=np.int64)
+        for _, i in bl.deal(anchor // np.uint64(buckets), max(1, -(-len(data) // PORTION_BYTES))):
+            out[ragged(first[i], shape[i, 1])] = smallest(anchor[i], shape[i], ids[i], data[ragged(place[i], size[i])])
         answers, at = [], 0
         for r in rows:
             n = int(np.frombuffer(r[3], np.uint16)[1::2].sum())
-            answers.append(bl.pack(r[0], bucket, LEAST, out[at:at + n]))
+            # neighbouring strings often have one smallest id: runs of equal ones
+            begin = first_of_groups(out[at:at + n])
+            answers.append(bl.pack(r[0], bucket, LEAST, out[at + begin], np.diff(np.append(begin, n)).astype(np.uint32)))
             at += n
         return answers
     return run
@@ -258,7 +251,7 @@ def _remove(length: int, gram: int, buckets: int):
     def run(block: int, table: pa.Table, answers: list[tuple]) -> pa.Table:
         s = Strings(table, length, gram)
         s.pieces(answers, buckets)
-        least = {r[0]: np.frombuffer(r[2], np.int64) for r in answers if r[1] == LEAST}
+        least = {r[0]: np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.uint32)) for r in answers if r[1] == LEAST}
         # where the answers of each leader's strings lie
         where = np.zeros(len(s.at), dtype=np.int64)
         parts, at = [], 0
@@ -271,9 +264,7 @@ def _remove(length: int, gram: int, buckets: int):
         string = ragged(s.at, s.strings)
         smallest = smallest[ragged(where[s.unique], s.strings)]
         gone = string[smallest < np.repeat(s.ids[s.piece_doc], s.strings)]
-        mark = np.zeros(len(s.data) + 1, dtype=np.int32)
-        np.add.at(mark, gone, 1)
-        np.add.at(mark, gone + length, -1)
+        mark = np.bincount(gone, minlength=len(s.data) + 1) - np.bincount(gone + length, minlength=len(s.data) + 1)
         removed = np.cumsum(mark[:-1]) > 0
         edge = np.diff(np.concatenate(([False], removed, [False])).astype(np.int8))
         if len(removed):  # a removed run ends with its document
@@ -303,10 +294,11 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GR
     """doc_id, n_bytes, spans (array of begin and end of each removed run of bytes) and kept (the remaining bytes)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocked, count = bl.blocked(rows, block_bytes)
-    buckets = bl.buckets_for(count, 1)
+    # blocks times buckets make the packed rows: from MANY blocks on a bucket has the anchors of up to WIDE blocks
+    buckets = bl.buckets_for(count, min(WIDE, max(1, count // MANY)))
     shared = bl.per_bucket(bl.per_block(blocked, _anchors(length, gram, buckets)), _shared)
     pieces = bl.back_to_blocks(blocked, shared, _pieces(length, gram, buckets))
-    least = bl.per_bucket(pieces, _least(length))
+    least = bl.per_bucket(pieces, _least(length, buckets))
     return bl.back_to_blocks(blocked, shared.unionByName(least), _remove(length, gram, buckets),
                              "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
 

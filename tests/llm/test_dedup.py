@@ -86,6 +86,29 @@ def test_earlier_strings_of_awkward_texts(spark, seed):
     assert rows_of(suffix_dedup.digests(cut)) == strings_left(rows, 12)
 
 
+def test_wide_buckets_are_sorted_in_portions(spark, monkeypatch):
+    rows, deals, deal = cases.awkward(4), [], suffix_dedup.bl.buckets_for
+    monkeypatch.setattr(suffix_dedup.bl, "buckets_for", lambda blocks, each: deals.append((blocks, each)) or deal(blocks, each))
+    for name, value in (("MANY", 3), ("WIDE", 4), ("PORTION_BYTES", 200)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    cut = suffix_dedup.remove_earlier_strings(cases.frame(spark, rows), length=12, gram=5, block_bytes=1500)
+    assert rows_of(suffix_dedup.digests(cut)) == strings_left(rows, 12)
+    assert deals[0][0] > 8 and deals[0][1] == min(4, deals[0][0] // 3)  # rows are blocks times buckets
+
+
+def test_smallest_ids_travel_as_runs():
+    rng, length = np.random.default_rng(2), 12
+    texts = [rng.integers(97, 123, 400).astype(np.uint8) for _ in range(3)]
+    rows = []
+    for block, (text, least) in enumerate([(texts[0], 7), (texts[1], 5), (texts[0], 3), (texts[2], 9)]):
+        shape = np.array([[20, len(text) - length + 1]], dtype=np.uint16)
+        anchor = np.array([int(text[0]) * 1000 + int(text[1])], dtype=np.uint64)
+        rows.append((block, suffix_dedup.PIECES, anchor.tobytes(), shape.tobytes(), np.array([least]).tobytes(), text.tobytes()))
+    answers = suffix_dedup._least(length, 4)(0, rows)
+    assert [(a[0], np.frombuffer(a[3], np.int64).tolist(), np.frombuffer(a[4], np.uint32).tolist()) for a in answers] == [
+        (0, [3], [389]), (1, [5], [389]), (2, [3], [389]), (3, [9], [389])]
+
+
 def test_repeated_spans_of_awkward_texts(spark):
     rows = cases.awkward(3)
     cut = path_dedup.remove_repeated_spans(cases.frame(spark, rows), length=7, gram=3, block_bytes=1500, carry=("lang", "score"))
