@@ -205,3 +205,36 @@ def test_vectors_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
         found = neighbours.exact_neighbours(df, df.where("key % 3 <> 0"), "key", "v", k, block_rows=11)
         assert "CartesianProduct" in plan(found) and "Generate" not in plan(found)
         assert {r.id: [(e.distance, e.id) for e in r.list] for r in found.collect()} == want
+
+
+def test_texts_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"word{i:02d}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(4, 9))) for _ in range(70)]
+    texts += [t[:-1] + "x" for t in texts[:25]] + [t + " more" for t in texts[25:35]] + texts[:4] + ["", " ", None]
+    df = spark.createDataFrame([*enumerate(texts)], "row_id long, prompt string")
+    want, sides = set(), [[], []]
+    for i, s in enumerate(texts):
+        sides[i % 2] += [(i, s)] if s else []
+        for j in range(i + 1, len(texts)):
+            t = texts[j]
+            if s and t and s.split() and t.split() and fuzzy.length_band(len(s), len(t)):
+                score = fz.token_set_ratio(set(s.split()), set(t.split()))
+                if score >= 90:
+                    want.add((i, j, round(score, 6)))
+    matches = {(i, j, round(score, 6)) for i, s in sides[0] for j, t in sides[1]
+               if (score := fz.partial_ratio(fz.SearchText(s), fz.SearchText(t), 92.0)) >= 92}
+    assert len(want) > 30 and len(matches) > 10
+    seen, wrote = [], fuzzy.materialize
+    monkeypatch.setattr(fuzzy, "materialize", lambda made: seen.append(plan(made)) or wrote(made))
+    for name, value in (("BLOCK_BYTES", 300), ("SIDE_BYTES", 300)):
+        monkeypatch.setattr(fuzzy, name, value)
+    for held in (1 << 20, 700):
+        monkeypatch.setattr(meetings, "HELD_BYTES", held)
+        pairs = fuzzy.fuzzy_pairs(df)
+        assert "CartesianProduct" in plan(pairs) and "Generate" not in plan(pairs)
+        assert {(r.id_a, r.id_b, round(r.score, 6)) for r in pairs.collect()} == want
+        seen.clear()
+        found = fuzzy.cross_source_matches(df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1"))
+        assert {(r.id_left, r.id_right, round(r.score, 6)) for r in found.collect()} == matches
+        assert any("CartesianProduct" in p for p in seen) and not any("Generate" in p for p in seen)
