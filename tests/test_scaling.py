@@ -238,3 +238,23 @@ def test_texts_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
         found = fuzzy.cross_source_matches(df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1"))
         assert {(r.id_left, r.id_right, round(r.score, 6)) for r in found.collect()} == matches
         assert any("CartesianProduct" in p for p in seen) and not any("Generate" in p for p in seen)
+
+
+def test_shared_token_pairs_form_in_rounds_that_leave_their_pairs_only(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i:02d}" for i in range(80)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([6, 12, 30]))) for _ in range(80)]
+    texts += [t + " z" for t in texts[:40]] + texts[:5]
+    df = spark.createDataFrame([*enumerate(texts)], "row_id long, prompt string")
+    whole = sorted(fuzzy.shared_token_pairs(df).collect())
+    assert len(whole) > 40
+    rounds, wrote, gone, scored = [], [], [], fuzzy._scored_round
+    write, discard = fuzzy.materialize, fuzzy.discard
+    monkeypatch.setattr(fuzzy, "ROUND_MEETINGS", 3000)
+    monkeypatch.setattr(fuzzy, "_scored_round", lambda *a: rounds.append(a[4:]) or scored(*a))
+    monkeypatch.setattr(fuzzy, "materialize", lambda d: wrote.append(write(d)) or wrote[-1])
+    monkeypatch.setattr(fuzzy, "discard", lambda d: gone.append(d._promptmill_path) or discard(d))
+    assert sorted(fuzzy.shared_token_pairs(df).collect()) == whole
+    assert len({r[:2] for r in rounds}) > 1 and max(r[3] for r in rounds) > 1
+    kept = [d.columns for d in wrote if d._promptmill_path not in gone]
+    assert kept.count(["a", "b", "score", "alone"]) == len(rounds) and not any("hashes" in c or "size" in c or "part" in c for c in kept)
